@@ -78,7 +78,9 @@ def resolve(links: DataFrame, nodes: DataFrame, with_paths: bool = False) -> Dat
     known = rows(tops.unionByName(orphans), "node", "node", 0)
     for x in loops:
         known = known.unionByName(rows(x, "c", "mn", -1))
-    known = cut(known)
+    # Unions add up partitions; a merge without a shuffle keeps their number.
+    width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cut(known.coalesce(width))
     def attach(back: DataFrame, to: DataFrame) -> DataFrame:
         depth = F.when(F.col("depth") < 0, F.lit(-1).cast("long")).otherwise(F.col("depth") + F.col("w")).alias("depth")
         path = [F.concat("path", "via", F.array("c")).alias("path")] if with_paths else []
@@ -87,7 +89,7 @@ def resolve(links: DataFrame, nodes: DataFrame, with_paths: bool = False) -> Dat
     for state in reversed(records):
         both = known.unionByName(attach(state.where("todo = 'splice'"), known))
         # A raked leaf may hang on a node spliced in the same round, so the spliced ones come back first.
-        known = cut(both.unionByName(attach(state.where("todo = 'rake'"), both)))
+        known = cut(both.unionByName(attach(state.where("todo = 'rake'"), both)).coalesce(width))
     return known.join(links.select(F.col("c").alias("node")), "node", "left_semi")
 
 
