@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +32,27 @@ def get_spark(app: str = "tidemark", cores: str | int = "*", shuffle_partitions:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Spark's own file server hand this package to all executors, once a session, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    sc._tidemark_shipped = True
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():
+        return  # this already is the shipped copy
+    # The file server reads the driver's copy whenever an executor asks, so it stays as long as the driver does.
+    d = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    with zipfile.ZipFile(at := os.path.join(d, "tidemark.zip"), "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(at)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
