@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.normalize import day_of, norm_id, norm_source, norm_split
-from tidemark.llm import mixing, percentiles, splits
+from tidemark.llm import leakage, mixing, overlap, percentiles, splits
 from tidemark.session import cut, load
 
 PERCENTILES = [0.25, 0.5, 0.9, 0.95, 0.99]
@@ -78,6 +78,38 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.shares(placed, per, "entity", "dataset").select(F.col("label").alias("dataset"), "split", F.col("n").alias("tasks"), F.round("share", 6).alias("share"))
 
 
+# --- 6: overlap ---------------------------------------------------------------------------------------------------------------
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = load(spark, sf_dir, "generations").select(norm_id("task_id").alias("task_id"), norm_split("split").alias("split"))
+    sides = g.where("task_id IS NOT NULL").groupBy("task_id").agg(F.coalesce(F.bool_or(F.col("split") == "train"), F.lit(False)).alias("left"), F.coalesce(F.bool_or(F.col("split").isin("val", "test")), F.lit(False)).alias("right"))
+    t = load(spark, sf_dir, "tasks").select(norm_id("task_id").alias("task_id"), "prompt")
+    return overlap.cross_split(t, "task_id", "prompt", sides).select(F.col("a").alias("task_id_a"), F.col("b").alias("task_id_b"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each split and dataset, how many of its tasks overlap with the other side, and in how many pairs."""
+    pairs = p6_found(spark, sf_dir)
+    x = pairs.select("task_id_a", "task_id_b", F.explode(F.array("task_id_a", "task_id_b")).alias("task_id"))
+    g = load(spark, sf_dir, "generations").select(norm_id("task_id").alias("task_id"), norm_split("split").alias("split"), norm_id("dataset").alias("dataset")).where("split IS NOT NULL").distinct()
+    return x.join(g, "task_id").groupBy("split", "dataset").agg(F.count_distinct("task_id").alias("tasks"), F.count_distinct("task_id_a", "task_id_b").alias("pairs"))
+
+
+# --- 7: leakage ---------------------------------------------------------------------------------------------------------------
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked, in how many documents and sources."""
+    d = load(spark, sf_dir, "documents").select("doc_id", norm_source("source").alias("source"))
+    x = p7_found(spark, sf_dir).join(d, "doc_id")
+    return x.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("source").alias("sources"))
+
+
 # --- 8: mixing ----------------------------------------------------------------------------------------------------------------
 
 
@@ -104,7 +136,7 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pick(n, takes, seed=17).select(F.col("id").alias("doc_id"), "source", "n_tokens", "repeats")
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_summaries, p3_combined, p5_found, p5_assigned, p5_shares, p8_found, p8_shares, p8_mix)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_summaries, p3_combined, p5_found, p5_assigned, p5_shares, p6_found, p6_report, p7_found, p7_items, p8_found, p8_shares, p8_mix)}
 
 _TRIM = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))), '')"
 _COSTS = f"""
