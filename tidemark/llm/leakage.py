@@ -102,7 +102,8 @@ class Index:
                 w[[p + 1 for p in ps]] = (math.log((1 + len(sets)) / in_items[x]) / math.log(1 + len(sets))) ** 2
             self.weight.append(np.cumsum(w))
         order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: len(sets[i]))
-        self.parts = []
+        # Partitions with as many rows a band share a table; a set stands in it under as many bands as its partition needs.
+        tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for ns in np.array_split(np.array(order, int), min(SIZE_PARTS, max(1, len(order)))):
             if not len(ns):
                 continue
@@ -110,18 +111,28 @@ class Index:
             j = common / (len(sets[ns[-1]]) + WINDOW - common)
             rows = next((r for r in (4, 3, 2) if 1 - (1 - j**r) ** (HASHES // r) >= FOUND), 1)
             bands = next((n for n in range(1, HASHES // rows) if 1 - (1 - j**rows) ** n >= FOUND), HASHES // rows)
-            keys = np.stack([self._keys(self._min(sets[i][None, :]), rows, bands)[0] for i in ns])
-            by = np.argsort(keys, axis=0, kind="stable")
-            self.parts.append((rows, bands, [(keys[by[:, c], c], ns[by[:, c]]) for c in range(bands)]))
+            for n in ns:
+                keys = self._keys(self._hashed(sets[n]).min(axis=0)[None, :], rows)[0, :bands]
+                tables.setdefault(rows, []).append((keys, np.full(len(keys), n)))
+        self.tables = {}
+        for rows, xs in tables.items():
+            keys, item = np.concatenate([x[0] for x in xs]), np.concatenate([x[1] for x in xs])
+            by = np.argsort(keys, kind="stable")
+            self.tables[rows] = (keys[by], item[by])
+        # What a shingle weighs in an item, over all the places where it stands there.
+        self.worth = [{x: sum(float(w[p + 1] - w[p]) for p in ps) for x, ps in at.items()} for at, w in zip(self.at, self.weight)]
 
-    def _min(self, s: np.ndarray) -> np.ndarray:
-        """(sets, HASHES) minima of equally long sets."""
+    def _hashed(self, s: np.ndarray) -> np.ndarray:
+        """(shingles, HASHES): every hash of every shingle."""
         with np.errstate(over="ignore"):
-            return mix(s[:, None, :] * self.a[None, :, None] + self.b[None, :, None]).min(axis=2)
+            return mix(s[:, None] * self.a[None, :] + self.b[None, :])
 
-    def _keys(self, m: np.ndarray, rows: int, bands: int) -> np.ndarray:
-        m = m[:, : rows * bands].reshape(len(m), bands, rows)
-        out = m[:, :, 0]
+    @staticmethod
+    def _keys(m: np.ndarray, rows: int) -> np.ndarray:
+        """(sets, bands) keys of minima (sets, HASHES); a key tells its band apart."""
+        n = HASHES // rows
+        m = m[:, : rows * n].reshape(len(m), n, rows)
+        out = m[:, :, 0] + np.arange(n, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for i in range(1, rows):
                 out = mix(out * np.uint64(0x9E3779B97F4A7C15) + m[:, :, i])
@@ -129,21 +140,19 @@ class Index:
 
     def candidates(self, hit: np.ndarray) -> set[int]:
         """Items (by number) that share a band with some window of the hits."""
-        n = len(hit)
+        h, n = self._hashed(hit), len(hit)
         if n <= WINDOW:
-            windows = hit[None, :]
+            m = h.min(axis=0)[None, :]
         else:
-            starts = list(range(0, n - WINDOW, STEP)) + [n - WINDOW]
-            windows = np.lib.stride_tricks.sliding_window_view(hit, WINDOW)[starts]
-        m = self._min(windows)
+            starts = [*range(0, n - WINDOW, STEP), n - WINDOW]
+            m = np.stack([h[x : x + WINDOW].min(axis=0) for x in starts])
         out: set[int] = set()
-        for rows, bands, tables in self.parts:
-            keys = self._keys(m, rows, bands)
-            for c, (have, item) in enumerate(tables):
-                k = keys[:, c]
-                lo, hi = np.searchsorted(have, k, "left"), np.searchsorted(have, k, "right")
-                for x, y in set(zip(lo[hi > lo].tolist(), hi[hi > lo].tolist())):
-                    out.update(item[x:y].tolist())
+        for rows, (have, item) in self.tables.items():
+            k = np.unique(self._keys(m, rows))
+            lo, hi = np.searchsorted(have, k, "left"), np.searchsorted(have, k, "right")
+            on = np.flatnonzero(hi > lo)
+            for x, y in zip(lo[on].tolist(), hi[on].tolist()):
+                out.update(item[x:y].tolist())
         return out
 
     def search(self, h: np.ndarray) -> list[int]:
@@ -154,10 +163,12 @@ class Index:
             return []
         hit = sh[pos]
         at = hit.tolist()
-        found = []
+        found, seen = [], set(at)
         for n in self.candidates(hit):
             have = self.at[n]
-            if len(have.keys() & set(at)) < LEAST:
+            both = have.keys() & seen
+            # No chain can weigh more than all that is common.
+            if len(both) < LEAST or sum(map(self.worth[n].__getitem__, both)) < DENSE * (PASSAGE - ENDS):
                 continue
             pairs = [(j, i) for j, s in zip(pos.tolist(), at) if s in have for i in have[s]]
             if held(pairs, h, self.word[n], self.own[n], self.weight[n]) >= PASSAGE - ENDS:
