@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.normalize import day_of, norm_id, norm_source, norm_split
-from tidemark.llm import leakage, mixing, overlap, percentiles, splits
+from tidemark.llm import leakage, mixing, overlap, pairs, percentiles, reading, splits
 from tidemark.session import cut, load
 
 PERCENTILES = [0.25, 0.5, 0.9, 0.95, 0.99]
@@ -13,6 +13,21 @@ PERCENTILES = [0.25, 0.5, 0.9, 0.95, 0.99]
 SUMMARY_ERROR = 0.005
 
 
+# --- 1: broken pairs ----------------------------------------------------------------------------------------------------------
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = load(spark, sf_dir, "generations").select(F.col("delivery_id").alias("id"), norm_id("task_id").alias("task"), "text", "code", F.col("finish_reason").alias("finish"))
+    t = load(spark, sf_dir, "tasks").select(norm_id("task_id").alias("task"), "prompt")
+    return pairs.defects(g, pairs.prompts_of(t, "task", "prompt")).select(F.col("id").alias("delivery_id"), "defect")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each arm have each defect."""
+    g = load(spark, sf_dir, "generations").select("delivery_id", norm_id("arm").alias("arm"))
+    return p1_found(spark, sf_dir).join(g, "delivery_id").groupBy("arm", "defect").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --- 3: percentiles -----------------------------------------------------------------------------------------------------------
 
 
@@ -136,7 +151,24 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pick(n, takes, seed=17).select(F.col("id").alias("doc_id"), "source", "n_tokens", "repeats")
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_summaries, p3_combined, p5_found, p5_assigned, p5_shares, p6_found, p6_report, p7_found, p7_items, p8_found, p8_shares, p8_mix)}
+# --- 9: reading levels --------------------------------------------------------------------------------------------------------
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.levels(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "reading_anchors"), "text", "reading_level")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents and words of prose of each source stand in each level."""
+    d = load(spark, sf_dir, "documents").select("doc_id", norm_source("source").alias("source"))
+    return _levels(spark, sf_dir).join(d, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("documents"), F.sum("prose_words").alias("prose_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_percentiles, p3_day_summaries, p3_combined, p5_found, p5_assigned, p5_shares, p6_found, p6_report, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_profile)}
 
 _TRIM = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))), '')"
 _COSTS = f"""

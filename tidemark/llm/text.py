@@ -11,7 +11,7 @@ import xxhash
 
 # Letters of other scripts that look like Latin ones, and what they look like.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁԛԝһАВЕКМНОРСТУХІЈЅαεοορνικτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdqwhABEKMHOPCTYXIJSaeooрvikтuxABEZHIKMNOPTYX".replace("р", "p").replace("т", "t"))
-_UNSEEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
+UNSEEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>")
 _WORD = re.compile(r"[^\W_]+")
@@ -32,7 +32,7 @@ def plain(text: str) -> str:
                 text = text.encode("cp1252").decode("utf-8")
             except UnicodeError:
                 pass
-        text = _UNSEEN.sub("", text).translate(LOOKALIKES)
+        text = UNSEEN.sub("", text).translate(LOOKALIKES)
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return text.lower()
 
