@@ -177,7 +177,7 @@ days AS (SELECT rollout_id, arg_min(day, delivery_id) AS day FROM g GROUP BY 1),
 c AS (SELECT 'cost_sidecar' AS source, {_TRIM.format('arm')} AS arm, d.day, imputed_latency_s, gpu_seconds FROM cost_sidecar s LEFT JOIN days d ON d.rollout_id = {_TRIM.format('s.rollout_id')}),
 a AS (SELECT source, arm, day, imputed_latency_s, gpu_seconds FROM g UNION ALL SELECT * FROM c),
 v AS (SELECT source, 'imputed_latency_s' AS metric, arm, day, imputed_latency_s AS v FROM a UNION ALL SELECT source, 'gpu_seconds', arm, day, gpu_seconds FROM a),
-costs AS (SELECT * FROM v WHERE v >= 0 AND NOT isnan(v) AND NOT isinf(v))
+costs AS (SELECT * FROM v WHERE v >= 0 AND v::VARCHAR NOT IN ('nan', '-nan', 'inf', '-inf'))
 """
 _WIDTH = "ln((1 + 0.005::DOUBLE) / (1 - 0.005::DOUBLE))"
 
