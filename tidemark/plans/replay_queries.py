@@ -303,7 +303,8 @@ _VERDICT = f"WITH {G}, {_REPS}, {_DRAWN}, iv AS (SELECT quantile_cont(b - a, 0.0
 for _n in ("stat_verdict", "ci_excludes_zero", "abl_degenerate"):
     query(_n, _VERDICT)(lambda s, d: rounded(stats.paired_bootstrap(cut(grid(s, d).withColumnRenamed("seed", "rep")), "l_solved", "s_solved", _DRAWS).select(frontier.verdict(F.col("low"), F.col("high"), 0.05).alias("verdict"), stats.excludes_zero(F.col("low"), F.col("high")).alias("excludes_zero"), (F.col("high") - F.col("low")).alias("width"), ((F.col("low") == 0) & (F.col("high") == 0)).alias("degenerate"))))
 query("stat_mcnemar_counts", f"WITH {G} SELECT count(*) FILTER (WHERE l_solved = 1 AND s_solved = 0) AS b, count(*) FILTER (WHERE l_solved = 0 AND s_solved = 1) AS c FROM g")(lambda s, d: stats.discordant(grid(s, d), "l_solved", "s_solved"))
-query("stat_mcnemar")(lambda s, d: rounded(stats.mcnemar(grid(s, d), "l_solved", "s_solved")))
+_LG = "lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)"
+query("stat_mcnemar", f"WITH {G}, bc AS (SELECT count(*) FILTER (WHERE l_solved = 1 AND s_solved = 0) AS b, count(*) FILTER (WHERE l_solved = 0 AND s_solved = 1) AS c FROM g) SELECT b, c, round(b::DOUBLE / nullif(c, 0), 6) AS odds_ratio, (SELECT round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp({_LG}))) END, 6) FROM (SELECT b + c AS n, unnest(range(least(b, c) + 1)) AS k)) AS p_value FROM bc")(lambda s, d: rounded(stats.mcnemar(grid(s, d), "l_solved", "s_solved")))
 _WON = f"({SOLVED})::INT"
 query("eval_gate", f"WITH {C}, {_TASKS}, lb AS (SELECT task_id, max({_WON}) AS y FROM c WHERE hidden_total IS NOT NULL GROUP BY 1), {_LONG}, fr AS (SELECT feature, value AS v, y FROM lf JOIN lb USING (task_id)) SELECT feature, round(greatest(a, 1 - a), 6) AS auc, n FROM (SELECT feature, (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS a, count(*) AS n FROM (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rk FROM fr) GROUP BY 1)")(
     lambda s, d: (lambda lb: rounded(stats.auc(_long(s, d).join(lb, "task_id"), "value", "y", ["feature"]).select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"), "n")))(cells(s, d, "hidden_passed", "hidden_total").where("hidden_total IS NOT NULL").groupBy("task_id").agg(F.max(solved()).cast("int").alias("y"))))

@@ -86,26 +86,30 @@ def seal(spark: SparkSession, root: str, run_id: str, layer: str = "generations"
     return m
 
 
+def _parsed(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """Lines with the path of their part and, parsed, their row; `_corrupt` holds a line that doesn't parse."""
+    whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType(), True)])
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
+    return lines.select("path", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("row"))
+
+
 def read_json(spark: SparkSession, folder: str, schema: T.StructType = ROLLOUT) -> DataFrame:
     """Rows of all parts, with the schema stated and never inferred. A torn last line of a part is left out; any other line that
     doesn't parse is refused."""
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType(), True)])
-    df = spark.read.schema(whole).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(folder)
     if damaged(spark, folder, schema).limit(1).count():
         raise Refused(f"{folder}: a line that isn't the last of its part is damaged")
-    return df.where("_corrupt IS NULL").drop("_corrupt")
+    return _parsed(spark, folder, schema).where("row._corrupt IS NULL").select("row.*").drop("_corrupt")
 
 
 def damaged(spark: SparkSession, folder: str, schema: T.StructType = ROLLOUT) -> DataFrame:
     """(path, line) of lines that don't parse and have another line after them in their part. Only the corrupt lines are compared with
     their file's end; whole files are read only where a part has one."""
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType(), True)])
-    bad = spark.read.schema(whole).option("columnNameOfCorruptRecord", "_corrupt").json(folder).select("_corrupt", F.col("_metadata.file_path").alias("path")).where("_corrupt IS NOT NULL")
+    bad = _parsed(spark, folder, schema).where("row._corrupt IS NOT NULL").select("path", F.col("row._corrupt").alias("line"))
     files = [r[0] for r in bad.select("path").distinct().collect()]
     if not files:
         return spark.createDataFrame([], "path string, line string")
     ends = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.element_at(F.split(F.rtrim("value"), "\n"), -1).alias("last"))
-    return bad.join(ends, "path").where("_corrupt <> last").select("path", F.col("_corrupt").alias("line"))
+    return bad.join(ends, "path").where("line <> last").select("path", "line")
 
 
 def select_layer(spark: SparkSession, root: str, run_id: str) -> str:
