@@ -353,7 +353,7 @@ query("d1_code_ast_nodes")(lambda s, d: code.shapes(_with_entry(s, d, "code")))
 query("count_asserts")(lambda s, d: code.asserts(task_rows(s, d)))
 query("hack_scan")(lambda s, d: code.hack_scan(_with_entry(s, d, "code")).select("rollout_id", F.array_join("flags", ",").alias("flags")))
 for _n in ("grade_run", "grade_one"):
-    query(_n)(lambda s, d: code.graded(_graded_rows(s, d)))
+    query(_n)(lambda s, d: code.graded(_graded_rows(s, d), timeout=2.0))
 
 
 def _graded_rows(s, d):
