@@ -28,7 +28,7 @@ class Crf:
         out[rows, at] = np.arange(len(rows))
         return out, size
 
-    def fit(self, feats: np.ndarray, ends: np.ndarray, rows: np.ndarray, y: np.ndarray, steps: int = 60, rate: float = 0.15, ridge: float = 1e-4) -> None:
+    def fit(self, feats: np.ndarray, ends: np.ndarray, rows: np.ndarray, y: np.ndarray, steps: int = 80, rate: float = 0.3, ridge: float = 1e-5) -> None:
         """Maximises the regularised conditional likelihood by Adam. Sequences must be no longer than some dozens of clauses."""
         pad, size = self._padded(rows)
         n, longest = pad.shape

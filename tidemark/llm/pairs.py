@@ -26,7 +26,7 @@ from tidemark.llm.text import Hashes, shingles, words
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 #: Rows on which the field is trained, at most, and clauses of them that are looked at.
-SAMPLE, LONGEST = 6_000, 16
+SAMPLE, LONGEST = 12_000, 16
 #: Hashed features.
 WIDTH = 1 << 16
 #: Words of a shingle for echoes, and the share of a clause's shingles from which it is labelled an echo.
@@ -207,7 +207,8 @@ class Clauses:
             for w in ws:
                 for i in _OF_WORD.get(w, ()):
                     lang[i] += 1
-            lang[-1] = len(_OTHER_SCRIPT.findall(s))
+            # Words all in another script; single look-alike letters in a Latin word don't count.
+            lang[-1] = 0 if s.isascii() else sum(len(w) for w in ws if len(_OTHER_SCRIPT.findall(w)) == len(w))
             h = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % WIDTH for x in {*("w:" + w for w in ws), *(f"b:{a} {b}" for a, b in zip(ws, ws[1:]))}]
             got = self._said[s] = (h, lang, len(ws))
         return got
@@ -223,7 +224,7 @@ class Clauses:
             lang = self._sentence(p)[1]
             self._said.pop(p, None)
             ws = words(p)
-            got = self._prompts[p] = (int(lang[:-1].argmax()) if lang[-1] == 0 else len(_LANGS), frozenset(shingles(self._hashes.of(ws), K).tolist()), len(ws))
+            got = self._prompts[p] = (int(lang.argmax()), frozenset(shingles(self._hashes.of(ws), K).tolist()), len(ws))
         return got
 
     def echoed(self, text: str, prompt: frozenset[int]) -> float:
@@ -244,7 +245,7 @@ class Clauses:
         for code, piece, closed in segments(text):
             state, told = code_state(piece) if code else ("", "")
             if code and state == "stub" and told.strip():
-                states.append("stub")
+                states.append("told")
                 piece = told
             elif code and state not in ("comment", "blank"):
                 if state == "stub" and self.echoed(piece, said) >= COPIED:
@@ -308,6 +309,8 @@ def weak_labels(a: dict, finish: str | None) -> list[int] | None:
             out.append(ANSWER)
         elif not code and (refused or logged) and ended:
             out.append(REFUSAL)
+        elif a["foreign"] and not code and n == 1:
+            return None
         elif a["foreign"]:
             out.append(FOREIGN)
         elif a["solved"] or code:
@@ -345,7 +348,7 @@ def defect(a: dict, tags: list[int]) -> str | None:
         return "truncated"
     if said[REFUSAL] > 0 and said[UNFINISHED] == 0:
         return "refusal"
-    if "stub" in states or "blank" in states:
+    if not {"stub", "told", "blank"}.isdisjoint(states):
         return "empty"
     if said[FOREIGN] > 0.5 * said.sum():
         return "other_language"
