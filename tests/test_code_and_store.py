@@ -9,7 +9,7 @@ from tidemark.streaming import ingest
 
 
 @pytest.mark.parametrize("text, entry, strategy, parses", [
-    ("```python\ndef f(x):\n    return x\n```", "f", "fenced_entrypoint", True), ("```python\ndef g(x):\n    return x\n```", "f", "fenced_parsed", True), ("```\ndef f(:\n```", "f", "fenced_unparsed", False),
+    ("```python\ndef f(x):\n    return x\n```", "f", "fenced_entrypoint", True), ("```python\ndef g(x):\n    return x\n```", "f", "fenced_parsed", True), ("```\nx = = 1\n```", "f", "fenced_unparsed", False), ("```\ndef f(:\n```", "f", "fenced_entrypoint", False),
     ("```python\ndef f(x):\n    return x\n", "f", "fenced_truncated", True), ("def f(x):\n    return x", "f", "bare_parsed", True), ("Here it is.\ndef f(x):\n    return x", "f", "bare_trimmed", True),
     ("nothing to see", "f", "bare_unparsed", False), ("  ", "f", "empty", False), (None, "f", "empty", False), ("```python\nimport math\n```\n\n```python\ndef f(x):\n    return math.pi\n```", "f", "fenced_imports_merged", True),
     ("```python\nx = 1\n```\n```python\ny = 2\nf = lambda: x\n```", "f", "fenced_entrypoint", True), ("```bash\nls\n```\n```python\ndef f():\n    pass\n```", "f", "fenced_entrypoint", True),
