@@ -142,7 +142,6 @@ def test_fingerprints_have_a_recall_of_09_against_brute_force(spark, sf):
 EASY = "Look at the list. Put the key in the box. We ran it once more. It is safe to stop now. The log is old. Ask him first."
 MIDDLE = "The router compares the results with the stored baseline and writes a short report. Because prompts differ in length, the reader estimates the answers separately for every model. Our team measured several answers and found that the larger model solved more tasks."
 HARD = "Multidimensional autoregressive approximations engender combinatorial proliferation, rendering exhaustive verification computationally prohibitive. Notwithstanding heteroscedasticity, idiosyncratic aggregates facilitate parsimonious interpretation of uncertainties."
-ANCHORS = [(i, t, k) for i in range(6) for k, t in ((1, EASY), (2, MIDDLE), (3, HARD))]
 
 
 def test_prose_leaves_everything_else_out():
@@ -151,9 +150,10 @@ def test_prose_leaves_everything_else_out():
     assert R.prose(None) == R.prose("") == R.prose("```\nnever closed") == []
 
 
-def test_levels(spark):
-    docs = [(1, EASY), (2, MIDDLE), (3, HARD), (4, EASY + "\n\n" + HARD + " " + HARD), (5, "Wir speichern jede Antwort zusammen mit ihren Kosten. Die Prüfung der Antworten dauert länger als gedacht."), (6, "```\nx = 1\n```"), (7, None), (8, ""), (9, EASY.replace(". ", " and ")), (10, MIDDLE * 3_000), (10, MIDDLE)]
-    a = spark.createDataFrame([*ANCHORS, (99, None, 1), (98, EASY, None)], "anchor_id long, text string, level int")
+def test_levels(spark, sf):
+    docs = [(1, EASY), (2, MIDDLE), (3, HARD), (4, EASY + "\n\n" + HARD + " " + HARD), (5, "Wir speichern jede Antwort zusammen mit ihren Kosten. Die Prüfung der Antworten dauert länger als gedacht."), (6, "```\nx = 1\n```"), (7, None), (8, ""), (9, EASY.replace(". ", " and ")), (10, f"{MIDDLE} " * 3_000), (10, MIDDLE)]
+    a = spark.read.parquet(f"{sf}/reading_anchors.parquet").selectExpr("anchor_id", "text", "reading_level AS level")
+    a = a.unionAll(spark.createDataFrame([(99, None, 1), (98, EASY, None)], "anchor_id long, text string, level int"))
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS level", "1 AS n")
     got = sorted((r["doc_id"], r["reading_level"]) for r in R.levels(d, "doc_id", "text", a, "text", "level").collect())
     assert got == [(1, 1), (2, 2), (3, 3), (4, 3), (9, 1), (10, 2), (10, 2)]

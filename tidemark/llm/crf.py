@@ -28,8 +28,9 @@ class Crf:
         out[rows, at] = np.arange(len(rows))
         return out, size
 
-    def fit(self, feats: np.ndarray, ends: np.ndarray, rows: np.ndarray, y: np.ndarray, steps: int = 80, rate: float = 0.3, ridge: float = 1e-5) -> None:
-        """Maximises the regularised conditional likelihood by Adam. Sequences must be no longer than some dozens of clauses."""
+    def fit(self, feats: np.ndarray, ends: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 80, rate: float = 0.3, ridge: float = 1e-5) -> None:
+        """Maximises the regularised conditional likelihood by Adam, each sequence with its weight. Sequences must be no longer than
+        some dozens of clauses."""
         pad, size = self._padded(rows)
         n, longest = pad.shape
         k = len(self.first)
@@ -39,6 +40,7 @@ class Crf:
         params = [self.w, self.pair, self.first]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         onehot = np.eye(k)[y]
+        weight = np.ones(n) if weight is None else weight / weight.mean()
         for t in range(1, steps + 1):
             e = self._emit(feats, ends)
             ep = np.where((pad >= 0)[..., None], e[pad], 0.0)
@@ -58,16 +60,16 @@ class Crf:
                 step = mx + np.log(np.exp(x - mx[:, :, None]).sum(axis=2))
                 live = (i + 1 < size)[:, None]
                 b[i] = np.where(live, step, 0.0)
-                joint = np.exp(a[i][:, :, None] + x - z[:, None, None]) * live[:, :, None]
+                joint = np.exp(a[i][:, :, None] + x - z[:, None, None]) * (live[:, :, None] * weight[:, None, None])
                 gp += joint.sum(axis=0)
                 on = i + 1 < size
-                np.add.at(gp, (yp[on, i], yp[on, i + 1]), -1.0)
+                np.add.at(gp, (yp[on, i], yp[on, i + 1]), -weight[on])
             p = np.exp(a + b - z[None, :, None])
             marg = np.empty_like(e)
             for i in range(longest):
                 on = i < size
                 marg[pad[on, i]] = p[i][on]
-            diff = marg - onehot
+            diff = (marg - onehot) * weight[rows][:, None]
             gw = np.stack([np.bincount(feats, weights=diff[reps, j], minlength=len(self.w)) for j in range(k)], axis=1)
             gf = diff[pad[:, 0]].sum(axis=0)
             for q, (par, g) in enumerate(zip(params, (gw, gp, gf))):

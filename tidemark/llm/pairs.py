@@ -27,8 +27,8 @@ LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 #: Rows on which the field is trained, at most, and clauses of them that are looked at.
 SAMPLE, LONGEST = 12_000, 16
-#: Hashed features.
-WIDTH = 1 << 16
+#: Hashed features; the most that a sequence of a rare label weighs.
+WIDTH, HEAVIEST = 1 << 16, 12.0
 #: Words of a shingle for echoes, and the share of a clause's shingles from which it is labelled an echo.
 K, COPIED = 4, 0.6
 
@@ -374,7 +374,12 @@ def train(sample: pd.DataFrame) -> Crf:
             ys += y[:LONGEST]
     crf = Crf(len(LABELS), WIDTH)
     if many:
-        crf.fit(*_flat(many), np.array(ys))
+        flat, y = _flat(many), np.array(ys)
+        # Sound answers are nearly all: a sequence weighs as much as its rarest label is rare, up to a bound.
+        rare = len(y) / (len(LABELS) * np.bincount(y, minlength=len(LABELS)).clip(1))
+        weight = np.zeros(len(many))
+        np.maximum.at(weight, flat[2], np.minimum(rare[y], HEAVIEST))
+        crf.fit(*flat, y, weight)
     return crf
 
 

@@ -53,7 +53,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentile
         side = cuts.drop("ranks__")
         j = rows.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, _same(rows, side, keys) & F.col("v__").between(F.col("lo__"), F.col("hi__")))
         # Halved, so that the width of an interval can't overflow.
-        part = F.least(F.lit(sections - 1), F.floor((F.col("v__") / 2 - F.col("lo__") / 2) / (F.col("hi__") / 2 - F.col("lo__") / 2) * sections).cast("int"))
+        wide = F.col("hi__") / 2 - F.col("lo__") / 2
+        part = F.when(wide > 0, F.least(F.lit(sections - 1), F.floor((F.col("v__") / 2 - F.col("lo__") / 2) / F.when(wide > 0, wide) * sections).cast("int"))).otherwise((F.col("v__") > F.col("lo__")).cast("int"))
         j = cut(j.select(*keys, "v__", F.col("lo__").alias("from__"), part.alias("part__")))
         counts = j.groupBy(*keys, "from__", "part__").agg(F.count(F.lit(1)).alias("c__"), F.min("v__").alias("lo__"), F.max("v__").alias("hi__"))
         # At most `sections` rows a window.
@@ -72,7 +73,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentile
     x = got.join(s, _same(got, s, keys)).select(*keys, "n__", "at__", F.explode(at).alias("percentile"))
     pos = F.col("percentile") * (F.col("n__") - 1)
     a, b = F.col("at__")[F.floor(pos)], F.col("at__")[F.ceil(pos)]
-    return x.select(*keys, "percentile", (a + (b - a) * (pos - F.floor(pos))).alias("value"), F.col("n__").alias("n"))
+    f = pos - F.floor(pos)
+    between = F.when(F.abs(b - a) < float("inf"), a + (b - a) * f).otherwise(a * (1 - f) + b * f)
+    return x.select(*keys, "percentile", between.alias("value"), F.col("n__").alias("n"))
 
 
 def summaries(df: DataFrame, keys: Sequence[str], value: str, error: float) -> DataFrame:

@@ -82,6 +82,8 @@ def bucket(w: str) -> int:
 NAMES = ["length", "characters", "long_words", "rarity", "rare_words", "diversity", "connectives", "depth"]
 #: Sentences put together to one row for fitting, so that the model learns words and not how long sentences are made.
 JOINED = (1, 2, 3)
+#: Words of a stretch whose share of distinct words is told.
+STRETCH = 60
 
 
 class Lexicon:
@@ -132,9 +134,13 @@ def english(texts: list[str | None], lex: Lexicon, joined: int = 1) -> tuple[np.
             all_of = [w for x in ws for w in x]
             if not all_of:
                 continue
-            share = len(set(all_of)) / len(all_of)
+            # Diversity of equal stretches, so that it doesn't fall with a paragraph's length.
+            shares = [len(set(p)) / len(p) for p in (all_of[i : i + STRETCH] for i in range(0, len(all_of), STRETCH))]
+            at = 0
             for s, x in zip(block, ws):
                 if x:
+                    share = shares[at // STRETCH]
+                    at += len(x)
                     flat += x
                     sizes.append(len(x))
                     of_text.append(n)
@@ -157,13 +163,17 @@ def english(texts: list[str | None], lex: Lexicon, joined: int = 1) -> tuple[np.
     return x[~foreign], text[~foreign], size[~foreign], other
 
 
+CLIP = 2.5
+
+
 class Ordinal:
-    """Proportional odds: P(level <= k) = s(cut_k - w.x), with a ridge on w. Fitted by gradient steps with momentum on standardised x."""
+    """Proportional odds: P(level <= k) = s(cut_k - w.x), with a ridge on w. Fitted by gradient steps with momentum on standardised x, which is held
+    within CLIP deviations, so that no one feature decides for a text unlike all graded ones."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 3_000):
         self.levels = np.unique(y)
         self.mean, self.scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-        z, k = (x - self.mean) / self.scale, np.searchsorted(self.levels, y)
+        z, k = self._scaled(x), np.searchsorted(self.levels, y)
         m, n = len(self.levels) - 1, len(x)
         w, cut = np.zeros(x.shape[1]), np.linspace(-1, 1, m) if m > 1 else np.zeros(m)
         vw, vc = np.zeros_like(w), np.zeros_like(cut)
@@ -179,9 +189,12 @@ class Ordinal:
             w, cut = w + vw, np.sort(cut + vc)
         self.w, self.cut = w, cut
 
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -CLIP, CLIP)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """The most likely level of each row."""
-        s = 1 / (1 + np.exp(-np.clip(self.cut[None, :] - (((x - self.mean) / self.scale) @ self.w)[:, None], -35, 35)))
+        s = 1 / (1 + np.exp(-np.clip(self.cut[None, :] - (self._scaled(x) @ self.w)[:, None], -35, 35)))
         below = np.concatenate([np.zeros((len(x), 1)), s, np.ones((len(x), 1))], axis=1)
         return self.levels[np.diff(below, axis=1).argmax(1)]
 
