@@ -31,12 +31,15 @@ def test_hack_flags(source, flags):
 def test_grading_in_a_process_apart():
     box = code.Sandbox()
     v, h = "assert f(1) == 2", "assert f(2) == 3\nassert f(3) == 9"
-    assert box.grade("def f(n):\n    return n + 1", v, h) == {"visible_passed": 1, "visible_total": 1, "hidden_passed": 1, "hidden_total": 2, "error_class": "none"}
+    assert box.grade("def f(n):\n    return n + 1", v, h) == {"visible_passed": 1, "visible_total": 1, "hidden_passed": 1, "hidden_total": 2, "error_class": "none", "tamper": ""}
     assert box.grade("", v, h)["error_class"] == "empty_code" and box.grade("def f(", v, h)["error_class"] == "syntax_error"
     assert box.grade("while True: pass", v, h, timeout=1)["error_class"] == "timeout"
     assert box.grade("import os\nos._exit(3)", v, h)["error_class"] == "harness_error"
     assert box.grade("import sys\nsys.exit(0)", v, h)["error_class"] == "runtime_error"
     assert box.grade("def f(n):\n    return n + 1", v, None)["visible_passed"] == 1
+    assert box.grade("import os\nos.remove('test_solution.py')", v, h)["tamper"] == "test_file_deleted"
+    assert box.grade("open('test_solution.py', 'w').write('')", v, h)["tamper"] == "test_file_modified"
+    assert box.values("import random\ndef f(n):\n    return random.random() if n else [n]", ["f(0)", "f(1)", "g(2)"]) == ["[0]", None, None]
     box.close()
 
 
@@ -113,3 +116,40 @@ def test_a_stream_keeps_each_rollout_once(spark, tmp_path):
     src.write.parquet(f"{tmp_path}/in")
     ingest.drain(ingest.once(ingest.follow(spark, f"{tmp_path}/in", src.schema), "k", "t"), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_a_solution_becomes_a_suite(spark):
+    df = spark.createDataFrame([("t", "def f(n):\n    return {'n': n}", "assert f(1) == 0\nassert f(2) == 0"), ("u", None, "assert f(1) == 0"), ("v", "def f(n):\n    return object()", "assert f(1) == 0")], "task_id string, code string, visible_tests string")
+    got = {r["task_id"]: (r["tests"], r["cases"], r["dropped"]) for r in code.converted(df).collect()}
+    assert got == {"t": ("assert f(1) == {'n': 1}\nassert f(2) == {'n': 2}", 2, 0), "u": ("", 0, 1), "v": ("", 0, 1)}
+
+
+def test_backends_fail_within_their_chunk(spark):
+    from tidemark.operators import sweep
+
+    assert [a["finish_reason"] for a in sweep.contained(lambda r: r[:1], [{}, {}])] == ["error", "error"]
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "")], "cell string, prompt string").coalesce(1)
+    assert {r["cell"]: r["finish_reason"] for r in sweep.generate(df, "echo", batch=2).collect()} == {"a": "stop", "b": "stop", "c": "error"}
+    with pytest.raises(ValueError):
+        sweep.backend("echo")(lambda r: r)
+    with pytest.raises(ValueError):
+        sweep.preflight(["repair"], [0], 0.0, True)
+    assert len(sweep.preflight(["small"], [0, 1], 0.0, False)) == 2
+
+
+def test_corpora_and_policies_are_guarded(spark, tmp_path):
+    from tidemark.operators import corpus
+
+    t = spark.createDataFrame([("a", "do this"), ("b", "do that")], "task_id string, prompt string")
+    corpus.guard(t, spark.createDataFrame([("a", "train")], "task_id string, split string"))
+    for bad, told in ((t.limit(0), "no tasks"), (t.unionAll(t), "duplicate"), (t.selectExpr("task_id", "' ' AS prompt"), "without")):
+        with pytest.raises(Refused, match=told):
+            corpus.guard(bad)
+    with pytest.raises(Refused, match="name none"):
+        corpus.guard(t, spark.createDataFrame([("z", "train")], "task_id string, split string"))
+    store.save_policy(spark, str(tmp_path / "p"), {"small": {"intercept": 0.5}}, ["x"])
+    assert store.load_policy(spark, str(tmp_path / "p"), ["x"]) == {"small": {"intercept": 0.5}}
+    with pytest.raises(Refused, match="moved"):
+        store.load_policy(spark, str(tmp_path / "p"), ["y"])
+    n = store.write_decisions(spark.createDataFrame([(0.1, "t", "small")], "lam double, task_id string, arm string"), str(tmp_path / "d"))
+    assert n == {"rows": 1, "lams": 1, "tasks": 1} and spark.read.json(str(tmp_path / "d/decisions.jsonl")).count() == 1

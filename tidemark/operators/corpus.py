@@ -107,3 +107,18 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
 
 def power_needed(n_pairs: int, n_tasks: int) -> str:
     return "enough" if n_tasks >= n_pairs else f"short by {math.ceil(n_pairs - n_tasks)}"
+
+
+def guard(tasks: DataFrame, splits: DataFrame | None = None) -> None:
+    """Refuses a corpus without tasks, with duplicate ids, without prompts, or whose splits name none of its tasks."""
+    from tidemark.operators.validate import Refused
+
+    n = tasks.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("task_id").isNull() | (squeezed(F.col("prompt")) == "")).alias("bad")).first()
+    if not n["n"]:
+        raise Refused("no tasks")
+    if n["bad"]:
+        raise Refused(f"{n['bad']} tasks without an id or a prompt")
+    if duplicate_tasks(tasks).limit(1).count():
+        raise Refused("duplicate task ids")
+    if splits is not None and not tasks.join(splits, "task_id", "left_semi").limit(1).count():
+        raise Refused("the splits name none of the tasks")

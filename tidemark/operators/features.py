@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidemark.operators.ordered import before
 
 # Words and patterns that the features count.
 ALGORITHMIC_PATTERN = r"(?i)\b(graph|dynamic|recursi\w*|optimi[sz]\w*|permutation|combinat\w*|backtrack\w*|matrix|modulo|prime|binary search|dijkstra|knapsack)\b"
@@ -157,5 +159,5 @@ def long_form(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 def fold(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """df with a fold of 0 .. k - 1 that is the same for all rows of a key, by the order of the keys' hashes."""
     h = F.md5(F.concat(F.lit(f"F|{seed}|"), F.col(key)).cast("binary"))
-    keys = df.select(key).distinct().withColumn("fold", (F.row_number().over(W.orderBy(h, key)) - 1) % k)
+    keys = before(df.select(key).distinct().withColumn("h__", h), ["h__", key], out="at__").select(key, (F.col("at__") % k).alias("fold"))
     return df.join(keys, key)

@@ -7,6 +7,8 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.operators.ordered import before
+
 
 def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """(by..., auc, n): rank AUC with ties averaged; NULL and NaN scores and NULL labels are left out; NULL where one class is missing.
@@ -16,17 +18,16 @@ def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> D
     by = by or []
     x = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
     x = x.groupBy(*by, F.col(score).alias("s__")).agg(F.sum(F.col(label).cast("long")).alias("p__"), F.sum((~F.col(label).cast("boolean")).cast("long")).alias("n__"))
-    below = F.coalesce(F.sum("n__").over(W.partitionBy(*(by or [F.lit(1)])).orderBy("s__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    x = x.withColumn("won__", F.col("p__") * (below + F.col("n__") / 2))
-    t = x.groupBy(*by).agg(F.sum("won__").alias("w"), F.sum("p__").alias("p"), F.sum("n__").alias("q"))
+    x = before(x.withColumnRenamed("p__", "pos__"), ["s__"], "n__", by, "below__")
+    x = x.withColumn("won__", F.col("pos__") * (F.col("below__") + F.col("n__") / 2))
+    t = x.groupBy(*by).agg(F.sum("won__").alias("w"), F.sum("pos__").alias("p"), F.sum("n__").alias("q"))
     return t.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).alias("auc"), (F.col("p") + F.col("q")).alias("n"))
 
 
 def average_rank(df: DataFrame, score: str, out: str = "rank") -> DataFrame:
     """Each row with the mean rank of its ties. Ranks run over counted distinct scores."""
     per = df.groupBy(score).agg(F.count(F.lit(1)).alias("c__"))
-    upto = F.sum("c__").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, 0))
-    ranks = per.select(score, (upto - (F.col("c__") - 1) / 2).alias(out))
+    ranks = before(per, [score], "c__", out="b__").select(score, (F.col("b__") + (F.col("c__") + 1) / 2).alias(out))
     return df.join(ranks, score)
 
 
@@ -81,13 +82,13 @@ def bootstrap(values: DataFrame, measures: list[str], draws: int, level: float =
     """(measure, point, low, high): percentile intervals of the mean of each measure of values(task_id, rep, measures...), clustered:
     tasks are drawn with replacement, then replicates within each drawn task, the same ones for every measure.
 
-    Tasks are numbered once (a window over tasks, which a replay has in thousands). Draws are hashes, so any engine and any partition
+    Tasks are numbered once, without gathering them. Draws are hashes, so any engine and any partition
     draws alike. The result of a draw is two sums per measure; the only wide table is tasks times draws, made and summed in one stage.
     """
     spark = values.sparkSession
     v = values.withColumn("k__", F.row_number().over(W.partitionBy("task_id").orderBy("rep")) - 1)
     per = v.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("k__", *measures))).alias("reps"))
-    per = per.withColumn("t__", F.row_number().over(W.orderBy("task_id")) - 1)
+    per = before(per, ["task_id"], out="t__")
     n = per.count()
     slots = spark.range(draws).withColumnRenamed("id", "b").crossJoin(spark.range(n).withColumnRenamed("id", "slot"))
     slots = slots.withColumn("t__", _draw("T", [F.col("b"), F.col("slot")], F.lit(n)))
@@ -106,7 +107,7 @@ def paired_bootstrap(values: DataFrame, a: str, b: str, draws: int, level: float
     spark = values.sparkSession
     v = values.withColumn("k__", F.row_number().over(W.partitionBy("task_id").orderBy("rep")) - 1)
     per = v.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("k__", a, b))).alias("reps"))
-    per = per.withColumn("t__", F.row_number().over(W.orderBy("task_id")) - 1)
+    per = before(per, ["task_id"], out="t__")
     n = per.count()
     slots = spark.range(draws).withColumnRenamed("id", "b__").crossJoin(spark.range(n).withColumnRenamed("id", "slot"))
     slots = slots.withColumn("t__", _draw("T", [F.col("b__"), F.col("slot")], F.lit(n)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.replay import unit
@@ -82,3 +84,63 @@ def with_ladder(rows: DataFrame, arm: str, fix_rate: float) -> DataFrame:
     kids = kids.withColumn("solved", unit(F.lit("fix"), F.col("rollout_id")) < fix_rate).withColumn("ladder_step", F.lit(1))
     base = rows.withColumn("parent_rollout_id", F.lit(None).cast("string")).withColumn("ladder_step", F.lit(0))
     return base.unionByName(kids).select(*dict.fromkeys([*names, "parent_rollout_id", "ladder_step"]))
+
+
+#: Backends by name: each takes a list of requests and gives as many answers, in order.
+BACKENDS: dict[str, Callable[[list[dict]], list[dict]]] = {}
+
+
+def backend(name: str) -> Callable:
+    """Registers a backend. A name is taken once."""
+
+    def add(f: Callable[[list[dict]], list[dict]]) -> Callable[[list[dict]], list[dict]]:
+        if name in BACKENDS:
+            raise ValueError(f"backend {name!r} is registered already")
+        BACKENDS[name] = f
+        return f
+
+    return add
+
+
+@backend("echo")
+def _echo(requests: list[dict]) -> list[dict]:
+    """Answers with the prompt; fails for a batch that holds an empty one."""
+    if any(not (r["prompt"] or "").strip() for r in requests):
+        raise ValueError("an empty prompt")
+    return [{"text": r["prompt"], "finish_reason": "stop"} for r in requests]
+
+
+def contained(f: Callable[[list[dict]], list[dict]], requests: list[dict]) -> list[dict]:
+    """A backend's answers; one failure for each request if it raises or gives another number of answers."""
+    try:
+        got = f(requests)
+        if len(got) != len(requests):
+            raise ValueError(f"{len(got)} answers to {len(requests)} requests")
+        return got
+    except Exception as e:  # a batch never ends a sweep
+        return [{"text": "", "finish_reason": "error", "error": f"{type(e).__name__}: {e}"[:200]} for _ in requests]
+
+
+def generate(cells: DataFrame, name: str, batch: int = 8) -> DataFrame:
+    """cells(cell, prompt) to (cell, text, finish_reason, error) by a backend, in chunks, failures held within their chunk."""
+    f = BACKENDS[name]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = b.astype(object).where(b.notna(), None).to_dict("records")
+            out = [{"cell": q["cell"], "error": None, **a} for i in range(0, len(rows), batch) for q, a in zip(rows[i : i + batch], contained(f, rows[i : i + batch]))]
+            yield pd.DataFrame(out, columns=["cell", "text", "finish_reason", "error"])
+
+    return cells.select("cell", "prompt").mapInPandas(run, "cell string, text string, finish_reason string, error string")
+
+
+def preflight(arms: list[str], seeds: list[int], temperature: float, backend_uses_seed: bool, repair_arms: tuple[str, ...] = ("repair",)) -> list[str]:
+    """Warnings of a planned sweep; a repair arm can't be swept and is refused."""
+    if bad := sorted(set(arms) & set(repair_arms)):
+        raise ValueError(f"repair arms can't be swept: {', '.join(bad)}")
+    out = []
+    if len(seeds) > 1 and temperature == 0:
+        out.append("several seeds of a greedy arm give the same text")
+    if len(seeds) > 1 and not backend_uses_seed:
+        out.append("the backend ignores seeds")
+    return out

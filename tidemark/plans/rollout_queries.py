@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.normalize import norm_id, norm_split
 from tidemark.operators import code, corpus, cost, features, sweep, validate
+from tidemark.operators.ordered import before
 from tidemark.plans.replay_queries import _TASKS, _long, rounded, task_rows
 from tidemark.plans.tables import C, G, R, SOLVED, VISIBLE, cells, grid, rollouts, solved, sql_id, sql_split, visible_frac
 from tidemark.session import cut, load, shared_dir
@@ -230,21 +231,7 @@ for _n in ("semi_tasks", "set_common_tasks"):
         lambda s, d: cells(s, d).where(F.col("arm").isin("small", "large")).groupBy("task_id").agg(F.count_distinct("arm").alias("n")).where("n = 2").select("task_id"))
 query("anti_missing_action", f"WITH {R} SELECT DISTINCT task_id FROM r WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT {sql_id('task_id')} FROM decisions WHERE chosen AND task_id IS NOT NULL)")(
     lambda s, d: rollouts(s, d, "task_id").select("task_id").where("task_id IS NOT NULL").distinct().join(load(s, d, "decisions").where("chosen").select(norm_id("task_id").alias("task_id")).distinct(), "task_id", "left_anti"))
-query("sort_tasks", f"WITH {_TASKS} SELECT task_id, row_number() OVER (ORDER BY task_id) AS position FROM tk WHERE task_id IS NOT NULL")(lambda s, d: _positions(task_rows(s, d).select("task_id")))
-
-
-def _positions(df: DataFrame) -> DataFrame:
-    """task_id with its place in the order of all. Range-partitioned sort, then places from per-partition counts: no single task sorts
-    or numbers everything; what comes to the driver is one count per partition."""
-    x = cut(df.repartitionByRange("task_id").sortWithinPartitions("task_id").withColumn("m", F.monotonically_increasing_id()))
-    part = F.shiftright("m", 33)
-    counts = sorted(x.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("lo")).collect())
-    rows, upto = [], 0
-    for r in counts:
-        rows.append((r["p"], upto - r["lo"] + 1))
-        upto += r["n"]
-    off = df.sparkSession.createDataFrame(rows, "p long, off long")
-    return x.withColumn("p", part).join(F.broadcast(off), "p").select("task_id", (F.col("m") + F.col("off")).alias("position"))
+query("sort_tasks", f"WITH {_TASKS} SELECT task_id, row_number() OVER (ORDER BY task_id) AS position FROM tk WHERE task_id IS NOT NULL")(lambda s, d: before(task_rows(s, d).select("task_id"), ["task_id"]).select("task_id", (F.col("before") + 1).alias("position")))
 
 
 query("limit_first_n", f"WITH {_TASKS} SELECT task_id FROM tk WHERE task_id IS NOT NULL ORDER BY task_id LIMIT 25")(lambda s, d: task_rows(s, d).select("task_id").orderBy("task_id").limit(25))
@@ -362,6 +349,20 @@ def _graded_rows(s, d):
     return x.repartition(F.xxhash64("rollout_id"))
 
 
+query("hack_tamper")(lambda s, d: code.graded(_graded_rows(s, d), timeout=2.0).groupBy("tamper").agg(F.count(F.lit(1)).alias("n")))
+query("py_literal")(lambda s, d: code.literals(load(s, d, "decisions").select(F.concat_ws("|", "policy_name", "task_id", "arm", "lam").alias("k"), "p_pass"), "k", "p_pass"))
+
+
+@query("corpus_convert")
+def corpus_convert(s, d):
+    """A suite for every task that some rollout solved, from what that solution gives for the calls of its visible tests."""
+    won = rollouts(s, d, "task_id", "code", "hidden_passed", "hidden_total").where("hidden_total > 0 AND hidden_passed = hidden_total AND code IS NOT NULL")
+    one = won.groupBy("task_id").agg(F.min_by("code", "rollout_id").alias("code"))
+    return code.converted(one.join(task_rows(s, d).select("task_id", "visible_tests"), "task_id").repartition(F.xxhash64("task_id")))
+
+
+query("backend_contain", f"WITH {_TASKS} SELECT count(*) AS answers FROM tk WHERE task_id IS NOT NULL")(
+    lambda s, d: sweep.generate(task_rows(s, d).select(F.col("task_id").alias("cell"), "prompt"), "echo").agg(F.count(F.lit(1)).alias("answers")))
 query("grade_project", f"WITH {R} SELECT rollout_id, hidden_passed IS NOT NULL AS graded, coalesce(hidden_passed, 0) AS hidden_passed FROM r")(lambda s, d: rollouts(s, d, "hidden_passed").select("rollout_id", F.col("hidden_passed").isNotNull().alias("graded"), F.coalesce("hidden_passed", F.lit(0)).alias("hidden_passed")))
 
 

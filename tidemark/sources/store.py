@@ -218,6 +218,28 @@ def write_report(spark: SparkSession, folder: str, payload: dict, rows: list[dic
     return m
 
 
+def write_decisions(df: DataFrame, folder: str) -> dict:
+    """Decisions as JSON, which counts, and Parquet, and the manifest last."""
+    df.write.mode("overwrite").json(f"{folder}/decisions.jsonl")
+    df.write.mode("overwrite").parquet(f"{folder}/decisions.parquet")
+    n = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("lam").alias("lams"), F.count_distinct("task_id").alias("tasks")).first().asDict()
+    write_text(df.sparkSession, f"{folder}/_MANIFEST.json", dumps(n))
+    return n
+
+
+def save_policy(spark: SparkSession, folder: str, heads: dict, feature_names: list[str]) -> None:
+    """Coefficients and the features they are for, as text that can be read by eye."""
+    write_text(spark, f"{folder}/policy.json", json.dumps({"features": feature_names, "heads": heads}, sort_keys=True, indent=1))
+
+
+def load_policy(spark: SparkSession, folder: str, feature_names: list[str]) -> dict:
+    """The coefficients; refused if the features have moved since."""
+    p = json.loads(read_text(spark, f"{folder}/policy.json"))
+    if p["features"] != list(feature_names):
+        raise Refused("the feature set has moved since the policy was fitted")
+    return p["heads"]
+
+
 def freeze(files: dict[str, bytes], constants: dict) -> dict:
     """What is submitted: the digest of every file, and the constants."""
     return {"files": {n: hashlib.sha256(b).hexdigest() for n, b in sorted(files.items())}, "constants": canonical(constants)}
