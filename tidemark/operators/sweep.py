@@ -13,6 +13,10 @@ from tidemark.operators.replay import unit
 # Outcomes that need no second attempt.
 TERMINAL = ["stop", "length", "refusal"]
 CELL = ["task_id", "arm", "seed", "params_hash"]
+# The texts of a prompt, in order.
+ASK = "Write a Python solution to the following problem."
+TESTS, PRIOR = "Your solution must satisfy these tests:", "Your previous attempt:"
+CLOSE = "Respond with one ```python code block containing the complete solution."
 
 
 def plan(tasks: DataFrame, arms: DataFrame, seeds: list[int]) -> DataFrame:
@@ -42,12 +46,12 @@ def drift(rows: DataFrame, expected: DataFrame) -> DataFrame:
 def render(prompt: Column, visible: Column, with_tests: bool = True, prior: Column | None = None) -> Column:
     """A user prompt: the task, its visible tests if shown, and an earlier attempt if there is one."""
     fence = lambda head, body: F.when(F.trim(F.coalesce(body, F.lit(""))) != "", F.concat(F.lit(f"\n\n{head}\n\n```python\n"), F.trim(body), F.lit("\n```"))).otherwise(F.lit(""))
-    parts = [F.lit("Write a Python solution to the following problem.\n\n"), F.trim(F.coalesce(prompt, F.lit("")))]
+    parts = [F.lit(f"{ASK}\n\n"), F.trim(F.coalesce(prompt, F.lit("")))]
     if with_tests:
-        parts.append(fence("Your solution must satisfy these tests:", visible))
+        parts.append(fence(TESTS, visible))
     if prior is not None:
-        parts.append(fence("Your previous attempt:", prior))
-    return F.concat(*parts, F.lit("\n\nRespond with one ```python code block containing the complete solution."))
+        parts.append(fence(PRIOR, prior))
+    return F.concat(*parts, F.lit(f"\n\n{CLOSE}"))
 
 
 def mock(cells: DataFrame, skills: dict[str, float], truncation: float = 0.03, refusal: float = 0.005, error: float = 0.005, jitter: float = 0.1) -> DataFrame:

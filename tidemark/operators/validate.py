@@ -18,7 +18,7 @@ FLOORS = {"prefill_tokens": 0, "decode_tokens": 0, "wall_ms": 0, "batch_size": 1
 IDENTITY = ["rollout_id", "run_id", "task_id", "arm", "params_hash"]
 CONTROL = "[\\x00-\\x1f]"
 
-# Column lists that say what may be a feature when.
+# Columns that are labels, that may be features at either decision point, and that never may.
 LABELS = ["hidden_passed", "hidden_total", "_solved"]
 D0_COLUMNS = ["task_id", "dataset", "split", "arm", "seed", "params_hash"]
 D1_COLUMNS = [*D0_COLUMNS, "text", "code", "code_parses", "extract_strategy", "finish_reason", "prefill_tokens", "decode_tokens", "visible_passed", "visible_total", "_visible_frac"]
