@@ -136,3 +136,13 @@ def test_assigned_splits_keep_entities_whole_and_ratios(spark, monkeypatch, bloc
     for r in splits.shares(a, df, "e", "l").collect():
         assert abs(r["share"] - {"train": 0.6}.get(r["split"], 0.2)) < 0.03
     assert splits.assign(df.limit(0), "e", "l", {"train": 1.0}).count() == 0
+
+
+def test_one_length_of_a_third_of_all_documents_is_cut_at_the_right_number(spark):
+    docs = [(i, "hot", 7) for i in range(900)] + [(1000 + i, "hot", 3 + i % 5) for i in range(90)]
+    n = spark.createDataFrame(docs, "id long, source string, n_tokens long")
+    takes = spark.createDataFrame([("hot", 7, 1, 333), ("hot", 3, 0, 0)], "source string, n_tokens long, passes long, more long")
+    got = [r["repeats"] for r in mixing.pick(n, takes, seed=1).where("n_tokens = 7").collect()]
+    assert sorted(got) == [1] * (len(got) - 333) + [2] * 333 and len(got) >= 900
+    assert mixing.pick(n, takes, seed=1).where("n_tokens = 3").count() == 0
+    assert {r["id"] for r in mixing.pick(n, takes, seed=2).where("repeats = 2").collect()} != {r["id"] for r in mixing.pick(n, takes, seed=1).where("repeats = 2").collect()}

@@ -168,7 +168,7 @@ def test_held_out_anchors_come_out_right(sf):
     a = pd.read_parquet(f"{sf}/reading_anchors.parquet")
     counts = np.zeros(1 << R.TABLE)
     for t in a["text"]:
-        for w in R._WORD.findall(t.lower()):
+        for w in R.words(t):
             counts[R.bucket(w)] += 1
     lex, lv, right = R.Lexicon(counts), a["reading_level"].to_numpy(), 0
     for k in range(5):

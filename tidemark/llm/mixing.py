@@ -17,8 +17,8 @@ from tidemark.session import cut
 
 #: Tokens that the knapsack fits exactly; its tables are of this many bits per length in use.
 DP_BUDGET = 1 << 16
-#: Hashed parts of the documents of one length, so that no length is ranked in one task.
-PARTS = 4096
+#: The documents of one length are counted in 2**PART_BITS hashed parts, so that no length is ranked in one task.
+PART_BITS = 12
 
 
 def lengths(docs: DataFrame, doc_id: str, source: str, text: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
@@ -109,11 +109,11 @@ def plan(lengths_: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]
 def pick(lengths_: DataFrame, takes: DataFrame, seed: int = 0) -> DataFrame:
     """(id, source, n_tokens, repeats): how often each document of the mix is used; documents that aren't used have no row.
 
-    Among the documents of one source and length, those with the smallest seeded hash get the further pass. They are counted in PARTS
+    Among the documents of one source and length, those with the smallest seeded hash get the further pass. They are counted in
     hashed parts first; only the one part in which the last of them falls is ranked.
     """
     h = F.xxhash64(F.lit(seed), "id", F.coalesce("source", F.lit("")))
-    x = lengths_.withColumn("h", h).withColumn("part", F.shiftrightunsigned("h", 52))
+    x = lengths_.withColumn("h", h).withColumn("part", F.shiftrightunsigned("h", 64 - PART_BITS))
     by = ["source", "n_tokens"]
     per = x.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("c"))
     per = per.withColumn("before", F.sum("c").over(W.partitionBy(*by).orderBy("part")) - F.col("c"))
