@@ -46,6 +46,13 @@ _CODE = re.compile(r"^\s*(?:def |class |return\b|import |from \w+ import|for .*:
 # A ";" or a capital after "and" also starts a sentence: writers join short sentences so without making them harder.
 _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+|;\s+|\s+and\s+(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
+
+
+def words(text: str) -> list[str]:
+    """Lower-case words: runs of letters, with one apostrophe inside."""
+    text = text.lower()
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
 
 
 def prose(text: str | None) -> list[list[str]]:
@@ -127,7 +134,7 @@ def english(texts: list[str | None], lex: Lexicon, joined: int = 1) -> tuple[np.
     block_no = 0
     for n, t in enumerate(texts):
         for block in prose(t):
-            ws = [_WORD.findall(s.lower()) for s in block]
+            ws = [words(s) for s in block]
             if joined > 1:
                 ws = [[w for x in ws[i : i + joined] for w in x] for i in range(0, len(ws), joined)]
                 block = [" ".join(block[i : i + joined]) for i in range(0, len(block), joined)]
@@ -213,7 +220,7 @@ def corpus_counts(docs: DataFrame, text: str) -> np.ndarray:
 
         for b in batches:
             for t in b["text"]:
-                c.update(_WORD.findall(t.lower()))
+                c.update(words(t))
             if len(c) > 500_000:
                 empty()
         empty()
