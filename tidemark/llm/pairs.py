@@ -29,6 +29,8 @@ ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 SAMPLE, LONGEST = 12_000, 16
 #: Hashed features; the most that a sequence of a rare label weighs.
 WIDTH, HEAVIEST = 1 << 16, 12.0
+#: Keys over which the rows of a hot task are spread.
+SPREAD = 32
 #: Words of a shingle for echoes, and the share of a clause's shingles from which it is labelled an echo.
 K, COPIED = 4, 0.6
 
@@ -67,6 +69,12 @@ _ENDED = re.compile(r"[.!?:;。！？][\"')\]`*_]*\s*\Z")
 _FOREIGN_CODE = re.compile(r"\b(?:fn|func|function|public|private|static|const|let|var|void|struct|impl|template|namespace|std|defn|elsif|println|printf)\b|[{};]\s*$|->\s*\w|=>|::|:=|\bend\s*$|\|\w+\|", re.M)
 
 
+def _untailed(text: str) -> str:
+    """A text without a closing token of a chat format."""
+    end = text.rstrip()[-1:]
+    return _TOKEN.sub("", text) if end in (">", "]") else text
+
+
 def segments(answer: str) -> list[tuple[bool, str, bool]]:
     """(code?, text, closed?) pieces of an answer in order: fenced code, bare code and all else."""
     out: list[tuple[bool, str, bool]] = []
@@ -158,7 +166,7 @@ def _told(tree: ast.AST) -> str:
 def code_state(code: str) -> tuple[str, str]:
     """(state, what a stub says). The state is whole, open (Python that stops in the middle), stub, comment (nothing but comments),
     blank or other (another language)."""
-    c = _TOKEN.sub("", code)
+    c = _untailed(code)
     if not c.strip():
         return "blank", ""
     if c.lstrip().startswith(("#", "//", "--")) and all(not x.strip() or x.lstrip().startswith(("#", "//", "--")) and not x.lstrip().startswith("#include") for x in c.split("\n")):
@@ -197,20 +205,25 @@ class Clauses:
             n = self._number[feature] = xxhash.xxh3_64_intdigest(feature) % WIDTH
         return n
 
+    def _languages(self, s: str, ws: list[str]) -> np.ndarray:
+        """How many words are frequent in each language and, last, letters of words that are all in another script; single look-alike
+        letters in a Latin word don't count."""
+        lang = np.zeros(len(_LANGS) + 1)
+        for w in ws:
+            for i in _OF_WORD.get(w, ()):
+                lang[i] += 1
+        if not s.isascii():
+            lang[-1] = sum(len(w) for w in ws if len(_OTHER_SCRIPT.findall(w)) == len(w))
+        return lang
+
     def _sentence(self, s: str) -> tuple[list[int], np.ndarray, int]:
         got = self._said.get(s)
         if got is None:
             if len(self._said) > 100_000:
                 self._said.clear()
             ws = [w.lower().replace("’", "'") for w in _WORDS.findall(s)]
-            lang = np.zeros(len(_LANGS) + 1)
-            for w in ws:
-                for i in _OF_WORD.get(w, ()):
-                    lang[i] += 1
-            # Words all in another script; single look-alike letters in a Latin word don't count.
-            lang[-1] = 0 if s.isascii() else sum(len(w) for w in ws if len(_OTHER_SCRIPT.findall(w)) == len(w))
             h = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % WIDTH for x in {*("w:" + w for w in ws), *(f"b:{a} {b}" for a, b in zip(ws, ws[1:]))}]
-            got = self._said[s] = (h, lang, len(ws))
+            got = self._said[s] = (h, self._languages(s, ws), len(ws))
         return got
 
     def prompt(self, p: str | None) -> tuple[int, frozenset[int], int]:
@@ -221,8 +234,7 @@ class Clauses:
         if got is None:
             if len(self._prompts) > 2_000:
                 self._prompts.clear()
-            lang = self._sentence(p)[1]
-            self._said.pop(p, None)
+            lang = self._languages(p, _WORDS.findall(p.lower()))
             ws = words(p)
             got = self._prompts[p] = (int(lang.argmax()), frozenset(shingles(self._hashes.of(ws), K).tolist()), len(ws))
         return got
@@ -238,7 +250,7 @@ class Clauses:
     def of(self, answer: str | None, prompt: str | None, finish: str | None) -> dict:
         """Clauses of an answer: kind, state, words, text and features of each, and what holds for the whole answer."""
         lang, said, _ = self.prompt(prompt)
-        text = _TOKEN.sub("", answer or "")
+        text = _untailed(answer or "")
         kinds: list[tuple[str, str, int, list[int]]] = []  # (what, text, words, features)
         counts = np.zeros(len(_LANGS) + 1)
         states = []
@@ -428,4 +440,10 @@ def defects(rows: DataFrame, prompts: DataFrame) -> DataFrame:
             d = pd.DataFrame({"id": b["id"], "defect": [defect(a, t) for a, t in got]})
             yield d[d["defect"].notna()]
 
-    return x.join(prompts, "task", "left").select("id", "answer", "prompt", "finish").mapInPandas(judge, "id long, defect string")
+    # Tasks with over a fiftieth of all rows, at most 50, are spread over SPREAD keys, their prompts repeated as often.
+    hot = [r[0] for r in rows.where("task IS NOT NULL").groupBy("task").count().where(F.col("count") > max(1, n // 50)).select("task").collect()]
+    is_hot = F.coalesce(F.col("task").isin(hot), F.lit(False)) if hot else F.lit(False)
+    # Rows without a task meet no prompt; they are spread as well.
+    x = x.withColumn("salt", F.when(is_hot | F.col("task").isNull(), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).otherwise(0))
+    p = prompts.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    return x.join(p, ["task", "salt"], "left").select("id", "answer", "prompt", "finish").mapInPandas(judge, "id long, defect string")
