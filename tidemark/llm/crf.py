@@ -34,42 +34,41 @@ class Crf:
         pad, size = self._padded(rows)
         n, longest = pad.shape
         k = len(self.first)
+        weight = np.ones(n) if weight is None else weight / weight.mean()
+        of_clause = weight[rows][:, None]
+        # Longest first, so that at each place the sequences that reach it are the first ones.
+        by = np.argsort(-size, kind="stable")
+        pad, size, weight = pad[by], size[by], weight[by]
+        live = [int((size > i).sum()) for i in range(longest)]
         yp = np.where(pad >= 0, y[pad], 0)
         starts = np.concatenate([[0], ends[:-1]])
         reps = np.repeat(np.arange(len(ends)), ends - starts)
         params = [self.w, self.pair, self.first]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         onehot = np.eye(k)[y]
-        weight = np.ones(n) if weight is None else weight / weight.mean()
         for t in range(1, steps + 1):
             e = self._emit(feats, ends)
-            ep = np.where((pad >= 0)[..., None], e[pad], 0.0)
-            a = np.empty((longest, n, k))
-            a[0] = self.first + ep[:, 0]
+            a, b = np.zeros((longest, n, k)), np.zeros((longest, n, k))
+            a[0] = self.first + e[pad[:, 0]]
             for i in range(1, longest):
-                x = a[i - 1][:, :, None] + self.pair[None]
-                mx = x.max(axis=1)
-                step = mx + np.log(np.exp(x - mx[:, None, :]).sum(axis=1)) + ep[:, i]
-                a[i] = np.where((i < size)[:, None], step, a[i - 1])
-            z = a[-1].max(axis=1) + np.log(np.exp(a[-1] - a[-1].max(axis=1)[:, None]).sum(axis=1))
-            b = np.zeros((longest, n, k))
+                x = a[i - 1, : live[i], :, None] + self.pair
+                top = x.max(axis=1)
+                a[i, : live[i]] = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1)) + e[pad[: live[i], i]]
+            end = a[size - 1, np.arange(n)]
+            top = end.max(axis=1)
+            z = top + np.log(np.exp(end - top[:, None]).sum(axis=1))
             gp = np.zeros_like(self.pair)
             for i in range(longest - 2, -1, -1):
-                x = self.pair[None] + (ep[:, i + 1] + b[i + 1])[:, None, :]
-                mx = x.max(axis=2)
-                step = mx + np.log(np.exp(x - mx[:, :, None]).sum(axis=2))
-                live = (i + 1 < size)[:, None]
-                b[i] = np.where(live, step, 0.0)
-                joint = np.exp(a[i][:, :, None] + x - z[:, None, None]) * (live[:, :, None] * weight[:, None, None])
-                gp += joint.sum(axis=0)
-                on = i + 1 < size
-                np.add.at(gp, (yp[on, i], yp[on, i + 1]), -weight[on])
-            p = np.exp(a + b - z[None, :, None])
+                on = live[i + 1]
+                x = self.pair + (e[pad[:on, i + 1]] + b[i + 1, :on])[:, None, :]
+                top = x.max(axis=2)
+                b[i, :on] = top + np.log(np.exp(x - top[:, :, None]).sum(axis=2))
+                gp += (np.exp(a[i, :on, :, None] + x - z[:on, None, None]) * weight[:on, None, None]).sum(axis=0)
+                np.add.at(gp, (yp[:on, i], yp[:on, i + 1]), -weight[:on])
             marg = np.empty_like(e)
             for i in range(longest):
-                on = i < size
-                marg[pad[on, i]] = p[i][on]
-            diff = (marg - onehot) * weight[rows][:, None]
+                marg[pad[: live[i], i]] = np.exp(a[i, : live[i]] + b[i, : live[i]] - z[: live[i], None])
+            diff = (marg - onehot) * of_clause
             gw = np.stack([np.bincount(feats, weights=diff[reps, j], minlength=len(self.w)) for j in range(k)], axis=1)
             gf = diff[pad[:, 0]].sum(axis=0)
             for q, (par, g) in enumerate(zip(params, (gw, gp, gf))):
