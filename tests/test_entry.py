@@ -43,7 +43,8 @@ def test_query(spark, sf, con, name):
 
 
 def test_flagship(spark, sf):
-    assert entry.entry(spark).columns == ["delivery_id"]
+    x = entry.entry(spark)
+    assert x.columns == ["policy", "accuracy", "cost", "latency_mean", "latency_p95", "n"] and x.count() == 6
 
 
 def test_nothing_outside_imports_the_llm_package():

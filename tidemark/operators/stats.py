@@ -85,12 +85,11 @@ def bootstrap(values: DataFrame, measures: list[str], draws: int, level: float =
     Tasks are numbered once, without gathering them. Draws are hashes, so any engine and any partition
     draws alike. The result of a draw is two sums per measure; the only wide table is tasks times draws, made and summed in one stage.
     """
-    spark = values.sparkSession
     v = values.withColumn("k__", F.row_number().over(W.partitionBy("task_id").orderBy("rep")) - 1)
     per = v.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("k__", *measures))).alias("reps"))
     per = before(per, ["task_id"], out="t__")
     n = per.count()
-    slots = spark.range(draws).withColumnRenamed("id", "b").crossJoin(spark.range(n).withColumnRenamed("id", "slot"))
+    slots = per.select(F.col("t__").alias("slot")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     slots = slots.withColumn("t__", _draw("T", [F.col("b"), F.col("slot")], F.lit(n)))
     x = slots.join(per, "t__").select("b", "slot", "reps", F.explode(F.sequence(F.lit(0), F.size("reps") - 1)).alias("i"))
     got = F.get(F.col("reps"), _draw("S", [F.col("b"), F.col("slot"), F.col("i")], F.size("reps")))
@@ -104,12 +103,11 @@ def bootstrap(values: DataFrame, measures: list[str], draws: int, level: float =
 
 def paired_bootstrap(values: DataFrame, a: str, b: str, draws: int, level: float = 0.95) -> DataFrame:
     """(point, low, high) of mean(a) - mean(b) over the same drawn tasks and replicates; each mean leaves out its own NULLs."""
-    spark = values.sparkSession
     v = values.withColumn("k__", F.row_number().over(W.partitionBy("task_id").orderBy("rep")) - 1)
     per = v.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("k__", a, b))).alias("reps"))
     per = before(per, ["task_id"], out="t__")
     n = per.count()
-    slots = spark.range(draws).withColumnRenamed("id", "b__").crossJoin(spark.range(n).withColumnRenamed("id", "slot"))
+    slots = per.select(F.col("t__").alias("slot")).withColumn("b__", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     slots = slots.withColumn("t__", _draw("T", [F.col("b__"), F.col("slot")], F.lit(n)))
     x = slots.join(per, "t__").select("b__", "slot", "reps", F.explode(F.sequence(F.lit(0), F.size("reps") - 1)).alias("i"))
     got = F.get(F.col("reps"), _draw("S", [F.col("b__"), F.col("slot"), F.col("i")], F.size("reps")))
