@@ -121,6 +121,25 @@ def test_cross_split_pairs(spark):
     assert V.cross_split(spark.createDataFrame(rows, "task string, prompt string").limit(0), "task", "prompt", both).count() == 0
 
 
+@pytest.mark.parametrize("tile", [8_192, 300])
+def test_every_pair_at_the_radius_is_met_whatever_the_number_of_classes(spark, monkeypatch, tile):
+    """Planted pairs that differ in RADIUS bits among unrelated fingerprints; the words of all are alike, so all met pairs come out."""
+    rng = np.random.default_rng(3)
+    n, planted = 2_000, 300
+    bits = rng.integers(0, 2, (n, V.BITS), dtype=np.uint8)
+    for i in range(planted):
+        bits[n - 1 - i] = bits[i]
+        bits[n - 1 - i, rng.permutation(V.BITS)[: V.RADIUS]] ^= 1
+    longs = np.packbits(bits, axis=1).view(np.int64)
+    fp = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(longs)], "class long, b0 long, b1 long, b2 long, b3 long")
+    monkeypatch.setattr(V, "TILE", tile)
+    monkeypatch.setattr(V, "fingerprints", lambda texts: fp)
+    texts = spark.createDataFrame([(i, "a b c d", i < n // 2, i >= n // 2) for i in range(n)], "class long, words string, left boolean, right boolean")
+    got = {tuple(r) for r in V.similar_classes(texts).collect()}
+    apart = np.stack([(bits[i] ^ bits[n // 2 :]).sum(axis=1, dtype=np.int64) for i in range(n // 2)])
+    assert got == {(int(a), int(b) + n // 2) for a, b in zip(*np.nonzero(apart <= V.RADIUS))} and len(got) >= planted
+
+
 def test_fingerprints_have_a_recall_of_09_against_brute_force(spark, sf):
     """All restated pairs of the test data at sf0.01, by comparing every pair, against the operator."""
     import pandas as pd

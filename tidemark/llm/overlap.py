@@ -1,15 +1,14 @@
-"""Same or nearly the same records on both sides of a split: similarity-hash fingerprints, joined by blocks of their bits.
+"""Same or nearly the same records on both sides of a split: similarity-hash fingerprints, all compared across the split.
 
 Texts are first brought to canonical words, and equal ones become one class. A class gets a fingerprint of BITS bits: the signs of a
 weighted sum over its words and pairs of neighbouring words, each weighted by how few classes have it. Two classes that share most of
-that differ in few bits. Classes of either side are joined where one of BLOCKS fixed selections of bits is equal in both; what lies
-within RADIUS is verified on the words themselves. A selection has some bits more than it takes to number all classes, so that chance
-meetings stay in proportion to the classes at any size.
+that differ in few bits. Every class of one side is compared with every class of the other, in tiles of TILE classes a side; what
+lies within RADIUS is verified on the words themselves. So no pair within RADIUS is missed at any size. The comparisons grow with the
+square of the classes.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -20,7 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.text import Hashes, mix, shingles, words
 from tidemark.session import cut
 
-BITS, BLOCKS, SPARE = 256, 96, 2
+BITS = 256
+#: Classes of either side that one task compares, at most about; and those compared at a time, which keeps its arrays in the cache.
+TILE, STRIP = 8_192, 16
 #: Bits in which two fingerprints may differ; unrelated ones differ in some 120, other tasks in the same phrases in 70 and more.
 RADIUS = 78
 #: Least share of common triples of words. Restated prompts keep 0.39 and more, other tasks in the same phrases 0.27 at most.
@@ -56,7 +57,7 @@ def classes(records: DataFrame, record: str, text: str) -> DataFrame:
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """(class, b0..b3, keys): the fingerprint of each row of `texts`(class, words), in four 64-bit parts, and its blocks' values."""
+    """(class, b0..b3): the fingerprint of each row of `texts`(class, words), in four 64-bit parts."""
     spark = texts.sparkSession
     n = texts.count()
 
@@ -75,13 +76,9 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     weight = np.sqrt(np.maximum(np.log((n + 1) / table), 0.05))
     weight[table <= 1] = 0.8  # a word that no other class has, most often a slip, tells nothing
     weights = spark.sparkContext.broadcast(weight.astype(np.float32))
-    width = min(60, max(10, math.ceil(math.log2(n + 1)) + SPARE))
-    rng = np.random.default_rng(6)
-    picks = np.stack([rng.permutation(BITS)[:width] for _ in range(BLOCKS)])
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hs, w = Hashes(), weights.value
-        power = np.int64(1) << np.arange(width, dtype=np.int64)
         for b in batches:
             bits = np.zeros((len(b), BITS), bool)
             for r, t in enumerate(b["words"]):
@@ -92,26 +89,45 @@ def fingerprints(texts: DataFrame) -> DataFrame:
                 signs = np.unpackbits(parts.view(np.uint8).reshape(len(f), -1), axis=1)
                 bits[r] = by @ signs.astype(np.float32) > by.sum() / 2
             longs = np.packbits(bits, axis=1).view(np.int64)
-            keys = (bits[:, picks] * power).sum(axis=2) * BLOCKS + np.arange(BLOCKS)
-            yield pd.DataFrame({"class": b["class"], **{f"b{i}": longs[:, i] for i in range(4)}, "keys": list(keys)})
+            yield pd.DataFrame({"class": b["class"], **{f"b{i}": longs[:, i] for i in range(4)}})
 
-    return texts.mapInPandas(prints, "class long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
+    return texts.mapInPandas(prints, "class long, b0 long, b1 long, b2 long, b3 long")
+
+
+def within(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y, both of four 64-bit columns, of all pairs that differ in at most `radius` bits."""
+    xs, ys = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    at, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(0, len(x), STRIP):
+        apart = np.zeros((len(x[i : i + STRIP]), len(y)), np.uint16)
+        for p, q in zip(xs, ys):
+            apart += np.bitwise_count(p[i : i + STRIP, None] ^ q)
+        a, b = np.nonzero(apart <= radius)
+        at.append(a + i)
+        of.append(b)
+    return np.concatenate(at), np.concatenate(of)
 
 
 def similar_classes(texts: DataFrame) -> DataFrame:
     """(a, b): classes a with `left` and b with `right` whose texts are much the same, of `texts`(class, words, left, right); a <> b.
 
-    No bucket is ever gathered: the blocks are equi-joined, so a block value that many classes share is split like any hot key.
+    Either side is hashed into tiles, and each tile of one meets each of the other in a task of its own, so no task holds more than two.
     """
-    fp = cut(fingerprints(texts))
-    sides = texts.select("class", "left", "right")
-    keyed = fp.select("class", F.explode("keys").alias("key")).join(sides, "class")
-    a, b = keyed.where("left").select("key", F.col("class").alias("a")), keyed.where("right").select("key", F.col("class").alias("b"))
-    pairs = a.join(b, "key").where("a <> b").select("a", "b").distinct()
+    fp = cut(fingerprints(texts).join(texts.select("class", "left", "right"), "class"))
+    n = fp.agg(F.count_if("left").alias("left"), F.count_if("right").alias("right")).first()
+    tiles = {side: max(1, -(-n[side] // TILE)) for side in ("left", "right")}
     f = ["b0", "b1", "b2", "b3"]
-    pa, pb = fp.select(F.col("class").alias("a"), *f), fp.select(F.col("class").alias("b"), *[F.col(x).alias(f"o{x}") for x in f])
-    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"o{x}"))) for x in f), F.lit(0))
-    near = pairs.join(pa, "a").join(pb, "b").where(apart <= RADIUS).select("a", "b")
+
+    def tiled(side: str, other: str) -> DataFrame:
+        own, met = F.pmod(F.xxhash64("class"), F.lit(tiles[side])), F.explode(F.sequence(F.lit(0), F.lit(tiles[other] - 1)))
+        return fp.where(side).select(own.cast("int").alias(side), met.alias(other), "class", *f).groupBy("left", "right")
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        a, b = within(x[f].to_numpy(np.int64).view(np.uint64), y[f].to_numpy(np.int64).view(np.uint64), RADIUS)
+        pairs = pd.DataFrame({"a": x["class"].to_numpy()[a], "b": y["class"].to_numpy()[b]})
+        return pairs[pairs["a"] != pairs["b"]]
+
+    near = tiled("left", "right").cogroup(tiled("right", "left")).applyInPandas(meet, "a long, b long")
     w = texts.select("class", "words")
     near = near.join(w.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
 
