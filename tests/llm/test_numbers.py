@@ -138,6 +138,22 @@ def test_assigned_splits_keep_entities_whole_and_ratios(spark, monkeypatch, bloc
     assert splits.assign(df.limit(0), "e", "l", {"train": 1.0}).count() == 0
 
 
+def test_splits_are_balanced_by_weight_and_rare_labels_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BLOCK", 60)
+    monkeypatch.setattr(splits, "ENOUGH", 5)
+    # 150 blocks' worth of small entities, one entity in ninety with the rare label, and one task with a tenth of all rows.
+    rows = [(f"e{i}", "rare" if i % 90 == 0 else "x", 1 + i % 4) for i in range(9000)] + [("giant", "x", 2500)]
+    df = spark.createDataFrame(rows, "e string, l string, n long")
+    ratios = {"train": 0.6, "val": 0.2, "test": 0.2}
+    a = splits.assign(df, "e", "l", ratios, weight="n")
+    assert a.count() == a.select("entity").distinct().count() == len(rows)
+    got = {(r["label"], r["split"]): r for r in splits.shares(a, df, "e", "l", weight="n").collect()}
+    assert sum(r["n"] for r in got.values()) == sum(n for *_, n in rows)
+    for k in ("x", "rare"):
+        for s, want in ratios.items():
+            assert abs(got[k, s]["share"] - want) < 0.02
+
+
 def test_one_length_of_a_third_of_all_documents_is_cut_at_the_right_number(spark):
     docs = [(i, "hot", 7) for i in range(900)] + [(1000 + i, "hot", 3 + i % 5) for i in range(90)]
     n = spark.createDataFrame(docs, "id long, source string, n_tokens long")

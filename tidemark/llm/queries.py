@@ -78,19 +78,19 @@ def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     per = load(spark, sf_dir, "generations").groupBy(norm_id("task_id").alias("task_id"), norm_id("dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("n")).where("task_id IS NOT NULL")
     per = cut(per.join(_entities(spark, sf_dir), "task_id", "left").select("task_id", "dataset", "n", F.coalesce("entity", "task_id").alias("entity")))
     ratios = {"train": 0.6, "val": 0.2, "test": 0.2}
-    return per, cut(splits.assign(per, "entity", "dataset", ratios))
+    return per, cut(splits.assign(per, "entity", "dataset", ratios, weight="n"))
 
 
 def p5_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A split for every task of generations, whole entities together, in the planned ratios for each dataset."""
+    """A split for every task of generations, whole entities together, its rows in the planned ratios for each dataset."""
     per, placed = _assigned(spark, sf_dir)
     return per.select("task_id", "entity").distinct().join(placed, "entity").select(F.col("entity").alias("entity_id"), "task_id", "split")
 
 
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What share of each dataset's tasks each split got."""
+    """What share of each dataset's generations rows each split got."""
     per, placed = _assigned(spark, sf_dir)
-    return splits.shares(placed, per, "entity", "dataset").select(F.col("label").alias("dataset"), "split", F.col("n").alias("tasks"), F.round("share", 6).alias("share"))
+    return splits.shares(placed, per, "entity", "dataset", weight="n").select(F.col("label").alias("dataset"), "split", F.col("n").alias("rows"), F.round("share", 6).alias("share"))
 
 
 # --- 6: overlap ---------------------------------------------------------------------------------------------------------------

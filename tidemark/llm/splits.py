@@ -17,6 +17,8 @@ TRACKING = r"^(utm_.*|ref|ref_src|referrer|source|src|fbclid|gclid|mc_cid|mc_eid
 
 #: Components handed to one greedy pass at a time, and the part of all rows from which a component is placed on its own first.
 BLOCK, LARGE = 20_000, 1 / 2_000
+#: Components a block that a label must have on average for blocks to balance it. Those with a rarer label are placed together.
+ENOUGH = 100
 
 
 def author_key(c: Column) -> Column:
@@ -93,27 +95,36 @@ def _place(comps: pd.DataFrame, labels: list[str], splits: list[str], need: dict
     return out
 
 
-def assign(rows: DataFrame, entity: str, label: str, ratios: dict[str, float]) -> DataFrame:
+def _counted(weight: str | None) -> Column:
+    return F.sum(f"`{weight}`") if weight else F.count(F.lit(1))
+
+
+def assign(rows: DataFrame, entity: str, label: str, ratios: dict[str, float], weight: str | None = None) -> DataFrame:
     """(entity, split): whole entities to splits, so that every split gets its ratio of the rows of each label.
 
-    Entities are first aggregated to vectors of rows per label. Those above LARGE of all rows (at most 1 / LARGE of them) are placed
-    first, on the driver; the others in hashed blocks of some BLOCK entities, side by side, each block towards its share of what the
-    large ones left over. So no task and no driver ever holds more than a block, at any size. NULL entities are left out, a NULL
-    label is a label. There must be few labels (they are the classes to balance, not identifiers).
+    A row counts as many as its `weight` says, or one. Entities are first aggregated to vectors of rows per label. Those above LARGE
+    of all rows (at most 1 / LARGE of them), and those with a label that fewer than ENOUGH entities a block have, are placed first, on
+    the driver; the others in hashed blocks of some BLOCK entities, side by side, each block towards its share of what the first ones
+    left over. So no task holds more than a block, and the driver, of each rare label, an entity in BLOCK / ENOUGH. NULL entities are
+    left out, a NULL label is a label. There must be few labels (they are the classes to balance, not identifiers).
     """
     splits = list(ratios)
     lab = F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("\u0000null"))
-    per = rows.where(F.col(f"`{entity}`").isNotNull()).groupBy(F.col(f"`{entity}`").cast("string").alias("entity"), lab.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    per = rows.where(F.col(f"`{entity}`").isNotNull()).groupBy(F.col(f"`{entity}`").cast("string").alias("entity"), lab.alias("label")).agg(_counted(weight).alias("n"))
     comps = cut(per.groupBy("entity").agg(F.sum("n").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("vec")))
     total = {r["label"]: r["n"] for r in comps.select(F.explode("vec").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).collect()}
     all_rows = sum(total.values())
-    big = comps.where(F.col("size") >= max(1, int(all_rows * LARGE))).toPandas() if all_rows >= BLOCK else comps.limit(0).toPandas()
+    small = F.col("size") < max(1, int(all_rows * LARGE))
+    held = {r["label"]: r["n"] for r in comps.where(small).select(F.explode("vec").alias("label", "x")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = max(1, -(-comps.where(small).count() // BLOCK))
+    rare = [k for k, n in held.items() if blocks > 1 and n < ENOUGH * blocks]
+    if rare:
+        small &= ~F.arrays_overlap(F.map_keys("vec"), F.array(*map(F.lit, rare)))
+    big = comps.where(~small).toPandas()
     need = {s: {k: ratios[s] * v for k, v in total.items()} for s in splits}
     placed = _place(big, list(total), splits, need)
     spark = rows.sparkSession
     first = spark.createDataFrame(placed, "entity string, split string") if placed else spark.createDataFrame([], "entity string, split string")
-    small = comps.where(F.col("size") < max(1, int(all_rows * LARGE))) if all_rows >= BLOCK else comps
-    blocks = max(1, -(-small.count() // BLOCK))
     names, left = list(total), {k: sum(max(0.0, need[s].get(k, 0.0)) for s in splits) for k in total}
     share = {s: {k: max(0.0, need[s][k]) / left[k] if left[k] else ratios[s] for k in total} for s in splits}
 
@@ -125,12 +136,13 @@ def assign(rows: DataFrame, entity: str, label: str, ratios: dict[str, float]) -
         goal = {s: {k: share[s][k] * v for k, v in own.items()} for s in splits}
         return pd.DataFrame(_place(pdf, names, splits, goal), columns=["entity", "split"])
 
-    rest = small.withColumn("b", F.pmod(F.xxhash64("entity"), F.lit(blocks))).groupBy("b").applyInPandas(place, "entity string, split string")
+    rest = comps.where(small).withColumn("b", F.pmod(F.xxhash64("entity"), F.lit(blocks))).groupBy("b").applyInPandas(place, "entity string, split string")
     return first.unionAll(rest)
 
 
-def shares(assigned: DataFrame, rows: DataFrame, entity: str, label: str) -> DataFrame:
-    """(label, split, n, share): what each split got of the rows of each label. Aggregated per entity before it is joined."""
-    per = rows.groupBy(F.col(f"`{entity}`").alias("entity"), F.col(f"`{label}`").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+def shares(assigned: DataFrame, rows: DataFrame, entity: str, label: str, weight: str | None = None) -> DataFrame:
+    """(label, split, n, share): what each split got of the rows of each label, counted as in `assign`. Aggregated per entity before
+    it is joined."""
+    per = rows.groupBy(F.col(f"`{entity}`").alias("entity"), F.col(f"`{label}`").alias("label")).agg(_counted(weight).alias("n"))
     x = per.join(assigned, "entity").groupBy("label", "split").agg(F.sum("n").alias("n"))
     return x.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("label")))
