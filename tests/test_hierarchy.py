@@ -71,3 +71,23 @@ def test_components(spark):
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == label
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_every_node_has_a_path_and_loops_have_descendants(spark):
+    # b > c > d > b is a loop with the tail d > e > f, x a loop of its own with y under it, p > q a plain link, r alone, s's parent lost.
+    up = {"c": "b", "d": "c", "b": "d", "e": "d", "f": "e", "x": "x", "y": "x", "q": "p", "s": "gone"}
+    nodes = "bcdefxypqrs"
+    links = spark.createDataFrame(list(up.items()), "c string, p string")
+    w = hierarchy.whole(links, spark.createDataFrame([(n,) for n in nodes], "node string")).collect()
+    got = {r["node"]: (r["root"], r["depth"], "".join(r["path"]), "".join(r["loop"] or [])) for r in w}
+    tops = {n: (n, 0, n, "") for n in "prs"}
+    assert len(w) == len(nodes) and got == tops | {"q": ("p", 1, "pq", ""), "b": ("b", -1, "b", "bcd"), "c": ("b", -1, "bc", "bcd"), "d": ("b", -1, "bcd", "bcd"), "e": ("b", -1, "bcde", "bcd"), "f": ("b", -1, "bcdef", "bcd"), "x": ("x", -1, "x", "x"), "y": ("x", -1, "xy", "x")}
+    want = set()
+    for n in nodes:
+        at, k, seen = up.get(n), 1, {n}
+        while at and at in nodes and at not in seen:
+            want.add((at, n, k))
+            seen.add(at)
+            at, k = up.get(at), k + 1
+    pairs = [tuple(r) for r in hierarchy.all_descendants(spark.createDataFrame(w)).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want

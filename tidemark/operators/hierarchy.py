@@ -100,3 +100,36 @@ def descendants(resolved: DataFrame) -> DataFrame:
     """
     x = resolved.where(F.col("depth") > 0).select("node", "depth", F.posexplode("path").alias("at", "ancestor"))
     return x.where(F.col("at") < F.col("depth")).select("ancestor", "node", (F.col("depth") - F.col("at")).alias("links"))
+
+
+def whole(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root, depth, path, loop) for every node: as `resolve`, with a row for roots too and a path for each node.
+
+    A loop is opened at its smallest node, its root: paths of nodes on and under it lead from there, and their depth stays -1. `loop`
+    lists the loop's nodes from the smallest on, each the parent of the next; NULL where there is none.
+    """
+    r = cut(resolve(links, nodes, with_paths=True))
+    none = F.lit(None).cast("array<string>")
+    alone = nodes.join(links.select(F.col("c").alias("node")), "node", "left_anti")
+    top = lambda c, depth: (c.alias("node"), c.alias("root"), F.lit(depth).cast("long").alias("depth"), F.array(c).alias("path"))
+    open_ = r.where("depth >= 0").unionByName(alone.select(*top(F.col("node"), 0))).withColumn("loop", none)
+    bad = r.where("depth < 0").select("node", "root")
+    under = cut(links.join(bad.withColumnRenamed("node", "c"), "c"))
+    below = resolve(under.where("c <> root").select("c", "p"), bad.select("node"), with_paths=True)
+    below = cut(below.withColumn("depth", F.lit(-1).cast("long")).unionByName(under.where("c = root").select(*top(F.col("c"), -1))))
+    # The parent of the smallest node ends the loop, so its path is the loop.
+    loops = under.where("c = root").select(F.col("p").alias("node")).join(below, "node").select("root", F.col("path").alias("loop"))
+    return open_.unionByName(below.join(loops, "root"))
+
+
+def all_descendants(resolved: DataFrame) -> DataFrame:
+    """(ancestor, node, links): every pair of two nodes of which one is above the other, from `whole`, loops included.
+
+    links is the least number of links from the node up to the ancestor; on a loop each node is above all others and their descendants.
+    """
+    x = resolved.select("node", "path", F.coalesce("loop", F.array()).alias("loop"), (F.size("path") - 1).cast("long").alias("deep"))
+    up = x.select("node", "deep", F.posexplode("path").alias("at", "ancestor")).where("at < deep").select("ancestor", "node", (F.col("deep") - F.col("at")).alias("links"))
+    # What of the loop isn't on the path is reached by going round it.
+    round_ = x.where("size(loop) > 0").select("node", "path", "deep", F.size("loop").alias("k"), F.posexplode("loop").alias("at", "ancestor"))
+    round_ = round_.where(~F.array_contains("path", F.col("ancestor"))).select("ancestor", "node", (F.col("deep") + F.col("k") - F.col("at")).alias("links"))
+    return up.unionByName(round_)

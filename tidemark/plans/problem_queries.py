@@ -31,6 +31,20 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.resolve(links, nodes, with_paths=True)).select("ancestor", F.col("node").alias("descendant"), "links")
 
 
+def p2_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rollout, roots and those on and under loops included, with its path; that of a loop starts at the loop's smallest rollout."""
+    g = load(spark, sf_dir, "generations").select("rollout_id", "parent_rollout_id", "delivery_id")
+    x = hierarchy.whole(*hierarchy.links_of(g, "rollout_id", "parent_rollout_id", "delivery_id"))
+    return x.select(F.col("node").alias("rollout_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", ">").alias("path"))
+
+
+def p2_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p2_descendants, with the pairs on and under loops."""
+    g = load(spark, sf_dir, "generations").select("rollout_id", "parent_rollout_id", "delivery_id")
+    x = hierarchy.whole(*hierarchy.links_of(g, "rollout_id", "parent_rollout_id", "delivery_id"))
+    return hierarchy.all_descendants(x).select("ancestor", F.col("node").alias("descendant"), "links")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.repeated(load(spark, sf_dir, "generations").select("delivery_id", "rollout_id"), "rollout_id", "delivery_id")
 
@@ -51,7 +65,7 @@ def p4_new_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("delivery_id", norm_id("rollout_id").alias("rollout_id"), "run_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p4_found, p4_kept, p4_new_in_batch)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_all_paths, p2_all_descendants, p4_found, p4_kept, p4_new_in_batch)}
 
 _ID = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))), '')"
 
