@@ -43,6 +43,17 @@ def test_grading_in_a_process_apart():
     box.close()
 
 
+def test_every_rollout_of_a_task_with_tests_is_graded(spark, monkeypatch):
+    from tidemark.plans import rollout_queries as Q
+
+    right, slow = "def f(n):\n    return n + 1", "import time\ntime.sleep(3)\ndef f(n):\n    return n + 1"
+    rows = [("r1", "t", right, "assert f(1) == 2", None), ("r2", "t", right, "assert f(1) == 2", None), ("r3", "u", right, None, "assert f(2) == 3"), ("r4", "t", slow, "assert f(1) == 2", None), ("r5", "t", None, "assert f(1) == 2", None), ("r6", "w", right, None, None)]
+    df = spark.createDataFrame(rows, "rollout_id string, task_id string, code string, visible_tests string, hidden_tests string")
+    monkeypatch.setattr(Q, "_with_entry", lambda s, d, *cols: df)
+    got = {r["rollout_id"]: (r["visible_passed"], r["hidden_passed"], r["error_class"]) for r in Q._grades(spark, "").collect()}
+    assert got == {"r1": (1, 0, "none"), "r2": (1, 0, "none"), "r3": (0, 1, "none"), "r4": (1, 0, "none"), "r5": (0, 0, "empty_code")}
+
+
 def test_literals_come_back():
     for v in ([1, (2,)], {"a": float("inf")}, set(), frozenset({1}), (), "x\n", None, {1: [True]}):
         assert eval(code.literal(v)) == v  # noqa: S307

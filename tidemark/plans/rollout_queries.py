@@ -339,17 +339,18 @@ for _n in ("extract_code", "topk_block"):
 query("d1_code_ast_nodes")(lambda s, d: code.shapes(_with_entry(s, d, "code")))
 query("count_asserts")(lambda s, d: code.asserts(task_rows(s, d)))
 query("hack_scan")(lambda s, d: code.hack_scan(_with_entry(s, d, "code")).select("rollout_id", F.array_join("flags", ",").alias("flags")))
-for _n in ("grade_run", "grade_one"):
-    query(_n)(lambda s, d: code.graded(_graded_rows(s, d), timeout=2.0))
-
+def _grades(s, d):
+    """The grade of every rollout whose task has tests. Equal code of a task is graded once, spread over all cores, for all its rollouts."""
+    key = F.concat_ws("|", F.sha2(F.coalesce("code", F.lit("")), 256), "task_id")
+    x = _with_entry(s, d, "code").where("visible_tests IS NOT NULL OR hidden_tests IS NOT NULL").withColumn("key", key)
+    once = x.groupBy("key").agg(*[F.first(c).alias(c) for c in ("code", "visible_tests", "hidden_tests")]).withColumnRenamed("key", "rollout_id")
+    grades = cut(code.graded(once.repartition(F.xxhash64("rollout_id")))).withColumnRenamed("rollout_id", "key")
+    return x.select("key", "rollout_id").join(grades, "key").drop("key")
 
-def _graded_rows(s, d):
-    """One row per distinct code of a task, spread over all cores: equal code is graded once."""
-    x = _with_entry(s, d, "code").where("visible_tests IS NOT NULL").groupBy("task_id", "code").agg(F.min("rollout_id").alias("rollout_id"), F.first("visible_tests").alias("visible_tests"), F.first("hidden_tests").alias("hidden_tests"))
-    return x.repartition(F.xxhash64("rollout_id"))
 
-
-query("hack_tamper")(lambda s, d: code.graded(_graded_rows(s, d), timeout=2.0).groupBy("tamper").agg(F.count(F.lit(1)).alias("n")))
+for _n in ("grade_run", "grade_one"):
+    query(_n)(_grades)
+query("hack_tamper")(lambda s, d: _grades(s, d).groupBy("tamper").agg(F.count(F.lit(1)).alias("n")))
 query("py_literal")(lambda s, d: code.literals(load(s, d, "decisions").select(F.concat_ws("|", "policy_name", "task_id", "arm", "lam").alias("k"), "p_pass"), "k", "p_pass"))
 
 
