@@ -10,11 +10,10 @@ PROMPT = "Write a function `total` taking `rows`. Each row holds a price and a c
 CODE = "```python\ndef total(rows):\n    s = 0\n    for r in rows:\n        if r['count'] > 3:\n            s += r['price']\n    return s\n```"
 
 
-@pytest.fixture(scope="module")
-def crf():
+def answers(scale):
     from pathlib import Path
 
-    at = Path("/root/testdata/sf0.01")
+    at = Path(f"/root/testdata/sf{scale}")
     if not at.is_dir():
         pytest.skip("no test data here")
     g, t = pd.read_parquet(at / "generations.parquet", columns=["task_id", "text", "code", "finish_reason"]), pd.read_parquet(at / "tasks.parquet", columns=["task_id", "prompt"])
@@ -22,7 +21,12 @@ def crf():
     g["prompt"] = key(g["task_id"]).map(dict(zip(key(t["task_id"]), t["prompt"])))
     g["answer"] = g["text"].where(g["text"].fillna("").str.strip() != "", g["code"])
     g = g.rename(columns={"finish_reason": "finish"}).astype(object)
-    return P.train(g.where(g.notna(), None))
+    return g.where(g.notna(), None)
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return P.train(answers(0.01))
 
 
 CASES = [
@@ -44,6 +48,13 @@ def test_defects(crf, answer, want):
     assert P.defect(a, tags) == want
 
 
+def test_the_tags_decide(crf):
+    """With every clause tagged as answer no answer is defective."""
+    for answer, want in CASES:
+        a, tags = P.tagged(P.Clauses(), crf, [answer], [PROMPT], ["stop"])[0]
+        assert len(tags) == len(a["clauses"]) > 0 and P.defect(a, [P.ANSWER] * len(tags)) is None
+
+
 def test_the_language_is_judged_against_the_prompt(crf):
     de = "Schreibe eine Funktion `total` mit dem Parameter `rows`. Die Summe wird für jede Zeile gebildet und nicht gerundet."
     a, tags = P.tagged(P.Clauses(), crf, ["Zuerst wird die leere Eingabe behandelt.\n\n" + CODE], [de], ["stop"])[0]
@@ -76,6 +87,19 @@ def test_held_out_refusals_are_found_without_their_log(spark, sf):
     assert held and sum(got.get(i) == "refusal" for i in held) >= 0.85 * len(held)
 
 
+def test_most_held_out_refusals_are_found_on_more_rows():
+    """As above on ten times as many rows, without Spark."""
+    g = answers(0.1)
+    said = g["answer"].fillna("")
+    logged = (g["finish"] == "refusal") & ~said.str.contains("def |lambda") & said.str.strip().str.len().between(10, 150)
+    held = logged & (g.index % 2 == 0)
+    g.loc[g.index % 2 == 0, "finish"] = "stop"
+    field = P.train(g[~said.str.contains(P.GIVES) | (g.index % 8 == 0)])
+    h = g[held]
+    got = [P.defect(a, t) for a, t in P.tagged(P.Clauses(), field, h["answer"].tolist(), h["prompt"].tolist(), h["finish"].tolist())]
+    assert len(h) > 50 and sum(x == "refusal" for x in got) >= 0.95 * len(h)
+
+
 def test_the_field_learns_a_chain(spark):
     """A label that only its neighbour tells is learned through the pair weights."""
     import numpy as np

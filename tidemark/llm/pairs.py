@@ -1,10 +1,12 @@
 """Broken prompt and response pairs: clauses of the answer are tagged by a conditional random field, and their coverage tells the defect.
 
-An answer is cut into clauses: each piece of code is one, of what isn't code each sentence. A clause has its words and pairs of words
-as features, how it ends, where it stands, whether its code parses and comes to an end, in what language it is against the prompt,
-and how much of it stands in the prompt. The field tags clauses as answer, refusal, echo, foreign or unfinished. It is trained here,
-on a bounded sample of rows whose clauses are labelled by what the rows themselves tell: that they were logged as refused or cut off,
-that their code parses, what of them stands in the prompt, in what language they are.
+An answer is cut into clauses: each piece of code is one, of what isn't code each sentence; an answer of nothing is one clause of
+nothing. A clause has its words and pairs of words or, of code, how its lines start and end as features, where it stands, and how
+much of it stands in the prompt. Besides it has features by rule: whether its code parses and comes to an end, in what language it is
+against the prompt, and what the log says. The field tags every clause as answer, refusal, echo, foreign or unfinished, and the
+defect follows from the tags and the sizes of the clauses alone. It is trained here, on a bounded sample of rows whose clauses are
+labelled by what the rows themselves tell. From half of these rows the features by rule are struck out, so that the field must learn
+from the wording what the rules would tell it.
 """
 
 from __future__ import annotations
@@ -25,15 +27,18 @@ from tidemark.llm.text import Hashes, shingles, words
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-#: Rows on which the field is trained, at most, and clauses of them that are looked at.
-SAMPLE, LONGEST = 12_000, 16
+#: Rows on which the field is trained, about; and clauses of a stretch: longer answers are trained on stretch by stretch, whole.
+SAMPLE, STRETCH = 12_000, 16
 #: Hashed features; the most that a sequence of a rare label weighs.
 WIDTH, HEAVIEST = 1 << 16, 12.0
-#: Keys over which the rows of a hot task are spread.
-SPREAD = 32
+#: A task with over one in HOT of all rows, of which there are fewer than HOT, is spread over as many keys as it has such parts.
+HOT = 10_000
 #: Words of a shingle for echoes, and the share of a clause's shingles from which it is labelled an echo.
 K, COPIED = 4, 0.6
 
+# Code that gives a value back.
+GIVES = r"(?m)^[ \t]+(return|yield|print)\b|lambda"
+
 # What stands for no answer.
 PLACEHOLDERS = frozenset("none null nil nan n/a na tbd todo fixme empty blank undefined answer no_answer no_output nothing placeholder pass output code solution response text".split()) | {
     "no output", "no answer", "no response", "not available", "your code here", "answer here", "insert code here", "write your code here", "code here", "to be done", "not implemented", "left blank"}
@@ -66,6 +71,7 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"')\]]*\s+|(?<=[。！？])|\n[ \t
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _OTHER_SCRIPT = re.compile("[Ͱ-῿぀-ヿ㐀-鿿가-힯]")
 _ENDED = re.compile(r"[.!?:;。！？][\"')\]`*_]*\s*\Z")
+_LINE_START = re.compile(r"^[ \t]*(\w+|[^\w\s]{1,2})", re.M)
 _FOREIGN_CODE = re.compile(r"\b(?:fn|func|function|public|private|static|const|let|var|void|struct|impl|template|namespace|std|defn|elsif|println|printf)\b|[{};]\s*$|->\s*\w|=>|::|:=|\bend\s*$|\|\w+\|", re.M)
 
 
@@ -247,31 +253,41 @@ class Clauses:
         sh = shingles(self._hashes.of(ws), K).tolist()
         return sum(x in prompt for x in sh) / len(sh)
 
+    def _code(self, piece: str) -> list[int]:
+        """Features of a piece of code by its looks: with what its lines start and end, and its last line."""
+        lines = piece.rstrip().split("\n")
+        last = lines[-1].strip()
+        starts = {*_LINE_START.findall(piece)}
+        ends = {x[-1:] for x in lines} & {*";{}:,)"}
+        deep = len(lines[-1]) - len(lines[-1].lstrip())
+        even = all(piece.count(x) == piece.count(y) for x, y in ("()", "[]", "{}"))
+        start = _LINE_START.match(last)
+        return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % WIDTH for x in (*("l:" + x for x in starts), *("e:" + x for x in ends), f"z:{start and start[1]}", f"y:{last[-1:]}", f"deep={deep > 0}", f"even={even}", f"lines={min(4, len(lines))}")]
+
     def of(self, answer: str | None, prompt: str | None, finish: str | None) -> dict:
-        """Clauses of an answer: kind, state, words, text and features of each, and what holds for the whole answer."""
+        """Clauses of an answer, each (kind, text, size, features, ended, echo, features by rule), and what holds for the whole answer.
+        The size is the words that say or do something: a stub, an empty block and an answer of nothing have none."""
         lang, said, _ = self.prompt(prompt)
         text = _untailed(answer or "")
         kinds: list[tuple[str, str, int, list[int]]] = []  # (what, text, words, features)
         counts = np.zeros(len(_LANGS) + 1)
-        states = []
         for code, piece, closed in segments(text):
             state, told = code_state(piece) if code else ("", "")
-            if code and state == "stub" and told.strip():
-                states.append("told")
-                piece = told
-            elif code and state not in ("comment", "blank"):
+            if code:
                 if state == "stub" and self.echoed(piece, said) >= COPIED:
                     state = "echo"
                 elif state == "open" and '"""' in piece and self.echoed(piece, said) >= COPIED:
                     state = "echo"
                 elif state == "whole" and not closed and finish == "length":
                     state = "open"
-                states.append(state)
-                kinds.append((state, piece, max(1, len(piece) // 6), []))
-                continue
-            elif code:
-                states.append("blank")
-                piece = re.sub(r"^\s*(?:#|//|--)+\s?", "", piece, flags=re.M)
+                nothing = state in ("stub", "blank", "comment")
+                kinds.append((state, piece, 0 if nothing else max(1, len(piece) // 6), self._code(piece)))
+                if state == "stub" and told.strip():
+                    piece = told
+                elif state in ("blank", "comment"):
+                    piece = re.sub(r"^\s*(?:#|//|--)+\s?", "", piece, flags=re.M)
+                else:
+                    continue
             for s in _SENTENCE.split(_TAGS.sub(" ", piece)):
                 s = s.strip().strip("`").strip()
                 if not s:
@@ -282,25 +298,31 @@ class Clauses:
                     continue
                 counts += lc
                 kinds.append(("said", s, max(n, int(lc[-1]) // 2, 1), f))
+        if not kinds:
+            kinds.append(("blank", "", 0, [self._n("nothing")]))
         # A language other than the prompt's must have more of its words than the prompt's own.
         best = int(counts.argmax())
         foreign = best != lang and counts[best] > counts[lang] and counts[best] >= 2
-        solved = "whole" in states
+        solved = any(k[0] == "whole" for k in kinds)
+        coded = any(k[0] != "said" and k[2] for k in kinds)
         n = len(kinds)
-        common = [self._n(f"finish={finish}"), self._n(f"solved={solved}"), self._n(f"code={bool(states)}"), self._n(f"foreign={foreign}")]
+        rules = [self._n(f"finish={finish}"), self._n(f"solved={solved}"), self._n(f"foreign={foreign}")]
         out = []
         for i, (what, s, size, f) in enumerate(kinds):
-            x = [*f, *common, self._n(f"what={what}"), self._n(f"first={i == 0}"), self._n(f"last={i == n - 1}")]
+            x = [*f, self._n(f"coded={coded},said={what == 'said'}"), self._n(f"first={i == 0}"), self._n(f"last={i == n - 1}")]
+            by = [*rules, self._n(f"what={what}")]
             echo = 0.0
             if what == "said":
                 ended = bool(_ENDED.search(s)) and not s.endswith("...")
                 if not solved:
                     echo = self.echoed(s, said)
-                x += [self._n(f"ended={ended},last={i == n - 1},solved={solved}"), self._n(f"echo={int(5 * echo)}"), self._n(f"foreign={foreign},solved={solved}")]
+                x += [self._n(f"ended={ended},last={i == n - 1},coded={coded}"), self._n(f"echo={int(5 * echo)}"), self._n(f"nothing copied={echo == 0 and size >= K}")]
+                by += [self._n(f"ended={ended},last={i == n - 1},solved={solved}"), self._n(f"foreign={foreign},solved={solved}")]
             else:
                 ended = what == "whole"
-            out.append((what, s, size, x, ended, echo))
-        return {"clauses": out, "foreign": foreign, "states": states, "solved": solved}
+                x.append(self._n(f"echo={0 if ended else int(5 * self.echoed(s, said))}"))
+            out.append((what, s, size, x + by, ended, echo, len(by)))
+        return {"clauses": out, "foreign": foreign, "solved": solved}
 
 
 def weak_labels(a: dict, finish: str | None) -> list[int] | None:
@@ -309,11 +331,11 @@ def weak_labels(a: dict, finish: str | None) -> list[int] | None:
     n = len(a["clauses"])
     refused = not a["solved"] and any(w == "said" and _DECLINED.search(s) for w, s, *_ in a["clauses"])
     logged = finish == "refusal" and not a["solved"]
-    code = [s for s in a["states"] if s in ("whole", "open", "other", "stub")]
-    for i, (what, s, _, _, ended, echo) in enumerate(a["clauses"]):
+    code = [w for w, _, size, *_ in a["clauses"] if w != "said" and size]
+    for i, (what, s, _, _, ended, echo, _) in enumerate(a["clauses"]):
         if what == "echo" or what == "said" and echo >= COPIED:
             out.append(ECHO)
-        elif what in ("open", "stub"):
+        elif what in ("open", "stub", "blank", "comment"):
             out.append(UNFINISHED)
         elif what == "other":
             out.append(FOREIGN)
@@ -339,32 +361,28 @@ def weak_labels(a: dict, finish: str | None) -> list[int] | None:
 
 
 def defect(a: dict, tags: list[int]) -> str | None:
-    """The defect of an answer by the share of its words under each tag, None if it has none."""
-    size = np.zeros(len(LABELS))
-    said = np.zeros(len(LABELS))
+    """The defect of an answer by what its clauses' tags cover, None if it has none. `code` and `said` are the words of code and of
+    sentences under each tag; `void` tells that a clause without any substance is tagged unfinished."""
+    code, said, void = np.zeros(len(LABELS)), np.zeros(len(LABELS)), False
     for (what, _, n, *_), t in zip(a["clauses"], tags):
-        size[t] += n
-        if what == "said":
-            said[t] += n
-    states = a["states"]
-    total = size.sum()
-    if not total:
-        return "empty"
-    if "whole" in states:
-        return "other_language" if a["foreign"] and said[FOREIGN] > 0.5 * said.sum() else None
-    if size[ECHO] >= 0.5 * total:
+        (said if what == "said" else code)[t] += n
+        void |= n == 0 and t == UNFINISHED
+    both = code + said
+    if code[ANSWER]:
+        return "other_language" if said[FOREIGN] > 0.5 * said.sum() else None
+    if both[ECHO] and both[ECHO] >= 0.5 * both.sum():
         return "copied_prompt"
-    if "other" in states:
+    if code[FOREIGN]:
         return "other_language"
-    if "open" in states:
+    if code[UNFINISHED]:
         return "truncated"
-    if said[REFUSAL] > 0 and said[UNFINISHED] == 0:
+    if both[REFUSAL] and not said[UNFINISHED]:
         return "refusal"
-    if not {"stub", "told", "blank"}.isdisjoint(states):
+    if void:
         return "empty"
     if said[FOREIGN] > 0.5 * said.sum():
         return "other_language"
-    return "truncated"
+    return "truncated" if said[UNFINISHED] else None
 
 
 def _flat(many: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -375,18 +393,18 @@ def _flat(many: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(sample: pd.DataFrame) -> Crf:
-    """A field fitted on rows with `answer`, `prompt` and `finish`."""
+    """A field fitted on rows with `answer`, `prompt` and `finish`. Every second labelled row is shown without the features by rule."""
     cl, many, ys = Clauses(), [], []
     for answer, prompt, finish in zip(sample["answer"], sample["prompt"], sample["finish"]):
         a = cl.of(answer, prompt, finish)
         y = weak_labels(a, finish)
         if y:
-            a["clauses"] = a["clauses"][:LONGEST]
-            many.append(a)
-            ys += y[:LONGEST]
+            xs = [(*c[:3], c[3][: -c[6]] if len(ys) % 2 else c[3]) for c in a["clauses"]]
+            many += [{"clauses": xs[i : i + STRETCH]} for i in range(0, len(xs), STRETCH)]
+            ys.append(y)
     crf = Crf(len(LABELS), WIDTH)
     if many:
-        flat, y = _flat(many), np.array(ys)
+        flat, y = _flat(many), np.concatenate(ys)
         # Sound answers are nearly all: a sequence weighs as much as its rarest label is rare, up to a bound.
         rare = len(y) / (len(LABELS) * np.bincount(y, minlength=len(LABELS)).clip(1))
         weight = np.zeros(len(many))
@@ -398,7 +416,7 @@ def train(sample: pd.DataFrame) -> Crf:
 def tagged(cl: Clauses, crf: Crf, answers: list[str | None], prompts: list[str | None], finishes: list[str | None]) -> list[tuple[dict, list[int]]]:
     """The clauses of each answer with their tags."""
     many = [cl.of(a, p, f) for a, p, f in zip(answers, prompts, finishes)]
-    full = [i for i, a in enumerate(many) if a["clauses"]]
+    full = list(range(len(many)))
     out: list[tuple[dict, list[int]]] = [(a, []) for a in many]
     if full:
         flat = _flat([many[i] for i in full])
@@ -424,11 +442,12 @@ def defects(rows: DataFrame, prompts: DataFrame) -> DataFrame:
     """
     blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == ""
     x = rows.select("id", "task", F.when(blank, F.col("code")).otherwise(F.col("text")).alias("answer"), F.lower(F.trim("finish")).alias("finish"))
-    n = rows.count()
-    # Half of the sample are any rows, half are rows without code, which are few and tell most about refusals.
-    some = x.where(F.pmod(F.xxhash64("id"), F.lit(max(1, 2 * n // SAMPLE))) == 0).limit(SAMPLE)
-    bare = x.where(~F.coalesce("answer", F.lit("")).rlike("```|def |lambda")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE // 2)
-    sample = some.unionAll(bare).join(prompts, "task", "left").select("id", "answer", "prompt", "finish").toPandas().sort_values("id")
+    sound = F.coalesce("answer", F.lit("")).rlike(GIVES)
+    n, n_bare = x.agg(F.count(F.lit(1)), F.count_if(~sound)).first()
+    # Half of the sample are any rows, half are rows that nowhere give a value, which are few and most of them defective; either half
+    # is told by a threshold on a hash, so nothing is ranked or gathered but the sample itself.
+    part = lambda of: F.pmod(F.xxhash64("id"), F.lit(max(1, 2 * of // SAMPLE))) == 0
+    sample = x.where(part(n) | ~sound & part(n_bare)).join(prompts, "task", "left").select("id", "answer", "prompt", "finish").toPandas().sort_values("id")
     sample = sample.astype(object).where(sample.notna(), None)
     crf = rows.sparkSession.sparkContext.broadcast(train(sample))
 
@@ -440,10 +459,12 @@ def defects(rows: DataFrame, prompts: DataFrame) -> DataFrame:
             d = pd.DataFrame({"id": b["id"], "defect": [defect(a, t) for a, t in got]})
             yield d[d["defect"].notna()]
 
-    # Tasks with over a fiftieth of all rows, at most 50, are spread over SPREAD keys, their prompts repeated as often.
-    hot = [r[0] for r in rows.where("task IS NOT NULL").groupBy("task").count().where(F.col("count") > max(1, n // 50)).select("task").collect()]
-    is_hot = F.coalesce(F.col("task").isin(hot), F.lit(False)) if hot else F.lit(False)
+    least = max(1, n // HOT)
+    # Fewer than HOT tasks.
+    hot = rows.where("task IS NOT NULL").groupBy("task").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > least).select("task", F.ceil(F.col("c") / F.lit(least)).alias("keys"))
+    x, p = (y.join(F.broadcast(hot), "task", "left") for y in (x, prompts))
     # Rows without a task meet no prompt; they are spread as well.
-    x = x.withColumn("salt", F.when(is_hot | F.col("task").isNull(), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).otherwise(0))
-    p = prompts.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
-    return x.join(p, ["task", "salt"], "left").select("id", "answer", "prompt", "finish").mapInPandas(judge, "id long, defect string")
+    keys = F.when(F.col("task").isNull(), F.lit(HOT)).otherwise(F.coalesce("keys", F.lit(1)))
+    x = x.withColumn("salt", F.pmod(F.xxhash64("id"), keys))
+    p = p.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("keys", F.lit(1)) - 1)))
+    return x.drop("keys").join(p.drop("keys"), ["task", "salt"], "left").select("id", "answer", "prompt", "finish").mapInPandas(judge, "id long, defect string")
