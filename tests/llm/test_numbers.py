@@ -124,9 +124,9 @@ def test_entities_and_conflicts(spark):
     assert splits.conflicts(e, g.limit(0), "task", "split").count() == 0
 
 
-@pytest.mark.parametrize("block", [20_000, 60])
-def test_assigned_splits_keep_entities_whole_and_ratios(spark, monkeypatch, block):
-    monkeypatch.setattr(splits, "BLOCK", block)
+@pytest.mark.parametrize("bundles", [splits.BUNDLES, 60])
+def test_assigned_splits_keep_entities_whole_and_ratios(spark, monkeypatch, bundles):
+    monkeypatch.setattr(splits, "BUNDLES", bundles)
     rng = random.Random(4)
     rows = [(f"e{int(rng.paretovariate(1.2)) % 150}" if i % 3 else "giant" if i % 30 == 0 else f"s{i}", rng.choice("xxy")) for i in range(3000)] + [(None, "x")]
     df = spark.createDataFrame(rows, "e string, l string")
@@ -138,10 +138,10 @@ def test_assigned_splits_keep_entities_whole_and_ratios(spark, monkeypatch, bloc
     assert splits.assign(df.limit(0), "e", "l", {"train": 1.0}).count() == 0
 
 
-def test_splits_are_balanced_by_weight_and_rare_labels_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(splits, "BLOCK", 60)
-    monkeypatch.setattr(splits, "ENOUGH", 5)
-    # 150 blocks' worth of small entities, one entity in ninety with the rare label, and one task with a tenth of all rows.
+@pytest.mark.parametrize("bundles", [splits.BUNDLES, 300])
+def test_splits_are_balanced_by_weight_and_by_rare_labels(spark, monkeypatch, bundles):
+    monkeypatch.setattr(splits, "BUNDLES", bundles)
+    # More small entities than bundles, one entity in ninety with the rare label, and one task with a tenth of all rows.
     rows = [(f"e{i}", "rare" if i % 90 == 0 else "x", 1 + i % 4) for i in range(9000)] + [("giant", "x", 2500)]
     df = spark.createDataFrame(rows, "e string, l string, n long")
     ratios = {"train": 0.6, "val": 0.2, "test": 0.2}
@@ -154,6 +154,47 @@ def test_splits_are_balanced_by_weight_and_rare_labels_across_blocks(spark, monk
             assert abs(got[k, s]["share"] - want) < 0.02
 
 
+@pytest.mark.parametrize("n", [15_000, 45_000])
+def test_splits_are_balanced_on_either_side_of_twenty_thousand_entities(spark, n):
+    df = spark.range(n).selectExpr("concat('e', id) AS e", "CASE WHEN id % 500 = 0 THEN 'rare' WHEN id % 3 = 0 THEN 'y' ELSE 'x' END AS l", "1 + id % 7 AS n")
+    ratios = {"train": 0.6, "val": 0.2, "test": 0.2}
+    a = splits.assign(df, "e", "l", ratios, weight="n")
+    assert a.count() == n
+    for r in splits.shares(a, df, "e", "l", weight="n").collect():
+        assert abs(r["share"] - ratios[r["split"]]) < (0.05 if r["label"] == "rare" else 0.002)
+
+
+def _best(lens, counts, budget):
+    """The greatest reachable sum, by brute force."""
+    reach = {0}
+    for n, c in zip(lens, counts):
+        reach = {x + n * k for x in reach for k in range(c + 1) if x + n * k <= budget}
+    return max(reach)
+
+
+def test_long_texts_are_fitted_as_near_as_any_choice_can():
+    assert mixing.fit([380_000, 500_000], [1, 10], 2_400_000)[1] == 2_380_000
+    rng = random.Random(12)
+    for _ in range(60):
+        lens = rng.sample(range(1_000, 900_000), rng.randint(1, 5))
+        counts = [rng.randint(1, 4) for _ in lens]
+        budget = rng.randint(1, sum(n * c for n, c in zip(lens, counts)))
+        took, used = mixing.fit(lens, counts, budget)
+        assert used == sum(n * k for n, k in zip(lens, took)) == _best(lens, counts, budget) and all(k <= c for k, c in zip(took, counts))
+
+
+def test_budgets_far_above_the_fitted_span_are_met_too():
+    rng = random.Random(13)
+    for top in (300, 40_000, 700_000):
+        lens = rng.sample(range(10, top), 40)
+        counts = [rng.randint(1, 3_000) for _ in lens]
+        whole = sum(n * c for n, c in zip(lens, counts))
+        for share in (0.2, 0.71, 0.99):
+            budget = int(whole * share)
+            took, used = mixing.fit(lens, counts, budget)
+            assert 0 <= budget - used <= 2 and used == sum(n * k for n, k in zip(lens, took)) and all(0 <= k <= c for k, c in zip(took, counts))
+
+
 def test_one_length_of_a_third_of_all_documents_is_cut_at_the_right_number(spark):
     docs = [(i, "hot", 7) for i in range(900)] + [(1000 + i, "hot", 3 + i % 5) for i in range(90)]
     n = spark.createDataFrame(docs, "id long, source string, n_tokens long")

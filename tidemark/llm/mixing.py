@@ -2,21 +2,23 @@
 
 Every document's exact length goes into a histogram per source. A source's budget is first met with whole passes over all of its
 documents, as many as fit and are allowed. What remains is fitted from the histogram: lengths are thinned evenly, and a bounded
-knapsack over the last DP_BUDGET tokens picks how many further documents of each length bring the sum as close to the budget as any
-choice can. Which documents of a length are taken follows a seeded hash. Only the histogram of a source, never its documents, is
+knapsack over the last tokens, a span of several of the longest documents, picks how many further documents of each length bring the
+sum as close to the budget as any choice can. A source whose fitted mix uses every document as often as allowed and still falls short
+is out of reach. Which documents of a length are taken follows a seeded hash. Only the histogram of a source, never its documents, is
 gathered in one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.llm.tokens import TOKENIZERS, Counter
 from tidemark.session import cut
 
-#: Tokens that the knapsack fits exactly; its tables are of this many bits per length in use.
-DP_BUDGET = 1 << 16
+#: Tokens that the knapsack fits exactly: at least SPAN, and at least LONGEST times the longest document in use.
+SPAN, LONGEST = 1 << 16, 8
 #: The documents of one length are counted in 2**PART_BITS hashed parts, so that no length is ranked in one task.
 PART_BITS = 12
 
@@ -33,48 +35,57 @@ def lengths(docs: DataFrame, doc_id: str, source: str, text: str, tokenizer: str
     return x.mapInPandas(count, "id long, source string, n_tokens long")
 
 
+def _knapsack(order: list[tuple[int, int]], room: int) -> tuple[dict[int, int], int]:
+    """How many of each (length, count) to take so that the sum is the greatest that is at most `room`, and that sum.
+
+    Reachable sums are the bits of one integer; a length's count is split into powers of two. For every sum the step at which it was
+    first reached is kept, in one array, so the way back needs no copy of the bits. It ends as soon as `room` itself is reached.
+    """
+    mask, reach, steps = (1 << (room + 1)) - 1, 1, []
+    first = np.zeros(room + 1, np.int32)
+    for n, c in order:
+        c, k = min(c, room // n), 1
+        while c > 0 and not reach >> room & 1:
+            k = min(k, c)
+            new = (reach << (n * k)) & mask & ~reach
+            if new:
+                steps.append((n, k))
+                at = np.unpackbits(np.frombuffer(new.to_bytes((room >> 3) + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(at)] = len(steps)
+                reach |= new
+            c -= k
+            k *= 2
+    took, best = {}, reach.bit_length() - 1
+    left = best
+    while left:
+        n, k = steps[first[left] - 1]
+        took[n] = took.get(n, 0) + k
+        left -= n * k
+    return took, best
+
+
 def fit(lens: list[int], counts: list[int], budget: int) -> tuple[list[int], int]:
-    """How many of each length to take, each at most as often as counted, so that the sum is as near to `budget` from below as the
-    bounded knapsack over its last DP_BUDGET tokens allows; and that sum. Exact wherever `budget` is at most DP_BUDGET."""
+    """How many of each length to take, each at most as often as counted, so that the sum is as near to `budget` from below as it can be;
+    and that sum. Exact wherever `budget` is at most SPAN tokens or LONGEST times the longest length. Of larger budgets only the last
+    such span is fitted: the rest is taken evenly of all lengths first."""
     order = sorted((n, c) for n, c in zip(lens, counts) if n > 0 and c > 0)
     whole = sum(n * c for n, c in order)
     if whole <= budget:
         took, used = dict(order), whole
     else:
-        took = {n: int(c * max(0, budget - DP_BUDGET) // whole) for n, c in order}
+        span = max(SPAN, LONGEST * order[-1][0])
+        took = {n: int(c * max(0, budget - span) // whole) for n, c in order}
         used = sum(n * k for n, k in took.items())
-        while budget - used > DP_BUDGET:
-            moved = False
+        while budget - used > span:
+            # No length is over an eighth of the span, so each of these leaves most of it.
             for n, c in reversed(order):
-                if took[n] < c and budget - used - n >= DP_BUDGET // 2:
+                if took[n] < c and budget - used > span:
                     took[n] += 1
                     used += n
-                    moved = True
-                    if budget - used <= DP_BUDGET:
-                        break
-            if not moved:
-                break
-        # Reachable sums as bits of one integer; a length's count is split into powers of two.
-        room = budget - used
-        room = room if room <= 2 * DP_BUDGET else 2 * DP_BUDGET
-        mask, reach, steps = (1 << (room + 1)) - 1, 1, []
-        for n, c in order:
-            c = min(c - took[n], room // n)
-            k = 1
-            while c > 0:
-                k = min(k, c)
-                new = (reach | (reach << (n * k))) & mask
-                if new != reach:
-                    steps.append((n, k, reach))
-                    reach = new
-                c -= k
-                k *= 2
-        best = reach.bit_length() - 1
-        for n, k, had in reversed(steps):
-            if not (had >> best) & 1:
-                took[n] += k
-                used += n * k
-                best -= n * k
+        more, got = _knapsack([(n, c - took[n]) for n, c in order], max(0, budget - used))
+        used += got
+        for n, k in more.items():
+            took[n] += k
     return [took.get(n, 0) for n in lens], used
 
 
@@ -91,7 +102,7 @@ def plan(lengths_: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]
     t = targets.where("source IS NOT NULL").groupBy("source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(0)).cast("long").alias("max_repeats"))
     per = hist.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("tokens"), F.sum("docs").alias("docs"))
     s = t.join(per, "source", "left").fillna(0, ["tokens", "docs"]).withColumn("target_tokens", F.col("target_share") * F.lit(total))
-    s = s.withColumn("most_tokens", F.col("tokens") * F.col("max_repeats")).withColumn("out_of_reach", F.col("target_tokens") > F.col("most_tokens"))
+    s = s.withColumn("most_tokens", F.col("tokens") * F.col("max_repeats"))
     passes = F.when(F.col("tokens") > 0, F.least("max_repeats", F.floor(F.col("target_tokens") / F.col("tokens")))).otherwise(F.lit(0))
     s = cut(s.withColumn("passes", passes).withColumn("budget", F.when(F.col("passes") < F.col("max_repeats"), F.floor(F.col("target_tokens") - F.col("passes") * F.col("tokens"))).otherwise(F.lit(0)).cast("long")))
 
@@ -103,6 +114,8 @@ def plan(lengths_: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]
     got = takes.groupBy("source").agg(F.sum(F.col("n_tokens") * (F.col("passes") * F.col("docs") + F.col("more"))).alias("actual_tokens"))
     mixed = got.agg(F.coalesce(F.sum("actual_tokens"), F.lit(0))).first()[0]
     shares = s.join(got, "source", "left").fillna(0, ["actual_tokens"]).withColumn("actual_share", F.col("actual_tokens") / F.lit(max(1, mixed)))
+    # The knapsack leaves a document unused wherever the target allows; where none is left to use, the target was too high.
+    shares = shares.withColumn("out_of_reach", (F.col("actual_tokens") == F.col("most_tokens")) & (F.col("actual_tokens") < F.col("target_tokens")))
     return shares.select("source", "target_share", "max_repeats", "docs", "tokens", "target_tokens", "most_tokens", "out_of_reach", "actual_tokens", "actual_share"), takes
 
 

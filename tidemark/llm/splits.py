@@ -15,10 +15,8 @@ PLACEHOLDERS = ["", "-", "_", "?", "n/a", "na", "n_a", "nil", "none", "null", "n
 # Parts of an address's query that say how a reader came, not which page it is.
 TRACKING = r"^(utm_.*|ref|ref_src|referrer|source|src|fbclid|gclid|mc_cid|mc_eid|share|from)(=.*)?$"
 
-#: Components handed to one greedy pass at a time, and the part of all rows from which a component is placed on its own first.
-BLOCK, LARGE = 20_000, 1 / 2_000
-#: Components a block that a label must have on average for blocks to balance it. Those with a rarer label are placed together.
-ENOUGH = 100
+#: Bundles into which the components of one rarest label are hashed, and the part of all rows from which a component is placed alone.
+BUNDLES, LARGE = 4_096, 1 / 2_000
 
 
 def author_key(c: Column) -> Column:
@@ -58,11 +56,21 @@ def entities(records: DataFrame, record: str, keys: Sequence[str]) -> DataFrame:
     return c.where(F.col("node").startswith("0")).select(F.substring("node", 2, 1 << 30).alias(record), F.substring("component", 2, 1 << 30).alias("entity"))
 
 
+def label_vectors(rows: DataFrame, entity: str, label: str, weight: str | None = None) -> DataFrame:
+    """(entity, size, vec): for each entity how many rows it has, and how many of each label. A row counts as many as its `weight` says,
+    or one. NULL entities are left out; a NULL label is a label. Rows are counted per entity and label before they are gathered, so an
+    entity of a third of all rows is no hot key."""
+    lab = F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("\u0000null"))
+    per = rows.where(F.col(f"`{entity}`").isNotNull()).groupBy(F.col(f"`{entity}`").cast("string").alias("entity"), lab.alias("label")).agg(_counted(weight).alias("n"))
+    return per.groupBy("entity").agg(F.sum("n").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("vec"))
+
+
 def conflicts(entity_of: DataFrame, rows: DataFrame, record: str, split: str) -> DataFrame:
-    """(entity, record) of every record with a split whose entity's rows carry more than one split; NULL splits count for nothing."""
-    x = rows.where(F.col(f"`{split}`").isNotNull() & F.col(f"`{record}`").isNotNull()).select(F.col(f"`{record}`").alias(record), F.col(f"`{split}`").alias("s__")).distinct()
-    x = cut(x.join(entity_of, record, "left").select(record, "s__", F.coalesce("entity", record).alias("entity")))
-    spans = x.groupBy("entity").agg(F.min("s__").alias("a"), F.max("s__").alias("b")).where("a < b").select("entity")
+    """(entity, record) of every record with a split whose entity's rows carry more than one split: the entity's label vector, over the
+    splits its rows have now, has more than one. NULL splits count for nothing."""
+    x = rows.where(F.col(f"`{split}`").isNotNull() & F.col(f"`{record}`").isNotNull()).groupBy(F.col(f"`{record}`").alias(record), F.col(f"`{split}`").alias("s__")).agg(F.count(F.lit(1)).alias("n__"))
+    x = cut(x.join(entity_of, record, "left").select(record, "s__", "n__", F.coalesce("entity", record).alias("entity")))
+    spans = label_vectors(x, "entity", "s__", "n__").where(F.size(F.map_keys("vec")) > 1).select("entity")
     return x.join(spans, "entity", "left_semi").select("entity", record).distinct()
 
 
@@ -102,42 +110,25 @@ def _counted(weight: str | None) -> Column:
 def assign(rows: DataFrame, entity: str, label: str, ratios: dict[str, float], weight: str | None = None) -> DataFrame:
     """(entity, split): whole entities to splits, so that every split gets its ratio of the rows of each label.
 
-    A row counts as many as its `weight` says, or one. Entities are first aggregated to vectors of rows per label. Those above LARGE
-    of all rows (at most 1 / LARGE of them), and those with a label that fewer than ENOUGH entities a block have, are placed first, on
-    the driver; the others in hashed blocks of some BLOCK entities, side by side, each block towards its share of what the first ones
-    left over. So no task holds more than a block, and the driver, of each rare label, an entity in BLOCK / ENOUGH. NULL entities are
-    left out, a NULL label is a label. There must be few labels (they are the classes to balance, not identifiers).
+    Entities are first aggregated to label vectors. One of over LARGE of all rows is a bundle alone, of which there are at most
+    1 / LARGE; the others are hashed into BUNDLES bundles for each label that is the rarest of some, and a bundle's vector is the sum of
+    its entities'. The bundles are placed by iterative stratification, the rarest outstanding label first. So tables of any size go one
+    way, and what comes to the driver is bounded by the number of labels, of which there must be few (they are the classes to balance,
+    not identifiers). NULL entities are left out, a NULL label is a label.
     """
     splits = list(ratios)
-    lab = F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("\u0000null"))
-    per = rows.where(F.col(f"`{entity}`").isNotNull()).groupBy(F.col(f"`{entity}`").cast("string").alias("entity"), lab.alias("label")).agg(_counted(weight).alias("n"))
-    comps = cut(per.groupBy("entity").agg(F.sum("n").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("vec")))
+    comps = cut(label_vectors(rows, entity, label, weight))
     total = {r["label"]: r["n"] for r in comps.select(F.explode("vec").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    all_rows = sum(total.values())
-    small = F.col("size") < max(1, int(all_rows * LARGE))
-    held = {r["label"]: r["n"] for r in comps.where(small).select(F.explode("vec").alias("label", "x")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = max(1, -(-comps.where(small).count() // BLOCK))
-    rare = [k for k, n in held.items() if blocks > 1 and n < ENOUGH * blocks]
-    if rare:
-        small &= ~F.arrays_overlap(F.map_keys("vec"), F.array(*map(F.lit, rare)))
-    big = comps.where(~small).toPandas()
+    rarity = F.create_map(*[F.lit(x) for i, k in enumerate(sorted(total, key=lambda k: (total[k], k))) for x in (k, i)]) if total else F.lit(None).cast("map<string,int>")
+    rarest = F.array_min(F.transform(F.map_keys("vec"), lambda k: rarity[k]))
+    alone = F.col("size") > sum(total.values()) * LARGE
+    hashed = F.concat_ws("|", F.lit("some"), rarest.cast("string"), F.pmod(F.xxhash64("entity"), F.lit(BUNDLES)).cast("string"))
+    comps = comps.withColumn("bundle", F.when(alone, F.concat(F.lit("one|"), F.col("entity"))).otherwise(hashed))
+    per = comps.select("bundle", F.explode("vec").alias("label", "n")).groupBy("bundle", "label").agg(F.sum("n").alias("n"))
+    bundles = per.groupBy(F.col("bundle").alias("entity")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("vec")).toPandas()
     need = {s: {k: ratios[s] * v for k, v in total.items()} for s in splits}
-    placed = _place(big, list(total), splits, need)
-    spark = rows.sparkSession
-    first = spark.createDataFrame(placed, "entity string, split string") if placed else spark.createDataFrame([], "entity string, split string")
-    names, left = list(total), {k: sum(max(0.0, need[s].get(k, 0.0)) for s in splits) for k in total}
-    share = {s: {k: max(0.0, need[s][k]) / left[k] if left[k] else ratios[s] for k in total} for s in splits}
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        own: dict[str, float] = {}
-        for vec in pdf["vec"]:
-            for k, v in dict(vec).items():
-                own[k] = own.get(k, 0) + v
-        goal = {s: {k: share[s][k] * v for k, v in own.items()} for s in splits}
-        return pd.DataFrame(_place(pdf, names, splits, goal), columns=["entity", "split"])
-
-    rest = comps.where(small).withColumn("b", F.pmod(F.xxhash64("entity"), F.lit(blocks))).groupBy("b").applyInPandas(place, "entity string, split string")
-    return first.unionAll(rest)
+    placed = rows.sparkSession.createDataFrame(_place(bundles, list(total), splits, need), "bundle string, split string")
+    return comps.join(F.broadcast(placed), "bundle").select("entity", "split")
 
 
 def shares(assigned: DataFrame, rows: DataFrame, entity: str, label: str, weight: str | None = None) -> DataFrame:
