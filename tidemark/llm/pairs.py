@@ -202,13 +202,15 @@ class Clauses:
         self._said: dict[str, tuple[list[int], np.ndarray, int]] = {}
         self._prompts: dict[str, tuple[int, frozenset[int], int]] = {}
         self._hashes = Hashes()
-        self._number: dict[str, int] = {}
+        self._number: dict[tuple, int] = {}
 
-    def _n(self, feature: str) -> int:
-        """The number of a feature; only fixed names are remembered for good."""
-        n = self._number.get(feature)
+    def _n(self, *parts: object) -> int:
+        """The number of a feature."""
+        n = self._number.get(parts)
         if n is None:
-            n = self._number[feature] = xxhash.xxh3_64_intdigest(feature) % WIDTH
+            if len(self._number) > 200_000:
+                self._number.clear()
+            n = self._number[parts] = xxhash.xxh3_64_intdigest("|".join(map(str, parts)).encode("utf-8", "surrogatepass")) % WIDTH
         return n
 
     def _languages(self, s: str, ws: list[str]) -> np.ndarray:
@@ -256,13 +258,13 @@ class Clauses:
     def _code(self, piece: str) -> list[int]:
         """Features of a piece of code by its looks: with what its lines start and end, and its last line."""
         lines = piece.rstrip().split("\n")
-        last = lines[-1].strip()
-        starts = {*_LINE_START.findall(piece)}
-        ends = {x[-1:] for x in lines} & {*";{}:,)"}
-        deep = len(lines[-1]) - len(lines[-1].lstrip())
-        even = all(piece.count(x) == piece.count(y) for x, y in ("()", "[]", "{}"))
-        start = _LINE_START.match(last)
-        return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % WIDTH for x in (*("l:" + x for x in starts), *("e:" + x for x in ends), f"z:{start and start[1]}", f"y:{last[-1:]}", f"deep={deep > 0}", f"even={even}", f"lines={min(4, len(lines))}")]
+        last = lines[-1]
+        text = last.lstrip()
+        start = _LINE_START.match(text)
+        even = piece.count("(") == piece.count(")") and piece.count("[") == piece.count("]") and piece.count("{") == piece.count("}")
+        out = [self._n("l", x) for x in {*_LINE_START.findall(piece)}]
+        out += [self._n("e", x) for x in ";{}:,)" if x + "\n" in piece]
+        return [*out, self._n("z", start and start[1]), self._n("y", last[-1:]), self._n("deep", len(text) < len(last)), self._n("even", even), self._n("lines", min(4, len(lines)))]
 
     def of(self, answer: str | None, prompt: str | None, finish: str | None) -> dict:
         """Clauses of an answer, each (kind, text, size, features, ended, echo, features by rule), and what holds for the whole answer.
@@ -306,21 +308,21 @@ class Clauses:
         solved = any(k[0] == "whole" for k in kinds)
         coded = any(k[0] != "said" and k[2] for k in kinds)
         n = len(kinds)
-        rules = [self._n(f"finish={finish}"), self._n(f"solved={solved}"), self._n(f"foreign={foreign}")]
+        rules = [self._n("finish", finish), self._n("solved", solved), self._n("foreign", foreign)]
         out = []
         for i, (what, s, size, f) in enumerate(kinds):
-            x = [*f, self._n(f"coded={coded},said={what == 'said'}"), self._n(f"first={i == 0}"), self._n(f"last={i == n - 1}")]
-            by = [*rules, self._n(f"what={what}")]
+            x = [*f, self._n("coded", coded, what == "said"), self._n("first", i == 0), self._n("last", i == n - 1)]
+            by = [*rules, self._n("what", what)]
             echo = 0.0
             if what == "said":
                 ended = bool(_ENDED.search(s)) and not s.endswith("...")
                 if not solved:
                     echo = self.echoed(s, said)
-                x += [self._n(f"ended={ended},last={i == n - 1},coded={coded}"), self._n(f"echo={int(5 * echo)}"), self._n(f"nothing copied={echo == 0 and size >= K}")]
-                by += [self._n(f"ended={ended},last={i == n - 1},solved={solved}"), self._n(f"foreign={foreign},solved={solved}")]
+                x += [self._n("ended", ended, i == n - 1, coded), self._n("echo", int(5 * echo)), self._n("nothing copied", echo == 0 and size >= K)]
+                by += [self._n("ended", ended, i == n - 1, "solved", solved), self._n("foreign", foreign, "solved", solved)]
             else:
                 ended = what == "whole"
-                x.append(self._n(f"echo={0 if ended else int(5 * self.echoed(s, said))}"))
+                x.append(self._n("echo", 0 if ended else int(5 * self.echoed(s, said))))
             out.append((what, s, size, x + by, ended, echo, len(by)))
         return {"clauses": out, "foreign": foreign, "solved": solved}
 
