@@ -291,17 +291,39 @@ query("topk_arm", "SELECT lam, task_id, arm FROM (SELECT lam, task_id, arm, row_
 
 # --- statistics ---------------------------------------------------------------------------------------------------------------
 
-_DRAWS = 40
-_T = "('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-_REPS = "rp AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY seed) - 1 AS k, s_solved AS a, l_solved AS b FROM g), tn AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS t, count(*) AS reps FROM rp GROUP BY 1), nn AS (SELECT count(*) AS n FROM tn)"
-_DRAWN = f"dr AS (SELECT b.i AS b, s.i AS slot, floor({_T.format(chr(39) + 'T|' + chr(39) + ' || b.i || ' + chr(39) + '|' + chr(39) + ' || s.i')} * n)::INT AS t FROM nn, range({_DRAWS}) b(i), (SELECT unnest(range(n)) AS i FROM nn) s), pk AS (SELECT dr.b, tn.task_id, floor({_T.format(chr(39) + 'S|' + chr(39) + ' || dr.b || ' + chr(39) + '|' + chr(39) + ' || dr.slot || ' + chr(39) + '|' + chr(39) + ' || j')} * reps)::INT AS k FROM dr JOIN tn USING (t), LATERAL (SELECT unnest(range(reps)) AS j)), mb AS (SELECT pk.b AS draw, avg(rp.a) AS a, avg(rp.b) AS b FROM pk JOIN rp USING (task_id, k) GROUP BY 1)"
-query("stat_cluster_boot", f"WITH {G}, {_REPS}, {_DRAWN} SELECT 's_solved' AS measure, (SELECT round(avg(a), 6) FROM rp) AS point, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high FROM mb UNION ALL SELECT 'l_solved', (SELECT round(avg(b), 6) FROM rp), round(quantile_cont(b, 0.025), 6), round(quantile_cont(b, 0.975), 6) FROM mb")(
-    lambda s, d: rounded(stats.bootstrap(cut(grid(s, d).withColumnRenamed("seed", "rep")), ["s_solved", "l_solved"], _DRAWS)))
-query("stat_paired_boot", f"WITH {G}, {_REPS}, {_DRAWN} SELECT (SELECT round(avg(b) - avg(a), 6) FROM rp) AS point, round(quantile_cont(b - a, 0.025), 6) AS low, round(quantile_cont(b - a, 0.975), 6) AS high FROM mb")(
-    lambda s, d: rounded(stats.paired_bootstrap(cut(grid(s, d).withColumnRenamed("seed", "rep")), "l_solved", "s_solved", _DRAWS)))
-_VERDICT = f"WITH {G}, {_REPS}, {_DRAWN}, iv AS (SELECT quantile_cont(b - a, 0.025) AS low, quantile_cont(b - a, 0.975) AS high FROM mb) SELECT CASE WHEN low >= 0.05 THEN 'PASS' WHEN high < 0.05 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict, low > 0 OR high < 0 AS excludes_zero, round(high - low, 6) AS width, low = 0 AND high = 0 AS degenerate FROM iv"
-for _n in ("stat_verdict", "ci_excludes_zero", "abl_degenerate"):
-    query(_n, _VERDICT)(lambda s, d: rounded(stats.paired_bootstrap(cut(grid(s, d).withColumnRenamed("seed", "rep")), "l_solved", "s_solved", _DRAWS).select(frontier.verdict(F.col("low"), F.col("high"), 0.05).alias("verdict"), stats.excludes_zero(F.col("low"), F.col("high")).alias("excludes_zero"), (F.col("high") - F.col("low")).alias("width"), ((F.col("low") == 0) & (F.col("high") == 0)).alias("degenerate"))))
+def _state_sql(tag: str, parts: str) -> list[str]:
+    return [f"(('0x' || substr(md5('{tag}|' || {parts}), {i}, 8))::BIGINT % {stats.MODULUS})" for i in (1, 9)]
+
+
+def _over(u: str, mean: float) -> str:
+    return " + ".join(f"({u} >= {e!r}::DOUBLE)::INT" for e in stats.poisson_edges(mean))
+
+
+_UNIT_SQL = f"((({{0}} * x + {{1}}) % {stats.MODULUS})::DOUBLE / {stats.MODULUS}::DOUBLE)"
+_STATES = ", ".join(f"{e} AS {n}" for e, n in zip([*_state_sql("T", "task_id"), *_state_sql("S", "task_id || '|' || rep")], ("ta", "tc", "ra", "rc")))
+# ww: every row of `pv`(task_id, rep, ...) with its weight n in every draw.
+_WEIGHED = (
+    f"dx AS (SELECT i AS draw, (i + 1) * 16807 % {stats.MODULUS} AS x FROM range({stats.DRAWS}) t(i)), ks AS (SELECT *, {_STATES} FROM pv), "
+    f"uu AS (SELECT ks.* EXCLUDE (ta, tc, ra, rc), draw, {_UNIT_SQL.format('ta', 'tc')} AS u, {_UNIT_SQL.format('ra', 'rc')} AS v FROM ks, dx), "
+    f"wt AS (SELECT * EXCLUDE (u), least({stats.MOST}, {_over('u', 1.0)}) AS w FROM uu WHERE u >= {stats.poisson_edges(1.0)[0]!r}::DOUBLE), "
+    f"ww AS (SELECT *, CASE w {' '.join(f'WHEN {k} THEN {_over(chr(118), float(k))}' for k in range(1, stats.MOST + 1))} END AS n FROM wt)"
+)
+_PAIR_SQL = "pv AS (SELECT task_id, seed AS rep, s_solved AS a, l_solved AS b FROM g)"
+_MEANS = f"{_PAIR_SQL}, {_WEIGHED}, mb AS (SELECT draw, sum(n * a) / nullif(sum(CASE WHEN a IS NOT NULL THEN n END), 0) AS a, sum(n * b) / nullif(sum(CASE WHEN b IS NOT NULL THEN n END), 0) AS b FROM ww GROUP BY 1)"
+query("stat_cluster_boot", f"WITH {G}, {_MEANS} SELECT 's_solved' AS measure, (SELECT round(avg(a), 6) FROM pv) AS point, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high FROM mb UNION ALL SELECT 'l_solved', (SELECT round(avg(b), 6) FROM pv), round(quantile_cont(b, 0.025), 6), round(quantile_cont(b, 0.975), 6) FROM mb")(
+    lambda s, d: rounded(stats.bootstrap(cut(grid(s, d).withColumnRenamed("seed", "rep")), ["s_solved", "l_solved"])))
+query("stat_paired_boot", f"WITH {G}, {_MEANS} SELECT (SELECT round(avg(b) - avg(a), 6) FROM pv) AS point, round(quantile_cont(b - a, 0.025), 6) AS low, round(quantile_cont(b - a, 0.975), 6) AS high FROM mb")(
+    lambda s, d: rounded(stats.paired_bootstrap(cut(grid(s, d).withColumnRenamed("seed", "rep")), "l_solved", "s_solved")))
+_INTERVAL = f"WITH {G}, {_MEANS}, iv AS (SELECT quantile_cont(b - a, 0.025) AS low, quantile_cont(b - a, 0.975) AS high FROM mb) SELECT "
+
+
+def _difference(s, d):
+    return stats.paired_bootstrap(cut(grid(s, d).withColumnRenamed("seed", "rep")), "l_solved", "s_solved")
+
+
+query("stat_verdict", _INTERVAL + "CASE WHEN low >= 0.05 THEN 'PASS' WHEN high < 0.05 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM iv")(lambda s, d: _difference(s, d).select(frontier.verdict(F.col("low"), F.col("high"), 0.05).alias("verdict")))
+query("ci_excludes_zero", _INTERVAL + "low > 0 OR high < 0 AS excludes_zero FROM iv")(lambda s, d: _difference(s, d).select(stats.excludes_zero(F.col("low"), F.col("high")).alias("excludes_zero")))
+query("abl_degenerate", _INTERVAL + "round(high - low, 6) AS width, low = 0 AND high = 0 AS degenerate FROM iv")(lambda s, d: rounded(_difference(s, d).select((F.col("high") - F.col("low")).alias("width"), ((F.col("low") == 0) & (F.col("high") == 0)).alias("degenerate"))))
 query("stat_mcnemar_counts", f"WITH {G} SELECT count(*) FILTER (WHERE l_solved = 1 AND s_solved = 0) AS b, count(*) FILTER (WHERE l_solved = 0 AND s_solved = 1) AS c FROM g")(lambda s, d: stats.discordant(grid(s, d), "l_solved", "s_solved"))
 _LG = "lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)"
 query("stat_mcnemar", f"WITH {G}, bc AS (SELECT count(*) FILTER (WHERE l_solved = 1 AND s_solved = 0) AS b, count(*) FILTER (WHERE l_solved = 0 AND s_solved = 1) AS c FROM g) SELECT b, c, round(b::DOUBLE / nullif(c, 0), 6) AS odds_ratio, (SELECT round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp({_LG}))) END, 6) FROM (SELECT b + c AS n, unnest(range(least(b, c) + 1)) AS k)) AS p_value FROM bc")(lambda s, d: rounded(stats.mcnemar(grid(s, d), "l_solved", "s_solved")))
@@ -310,23 +332,36 @@ query("eval_gate", f"WITH {C}, {_TASKS}, lb AS (SELECT task_id, max({_WON}) AS y
     lambda s, d: (lambda lb: rounded(stats.auc(_long(s, d).join(lb, "task_id"), "value", "y", ["feature"]).select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"), "n")))(cells(s, d, "hidden_passed", "hidden_total").where("hidden_total IS NOT NULL").groupBy("task_id").agg(F.max(solved()).cast("int").alias("y"))))
 
 
-@query("stat_report")
+# The baselines against the cascade.
+_AGAINST = "verifier_gated_cascade"
+_POLICIES = ["always_small", "always_large", "random_route(0.5)", "best_of_3", "oracle_router"]
+_WIDE = "pv AS (SELECT task_id, rep, " + ", ".join(f"max(solved) FILTER (WHERE policy = '{p}') AS p{i}" for i, p in enumerate([*_POLICIES, _AGAINST])) + " FROM o GROUP BY 1, 2)"
+_MEAN_P = lambda i: f"sum(n * p{i}) / nullif(sum(CASE WHEN p{i} IS NOT NULL THEN n END), 0)"
+_R = len(_POLICIES)
+_BC = lambda i: f"SELECT '{_POLICIES[i]}' AS policy, (SELECT avg(p{i}) - avg(p{_R}) FROM pv) AS difference, quantile_cont(p{i} - p{_R}, 0.025) AS low, quantile_cont(p{i} - p{_R}, 0.975) AS high, (SELECT count(*) FROM pv WHERE p{i} = 1 AND p{_R} = 0) AS b, (SELECT count(*) FROM pv WHERE p{i} = 0 AND p{_R} = 1) AS c FROM mp"
+_REPORT = (
+    f"{_WIDE}, {_WEIGHED}, mp AS (SELECT draw, {', '.join(f'{_MEAN_P(i)} AS p{i}' for i in range(_R + 1))} FROM ww GROUP BY 1), df AS ({' UNION ALL '.join(map(_BC, range(_R)))}), "
+    "pq AS (SELECT *, (SELECT CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))) END FROM (SELECT b + c AS n, unnest(range(least(b, c) + 1)) AS k)) AS p_value FROM df), "
+    "bh AS (SELECT *, least(1.0, min(q) OVER (ORDER BY rk DESC)) AS adjusted FROM (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, policy) AS q, row_number() OVER (ORDER BY p_value, policy) AS rk FROM pq))"
+)
+
+
+@query("stat_report", f"WITH {OUT}, {_REPORT} " + _r("policy ~accuracy ~cost ~latency_mean ~latency_p95 n ~difference ~low ~high ~p_value ~adjusted", f"SELECT s.*, difference, low, high, p_value, adjusted FROM ({_SUM}) s LEFT JOIN bh USING (policy)"))
 def stat_report(s, d):
-    """Per policy: its summary with a clustered interval of its accuracy against the cascade, the exact test and its adjusted p."""
-    o = cut(outcomes(s, d).where("policy <> 'best_of_3'"))
-    ref = o.where("policy = 'verifier_gated_cascade'").select("task_id", "rep", F.col("solved").alias("r"))
-    rows = []
-    for p in [r[0] for r in o.select("policy").distinct().orderBy("policy").collect()]:
-        if p == "verifier_gated_cascade":
-            continue
-        x = cut(o.where(F.col("policy") == p).select("task_id", "rep", F.col("solved").alias("m")).join(ref, ["task_id", "rep"]))
-        ci, mc = stats.paired_bootstrap(x, "m", "r", 20).first(), stats.mcnemar(x, "m", "r").first()
-        rows.append((p, ci["point"], ci["low"], ci["high"], mc["p_value"]))
-    t = stats.benjamini_hochberg(s.createDataFrame(rows, "policy string, difference double, low double, high double, p_value double"), "p_value")
-    return rounded(replay.summary(o).join(t, "policy", "left"))
+    """Per policy: its summary and, against the cascade, the clustered interval of its accuracy's difference, the exact test over tasks
+    and replicates that both have, and its adjusted p. All policies share one set of draws; best_of_3 has one outcome a task."""
+    o = cut(outcomes(s, d))
+    names = {p: f"p{i}" for i, p in enumerate([*_POLICIES, _AGAINST])}
+    v = cut(o.groupBy("task_id", "rep").agg(*[F.max(F.when(F.col("policy") == p, F.col("solved"))).alias(c) for p, c in names.items()]))
+    sums, means = stats._mean_sums(list(names.values()))
+    ref = names[_AGAINST]
+    ci = stats.bootstrap_of(v, sums, {p: means[names[p]] - means[ref] for p in _POLICIES}).withColumnsRenamed({"measure": "policy", "point": "difference"})
+    pairs = v.agg(*[F.count_if((F.col(names[p]) == a) & (F.col(ref) == 1 - a)).alias(f"{names[p]}_{a}") for p in _POLICIES for a in (1, 0)]).first()
+    tests = s.createDataFrame([(p, stats.mcnemar_p(pairs[f"{names[p]}_1"], pairs[f"{names[p]}_0"])) for p in _POLICIES], "policy string, p_value double")
+    return rounded(replay.summary(o).join(F.broadcast(ci.join(stats.benjamini_hochberg(tests, "p_value"), "policy")), "policy", "left"))
 
 
-query("stat_boot_power")(lambda s, d: s.createDataFrame([(n, stats.simulated_power(n, 3, 0.5, 0.1, 0.3, 200)) for n in (50, 200, 800)], "tasks int, power double"))
+query("stat_boot_power")(lambda s, d: reduce(DataFrame.unionByName, [stats.simulated_power(s, n, 3, 0.5, 0.1, 0.3, 200) for n in (50, 200, 800)]))
 
 
 # --- costs and ladders --------------------------------------------------------------------------------------------------------
@@ -446,31 +481,27 @@ def pol_learned_d0(s, d):
 query("ml_score_cost")(lambda s, d: (lambda zc: (lambda dec: rounded(zc[0].where(F.col("arm") == SMALL).select("task_id", "d0_prompt_chars", "d0_prompt_sentences").dropDuplicates(["task_id"]).select("task_id", F.greatest(F.lit(0.0), models.linear(dec[(SMALL,)])).alias("decode_tokens")), 3))(models.ridge(zc[0].where("split = 'train'"), zc[1], "decode_tokens", by=["arm"])))(_heads(s, d)))
 
 
-@query("stat_boot_auc")
+_LAB = f"lb AS (SELECT task_id, CASE WHEN visible_total > 0 THEN coalesce(visible_passed, 0)::DOUBLE / visible_total ELSE 0.0 END AS v, ({SOLVED})::INT AS y FROM c WHERE arm = 'small' AND hidden_total IS NOT NULL AND split IS NOT NULL)"
+_AUCS = (
+    f"dx AS (SELECT i AS draw, (i + 1) * 16807 % {stats.MODULUS} AS x FROM range({stats.DRAWS}) t(i)), ks AS (SELECT task_id, v, sum(y) AS p, sum(1 - y) AS n, {', '.join(f'any_value({e}) AS {n}' for e, n in zip(_state_sql('T', 'task_id'), ('ta', 'tc')))} FROM lb GROUP BY 1, 2), "
+    f"uu AS (SELECT v, p, n, draw, {_UNIT_SQL.format('ta', 'tc')} AS u FROM ks, dx), sc AS (SELECT draw, v, sum(p * w) AS p, sum(n * w) AS n FROM (SELECT *, least({stats.MOST}, {_over('u', 1.0)}) AS w FROM uu) GROUP BY 1, 2), "
+    "ac AS (SELECT draw, sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY draw ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM sc) GROUP BY 1)"
+)
+
+
+@query("stat_boot_auc", f"WITH {C}, {_LAB}, {_AUCS} SELECT round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.5), 6) AS middle, round(quantile_cont(auc, 0.975), 6) AS high FROM ac")
 def stat_boot_auc(s, d):
-    """A percentile interval of the AUC of the visible pass rate, by Poisson-weighted tasks: counts per score and draw, no row is copied."""
-    x = labelled(s, d).select("task_id", F.col("d1_visible_pass_rate").alias("v"), "y")
-    u = replay.unit(F.lit("B"), F.col("task_id"), F.col("b").cast("string"))
-    # A Poisson(1) number of copies of each task by inversion.
-    w = sum(((u >= q).cast("int") for q in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581)), F.lit(0))
-    x = x.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("w", w).where("w > 0")
-    c = x.groupBy("b", "v").agg(F.sum(F.col("y") * F.col("w")).alias("p"), F.sum((1 - F.col("y")) * F.col("w")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    a = c.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy("b").agg((F.sum("won") / (F.sum("p") * F.sum("n"))).alias("auc"))
-    return rounded(a.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.5).alias("middle"), F.percentile("auc", 0.975).alias("high")))
+    """A percentile interval of the AUC of the visible pass rate over draws of tasks."""
+    x = labelled(s, d).select("task_id", F.lit("visible").alias("f"), F.col("d1_visible_pass_rate").alias("v"), "y")
+    return rounded(stats.bootstrap_auc(x).agg(*[F.percentile("auc", q).alias(n) for q, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))]))
 
 
 @query("stat_boot_delta_auc")
 def stat_boot_delta_auc(s, d):
-    """A simultaneous interval, by Bonferroni over two features, of each feature's AUC less that of the pass rate, on the same draws."""
+    """Simultaneous intervals, by Bonferroni, of each feature's AUC less that of the pass rate, on the same draws of tasks."""
+    rest = [c for c in _FEATURES if c != "d1_visible_pass_rate"]
     x = labelled(s, d)
-    u = replay.unit(F.lit("B"), F.col("task_id"), F.col("b").cast("string"))
-    w = sum(((u >= q).cast("int") for q in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581)), F.lit(0))
-    long = x.select("task_id", "y", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in ("d1_visible_pass_rate", "d1_code_chars", "d1_decode_tokens")])).alias("x")).select("task_id", "y", "x.*")
-    long = long.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("w", w).where("w > 0")
-    c = long.groupBy("b", "f", "v").agg(F.sum(F.col("y") * F.col("w")).alias("p"), F.sum((1 - F.col("y")) * F.col("w")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy("b", "f").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    a = c.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy("b", "f").agg((F.sum("won") / (F.sum("p") * F.sum("n"))).alias("auc"))
-    base = a.where("f = 'd1_visible_pass_rate'").select("b", F.col("auc").alias("base"))
-    q = 0.05 / 2 / 2
-    return rounded(a.where("f <> 'd1_visible_pass_rate'").join(base, "b").withColumn("x", F.col("auc") - F.col("base")).groupBy(F.col("f").alias("feature")).agg(F.percentile("x", q).alias("low"), F.percentile("x", 1 - q).alias("high")))
+    long = x.select("task_id", "y", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in _FEATURES])).alias("x")).select("task_id", "y", "x.*")
+    a = stats.bootstrap_auc(long).groupBy("draw").pivot("f", _FEATURES).agg(F.first("auc"))
+    q = 0.05 / 2 / len(rest)
+    return rounded(a.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) - F.col("d1_visible_pass_rate")).alias("x")) for c in rest])).alias("e")).select("e.*").groupBy("feature").agg(F.percentile("x", q).alias("low"), F.percentile("x", 1 - q).alias("high")))
