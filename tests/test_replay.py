@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import frontier, replay, stats
 
@@ -105,3 +106,77 @@ def test_bh_is_monotone(spark):
     order = sorted(ps)
     want = {p: min(min(1.0, q * len(ps) / (order.index(q) + 1)) for q in order[order.index(p) :]) for p in ps}
     assert all(math.isclose(got[p], want[p]) for p in ps)
+
+
+def test_the_isotonic_fit_is_exact_above_ten_thousand_scores_too(spark):
+    import numpy as np
+
+    from tidemark.operators import models
+
+    for n in (300, 12_000):
+        df = spark.range(n).selectExpr("pmod(xxhash64(id), 1000003) / 1000003D AS p", "CAST(pmod(xxhash64(id, 7), 100) < 30 + 40 * pmod(xxhash64(id), 1000003) / 1000003D AS int) AS y")
+        rows = sorted((round(r["p"], 12), r["y"]) for r in df.collect())
+        pools = []
+        for p, y in rows:
+            pools.append([float(y), 1, p, p])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+                s, m, _, hi = pools.pop()
+                pools[-1] = [pools[-1][0] + s, pools[-1][1] + m, pools[-1][2], hi]
+        want = [k for s, m, lo, hi in pools for k in ([(lo, s / m)] if lo == hi else [(lo, s / m), (hi, s / m)])]
+        knots = models.isotonic(df.repartition(5), "p", "y")
+        assert np.allclose(knots, want) and len(knots) == len(want)
+    got = {r["p"]: r["c"] for r in spark.createDataFrame([(None,), (-1.0,), (0.5,), (2.0,)], "p double").select("p", models.calibrated(F.col("p"), [(0.0, 0.2), (1.0, 0.4)]).alias("c")).collect()}
+    assert got == {None: None, -1.0: 0.2, 0.5: pytest.approx(0.3), 2.0: 0.4}
+    assert models.isotonic(df.limit(0), "p", "y") == []
+
+
+def test_quantiles_without_a_buffer_per_group_equal_numpy(spark):
+    import numpy as np
+
+    from tidemark.operators.ordered import quantiles
+
+    df = spark.range(4_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'a' ELSE 'b' END AS k", "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 51 = 0 THEN double('nan') ELSE CAST(pmod(xxhash64(id), 700) AS double) END AS v")
+    rows = df.where("v IS NOT NULL AND NOT isnan(v)").collect()
+    got = {r["k"]: (r["low"], r["high"]) for r in quantiles(df.repartition(6), ["k"], "v", {"low": 0.1, "high": 0.95}).collect()}
+    assert set(got) == {None, "a", "b"}
+    for k, v in got.items():
+        assert v == pytest.approx(tuple(np.quantile([r["v"] for r in rows if r["k"] == k], [0.1, 0.95])))
+    assert quantiles(df.limit(0), ["k"], "v", {"x": 0.5}).count() == 0
+
+
+def test_draws_of_tasks_have_the_spread_of_resampled_tasks(spark):
+    """Against numpy's own drawing of tasks, then replicates, with replacement."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.random((60, 4)) + rng.normal(0, 0.7, (60, 1))
+    df = spark.createDataFrame([(f"t{i}", k, float(v[i, k])) for i in range(60) for k in range(4)], "task_id string, rep int, a double")
+    r = stats.bootstrap(df, ["a"], 4_000).first()
+    t = rng.integers(0, 60, (4_000, 60))
+    k = rng.integers(0, 4, (4_000, 60, 4))
+    means = np.take_along_axis(v[t], k, axis=2).mean(axis=(1, 2))
+    lo, hi = np.quantile(means, [0.025, 0.975])
+    assert r["point"] == pytest.approx(v.mean()) and abs((r["high"] - r["low"]) / (hi - lo) - 1) < 0.1 and abs(r["low"] - lo) < 0.1 * (hi - lo)
+    ratio = stats.bootstrap_of(df, {"s": F.col("a"), "q": F.col("a") * 2}, {"half": F.col("s") / F.col("q")}, 50).first()
+    assert ratio["low"] == pytest.approx(0.5) == ratio["high"]
+    assert stats.bootstrap(df.limit(0), ["a"], 50).first()["point"] is None
+
+
+def test_drawn_aucs_equal_a_weighted_auc_of_each_draw(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(f"t{i % 40}", f, float(rng.integers(0, 9 if f == "ties" else 10_000)), int(rng.random() < 0.4)) for i in range(300) for f in ("ties", "fine")]
+    df = spark.createDataFrame([*rows, ("t0", "fine", None, 1), ("t1", "fine", float("nan"), 0)], "task_id string, f string, v double, y int")
+    got = {(r["f"], r["draw"]): r["auc"] for r in stats.bootstrap_auc(df.repartition(5), 20).collect()}
+    state = {r["task_id"]: (r["a"], r["c"]) for r in df.select("task_id", *[c.alias(k) for c, k in zip(stats._state("T", F.col("task_id")), "ac")]).distinct().collect()}
+    for f in ("ties", "fine"):
+        own = [r for r in rows if r[1] == f]
+        v, y = np.array([r[2] for r in own]), np.array([r[3] for r in own])
+        a, c = (np.array([state[r[0]][i] for r in own], np.int64) for i in (0, 1))
+        w = stats._times(stats._units(a, c, stats.steps(20))).astype(float)
+        for b in range(20):
+            p, n = w[:, b] * y, w[:, b] * (1 - y)
+            won = sum(p[i] * (n[v < v[i]].sum() + n[v == v[i]].sum() / 2) for i in range(len(v)))
+            assert got[f, b] == pytest.approx(won / (p.sum() * n.sum()))

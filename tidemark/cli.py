@@ -23,13 +23,14 @@ COMMANDS = {
 
 
 def _show(df: DataFrame, out: str | None) -> list[dict]:
-    """Writes a whole result, or prints its first rows."""
+    """Writes a whole result, or prints it, every row of it, a partition at a time."""
     if out:
         df.write.mode("overwrite").parquet(out)
         return []
-    rows = [r.asDict(recursive=True) for r in df.limit(1_000).collect()]
-    for r in rows:
-        print(json.dumps(store.canonical(r), default=str, sort_keys=True))
+    rows = []
+    for r in df.toLocalIterator():
+        rows.append(r.asDict(recursive=True))
+        print(json.dumps(store.canonical(rows[-1]), default=str, sort_keys=True))
     return rows
 
 

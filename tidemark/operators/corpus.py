@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SPLITS, RATIOS = ("train", "val", "test"), (0.6, 0.2, 0.2)
@@ -21,12 +23,21 @@ def rollout_hash(*parts: Column) -> Column:
     return F.substring(task_hash(*parts), 1, 16)
 
 
-def corpus_hash(tasks: DataFrame, *columns: str) -> DataFrame:
-    """(corpus_hash, n): one hash over the sorted hashes of all tasks, whatever their order.
+def hash_of_all(hashes: DataFrame, column: str) -> DataFrame:
+    """(corpus_hash, n): one hash over a column of hex hashes in their order, NULLs left out.
+
+    The rows are sorted over all tasks and pass the driver one partition at a time; the hash is sequential by its nature, but nothing
+    is gathered in one place."""
+    sha, n = hashlib.sha256(), 0
+    for r in hashes.where(F.col(column).isNotNull()).select(column).orderBy(column).toLocalIterator():
+        sha.update(r[0].encode())
+        n += 1
+    return hashes.sparkSession.createDataFrame([(sha.hexdigest(), n)], "corpus_hash string, n long")
 
-    Only 64 digits a task are gathered, at the last step; a corpus of tasks is small against its rollouts."""
-    h = tasks.select(task_hash(*[F.col(c) for c in columns]).alias("h"))
-    return h.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("corpus_hash"), F.count(F.lit(1)).alias("n"))
+
+def corpus_hash(tasks: DataFrame, *columns: str) -> DataFrame:
+    """(corpus_hash, n): one hash over the sorted hashes of all tasks, whatever their order."""
+    return hash_of_all(tasks.select(task_hash(*[F.col(c) for c in columns]).alias("h")), "h")
 
 
 def bucket(task_id: Column, salt: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidemark.operators.ordered import before
 
 #: The batch whose coefficients price a row by default, and the fewest observations to fit three numbers to.
 REFERENCE_BATCH, LEAST_ROWS = 1, 12
@@ -52,8 +56,10 @@ def join_costing(rows: DataFrame, sidecar: DataFrame) -> DataFrame:
 
 def holdout(df: DataFrame, by: list[str], order: list[str], step: int = 4, least: int = 2 * LEAST_ROWS) -> DataFrame:
     """df with `held`: every step-th row of a group in order, for groups of at least `least` rows."""
-    w = W.partitionBy(*by)
-    return df.withColumn("held", (F.row_number().over(w.orderBy(*order)) % step == 0) & (F.count(F.lit(1)).over(w) >= least))
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n__"))
+    same = reduce(lambda a, c: a & c, [F.col(f"x.{k}").eqNullSafe(F.col(f"n.{k}")) for k in by], F.lit(True))
+    x = before(df, order, by=by, out="before__").alias("x").join(n.alias("n"), same)
+    return x.select("x.*", (((F.col("before__") + 1) % step == 0) & (F.col("n__") >= least)).alias("held")).drop("before__")
 
 
 def gram(df: DataFrame, xs: list[Column], y: Column, by: list[str]) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators import cost, features, stats
 
@@ -70,35 +73,45 @@ def probability(coef: dict[str, float]):
     return 1 / (1 + F.exp(-linear(coef)))
 
 
-def isotonic(df: DataFrame, p: str, y: str) -> list[tuple[float, float]]:
-    """Knots of the best non-decreasing fit of y on p. Rows are first counted per distinct p rounded to 12 digits, then to at most
-    10,000 quantile bins, so that what comes to the driver is bounded; then adjacent violators are pooled."""
-    per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.round(p, 12).alias("p")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
-    if per.count() > 10_000:
-        cuts = per.approxQuantile("p", [i / 10_000 for i in range(1, 10_000)], 1e-5)
-        from pyspark.ml.feature import Bucketizer
-
-        cuts = [-float("inf"), *sorted(set(cuts)), float("inf")]
-        per = Bucketizer(splits=cuts, inputCol="p", outputCol="b").transform(per).groupBy("b").agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("p"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+def _pooled(groups: Iterable[tuple[float, float, float, float]]) -> list[list[float]]:
+    """Pools (sum, rows, first, last) of groups in order, adjacent ones joined while the earlier mean isn't below the later."""
     pools: list[list[float]] = []
-    for r in per.orderBy("p").collect():
-        pools.append([r["s"], r["n"], r["p"], r["p"]])
+    for g in groups:
+        pools.append(list(g))
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             s, n, _, hi = pools.pop()
             pools[-1][0] += s
             pools[-1][1] += n
             pools[-1][3] = hi
+    return pools
+
+
+def isotonic(df: DataFrame, p: str, y: str) -> list[tuple[float, float]]:
+    """Knots of the best non-decreasing fit of y on p, the same exact fit at any size. Rows are counted per distinct p rounded to 12
+    digits and range-partitioned; violators are pooled within each partition, and the pools, far fewer than the values, on the driver:
+    pooling in any order gives the same fit. NULLs are left out."""
+    per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.round(p, 12).alias("p")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+
+    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((s, n, at, at) for b in batches for at, s, n in zip(b["p"], b["s"], b["n"]))
+        yield pd.DataFrame(_pooled(rows), columns=["s", "n", "lo", "hi"]).astype(float)
+
+    parts = per.repartitionByRange("p").sortWithinPartitions("p").mapInPandas(pool, "s double, n double, lo double, hi double")
+    pools = _pooled(tuple(r) for r in parts.orderBy("lo").collect())
     return [k for s, n, lo, hi in pools for k in ([(lo, s / n)] if lo == hi else [(lo, s / n), (hi, s / n)])]
 
 
-def calibrated(p, knots: list[tuple[float, float]]):
-    """p through the knots, linear between them, flat beyond, within [0, 1]. Knots are literals: there are few."""
+def calibrated(p: Column, knots: list[tuple[float, float]]) -> Column:
+    """p through the knots, linear between them, flat beyond, within [0, 1]; NULL for NULL. p itself where there are no knots."""
     if not knots:
         return p
-    out = F.when(p <= knots[0][0], knots[0][1])
-    for (x0, y0), (x1, y1) in zip(knots, knots[1:]):
-        out = out.when(p <= x1, F.lit(y0) + (p - x0) * ((y1 - y0) / (x1 - x0) if x1 > x0 else 0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out.otherwise(knots[-1][1])))
+    xs, ys = (np.array(v, float) for v in zip(*knots))
+
+    @F.pandas_udf("double")
+    def through(v: pd.Series) -> pd.Series:
+        return pd.Series(np.clip(np.interp(v.astype(float), xs, ys), 0.0, 1.0)).where(v.notna().to_numpy(), None)
+
+    return through(p)
 
 
 def crossfit(df: DataFrame, p: str, y: str, key: str, folds: int = 5) -> DataFrame:

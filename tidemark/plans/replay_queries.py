@@ -378,7 +378,16 @@ _VI = "vi AS (SELECT model_id, wall_ms / 1000 AS m, imputed_s AS p FROM im WHERE
 for _n in ("agg_validate_imputation", "agg_r2_rmse"):
     query(_n, f"WITH {R}, {_RES}, {_IMP}, {_VI} SELECT model_id, round(CASE WHEN tot > 0 THEN 1 - res / tot ELSE 0.0 END, 6) AS r2, round(sqrt(res / n), 6) AS rmse, n, round(mm, 6) AS mean_measured_s, round(mp, 6) AS mean_imputed_s, CASE WHEN tot > 0 THEN 1 - res / tot ELSE 0.0 END > 0.9 AS passed FROM (SELECT model_id, sum(pow(m - p, 2)) AS res, sum(pow(m - mm, 2)) AS tot, count(*) AS n, any_value(mm) AS mm, avg(p) AS mp FROM (SELECT *, avg(m) OVER (PARTITION BY model_id) AS mm FROM vi) GROUP BY 1)")(
         lambda s, d: rounded(cost.validate(rollouts(s, d, *_PRICED, "mode", "tokens_exact", "wall_ms"), load(s, d, "cost_coefficients"))))
-query("ml_ols_cost")(lambda s, d: rounded(cost.fit(observations(s, d), ["rollout_id"])))
+# Least squares of two variables about their means, every fourth row held out.
+_OLS = (
+    f"{_OBS}, hd AS (SELECT *, (row_number() OVER (PARTITION BY model_id, batch ORDER BY rollout_id)) % 4 = 0 AND count(*) OVER (PARTITION BY model_id, batch) >= 24 AS held FROM ob),"
+    " mu AS (SELECT model_id, batch, count(*) AS n, avg(prefill_tokens) AS ma, avg(decode_tokens) AS mb, avg(seconds) AS my FROM hd WHERE NOT held GROUP BY 1, 2),"
+    " cv AS (SELECT model_id, batch, any_value(n) AS n, any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my, sum((prefill_tokens - ma) * (prefill_tokens - ma)) AS aa, sum((decode_tokens - mb) * (decode_tokens - mb)) AS bb, sum((prefill_tokens - ma) * (decode_tokens - mb)) AS ab, sum((prefill_tokens - ma) * (seconds - my)) AS ay, sum((decode_tokens - mb) * (seconds - my)) AS yb FROM hd JOIN mu USING (model_id, batch) WHERE NOT held GROUP BY 1, 2),"
+    " be AS (SELECT *, my - a * ma - b * mb AS i FROM (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS a, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS b FROM cv WHERE n >= 12 AND aa * bb - ab * ab > 1e-9 * aa * bb)),"
+    " rs AS (SELECT model_id, batch, held, seconds, i + a * prefill_tokens + b * decode_tokens AS yhat FROM hd JOIN be USING (model_id, batch)),"
+    " ev AS (SELECT model_id, batch, held, count(*) AS n, sum(pow(seconds - yhat, 2)) AS res, sum(pow(seconds - m, 2)) AS tot FROM (SELECT *, avg(seconds) OVER (PARTITION BY model_id, batch, held) AS m FROM rs) GROUP BY 1, 2, 3)"
+)
+query("ml_ols_cost", f"WITH {R}, {_OLS} SELECT be.model_id, be.batch, round(i, 6) AS intercept_s, round(a, 6) AS prefill_s_per_token, round(b, 6) AS decode_s_per_token, o.n, round(CASE WHEN o.tot > 0 THEN 1 - o.res / o.tot ELSE 0.0 END, 6) AS r2, round(sqrt(o.res / o.n), 6) AS rmse_s, round(CASE WHEN h.tot > 0 THEN 1 - h.res / h.tot WHEN h.tot IS NOT NULL THEN 0.0 END, 6) AS holdout_r2, coalesce(h.n, 0) AS holdout_n FROM be JOIN ev o ON o.model_id = be.model_id AND o.batch = be.batch AND NOT o.held LEFT JOIN ev h ON h.model_id = be.model_id AND h.batch = be.batch AND h.held")(lambda s, d: rounded(cost.fit(observations(s, d), ["rollout_id"])))
 _SIDE = f"sd AS (SELECT {sql_id('rollout_id')} AS rollout_id, min({sql_amount('gpu_seconds')}) AS g, min({sql_amount('imputed_latency_s')}) AS l, min({sql_amount('usd')}) AS usd FROM cost_sidecar GROUP BY 1)"
 query("join_cost", f"WITH {R}, {_SIDE} SELECT r.rollout_id, round(coalesce(g, gpu_seconds), 6) AS gpu_seconds, round(coalesce(l, imputed_latency_s), 6) AS imputed_latency_s, round(usd, 9) AS usd FROM r LEFT JOIN sd USING (rollout_id)")(
     lambda s, d: cost.join_costing(rollouts(s, d, "gpu_seconds", "imputed_latency_s"), load(s, d, "cost_sidecar").select(norm_id("rollout_id").alias("rollout_id"), *[amount(c).alias(c) for c in ("gpu_seconds", "imputed_latency_s", "usd")])).select("rollout_id", F.round("gpu_seconds", 6).alias("gpu_seconds"), F.round("imputed_latency_s", 6).alias("imputed_latency_s"), F.round("usd", 9).alias("usd")))
@@ -433,9 +442,16 @@ query("ml_standardize", f"WITH {C}, x AS (SELECT coalesce(decode_tokens, 0)::DOU
 query("ml_logreg")(lambda s, d: (lambda x: s.createDataFrame([(k, round(v, 6)) for k, v in (models.logistic(models.standardize(x, models.standardizer(x, _FEATURES)).where("split = 'train'"), _FEATURES, "y") or {}).items()], "feature string, weight double"))(labelled(s, d)))
 _RIDGE = f"WITH {C}, x AS (SELECT coalesce(prefill_tokens, 0)::DOUBLE AS v, coalesce(decode_tokens, 0)::DOUBLE AS y FROM c WHERE arm = 'small' AND hidden_total IS NOT NULL AND split IS NOT NULL), t AS (SELECT avg(v) AS mv, avg(y) AS my FROM x) SELECT round(my - w * mv, 4) AS intercept, round(w, 6) AS weight FROM (SELECT any_value(mv) AS mv, any_value(my) AS my, sum((v - mv) * (y - my)) / (sum(pow(v - mv, 2)) + 1.0) AS w FROM x, t)"
 query("ml_ridge", _RIDGE)(lambda s, d: (lambda c: s.createDataFrame([(round(c["intercept"], 4), round(c["d1_prefill_tokens"], 6))], "intercept double, weight double"))(models.ridge(labelled(s, d), ["d1_prefill_tokens"], "d1_decode_tokens")[()]))
-query("ml_isotonic")(lambda s, d: s.createDataFrame([(i, round(x, 6), round(y, 6)) for i, (x, y) in enumerate(models.isotonic(scored(s, d), "p", "y"))], "knot int, p double, observed double"))
+# The best non-decreasing fit at place i is the greatest, over the places up to it, of the least mean of a stretch from there past i.
+_ISO = (
+    "pr AS (SELECT *, row_number() OVER (ORDER BY p) AS i FROM (SELECT round(p, 12) AS p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n FROM sc WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY 1)), cs AS (SELECT *, sum(s) OVER (ORDER BY i) AS us, sum(n) OVER (ORDER BY i) AS un FROM pr),"
+    " st AS (SELECT a.i AS j, b.i AS k, (b.us - a.us + a.s) / (b.un - a.un + a.n) AS m FROM cs a JOIN cs b ON b.i >= a.i), ms AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM st), ft AS (SELECT k AS i, max(m) AS fit FROM ms GROUP BY 1),"
+    " po AS (SELECT fit, min(p) AS lo, max(p) AS hi FROM ft JOIN pr USING (i) GROUP BY 1), kn AS (SELECT DISTINCT x, fit AS observed FROM (SELECT lo AS x, fit FROM po UNION ALL SELECT hi, fit FROM po))"
+)
+query("ml_isotonic", f"WITH {C}, {_SCORED}, {_ISO} SELECT (row_number() OVER (ORDER BY x) - 1)::INT AS knot, round(x, 6) AS p, round(observed, 6) AS observed FROM kn")(lambda s, d: s.createDataFrame([(i, round(x, 6), round(y, 6)) for i, (x, y) in enumerate(models.isotonic(scored(s, d), "p", "y"))], "knot int, p double, observed double"))
 query("ml_crossfit")(lambda s, d: rounded(stats.calibration(stats.reliability(models.crossfit(cut(scored(s, d)), "p", "y", "task_id"), "p_cross", "y"))))
-query("ml_calibrate_apply")(lambda s, d: (lambda x: rounded(x.select("task_id", "p", models.calibrated(F.col("p"), models.isotonic(x, "p", "y")).alias("calibrated"))))(cut(scored(s, d))))
+_SCORED_T = _SCORED.replace("SELECT d.p_pass AS p, c.y", "SELECT c.task_id, d.p_pass AS p, c.y")
+query("ml_calibrate_apply", f"WITH {C}, {_SCORED_T}, {_ISO}, kl AS (SELECT x, observed, lead(x) OVER (ORDER BY x) AS x2, lead(observed) OVER (ORDER BY x) AS o2 FROM kn) SELECT task_id, round(p, 6) AS p, round(least(1.0, greatest(0.0, CASE WHEN p IS NULL THEN NULL WHEN x IS NULL THEN (SELECT arg_min(observed, x) FROM kn) WHEN x2 IS NULL THEN observed ELSE observed + (p - x) * (o2 - observed) / (x2 - x) END)), 6) AS calibrated FROM sc ASOF LEFT JOIN kl ON sc.p >= kl.x")(lambda s, d: (lambda x: rounded(x.select("task_id", "p", models.calibrated(F.col("p"), models.isotonic(x, "p", "y")).alias("calibrated"))))(cut(scored(s, d))))
 query("ml_calibrate_select")(lambda s, d: (lambda r: s.createDataFrame([(r["raw_ece"], r["cross_ece"], r["kept"], len(r["knots"]))], "raw_ece double, cross_ece double, kept boolean, knots int"))(models.calibrate(cut(scored(s, d)), "p", "y", "task_id")))
 query("ml_gate")(lambda s, d: rounded(models.gate(labelled(s, d), _FEATURES, "y")))
 for _n in ("ml_ablation", "topk_impact", "abl_carries"):

@@ -255,7 +255,7 @@ query("set_dedup_prompt", f"WITH {_TD}, {_FILT} SELECT * FROM ft")(lambda s, d:
 query("corpus_build", f"WITH {_TD}, {_FILT} SELECT dataset, task_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY task_id) AS k FROM ft WHERE reason IS NULL) WHERE k <= 50")(
     lambda s, d: corpus.first_per_group(corpus.contamination_filter(task_rows(s, d)).where("reason IS NULL").select("dataset", "task_id"), "dataset", "task_id", 50))
 query("corpus_hash", f"WITH {_TASKS} SELECT sha256(string_agg(h, '' ORDER BY h)) AS corpus_hash, count(*) AS n FROM (SELECT sha256(task_id || '|' || prompt) AS h FROM tk WHERE task_id IS NOT NULL)")(
-    lambda s, d: task_rows(s, d).select(F.sha2(F.concat_ws("|", "task_id", "prompt").cast("binary"), 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("corpus_hash"), F.count(F.lit(1)).alias("n")))
+    lambda s, d: corpus.hash_of_all(task_rows(s, d).select(F.sha2(F.concat_ws("|", "task_id", "prompt").cast("binary"), 256).alias("h")), "h"))
 
 # --- splits -------------------------------------------------------------------------------------------------------------------
 
