@@ -203,3 +203,20 @@ def test_one_length_of_a_third_of_all_documents_is_cut_at_the_right_number(spark
     assert sorted(got) == [1] * (len(got) - 333) + [2] * 333 and len(got) >= 900
     assert mixing.pick(n, takes, seed=1).where("n_tokens = 3").count() == 0
     assert {r["id"] for r in mixing.pick(n, takes, seed=2).where("repeats = 2").collect()} != {r["id"] for r in mixing.pick(n, takes, seed=1).where("repeats = 2").collect()}
+
+
+def test_very_long_tails_are_resolved_in_few_passes(spark, monkeypatch):
+    """Values from the least to the greatest double on either side of zero."""
+    rng = random.Random(3)
+    vs = [s * 10.0 ** rng.uniform(-300, 300) for s in (-1, 1) for _ in range(800)] + [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308] + [7.0] * 300
+    passes = []
+    was = percentiles.cut
+    monkeypatch.setattr(percentiles, "cut", lambda df: passes.append(1) or was(df))
+    df = spark.createDataFrame([("a", v) for v in vs], "k string, v double").repartition(4)
+    got = {r["percentile"]: r["value"] for r in percentiles.exact_percentiles(df, ["k"], "v", [0.0, 0.1, 0.4, 0.5, 0.6, 0.9, 1.0]).collect()}
+    s = sorted(vs)
+    for p, v in got.items():
+        lo, hi = s[math.floor(p * (len(s) - 1))], s[math.ceil(p * (len(s) - 1))]
+        assert min(lo, hi) <= v <= max(lo, hi)
+    # Two cuts a pass and two before the first.
+    assert len(passes) <= 2 + 2 * 14

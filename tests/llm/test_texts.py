@@ -225,3 +225,11 @@ def test_held_out_anchors_come_out_right(sf):
         p = m.predict(x)
         right += sum(np.bincount(p[of == i], weights=size[of == i], minlength=4).argmax() == lv[te][i] for i in range(te.sum()))
     assert right >= 0.95 * len(a)
+
+
+def test_polish_and_russian_prose_has_no_level():
+    lex = R.Lexicon(np.ones(1 << R.TABLE))
+    for t in ("Funkcja zapamiętuje pole podczas przejścia przez listę. Przy remisie zostaje tylko pierwszy element, który jest na początku.", "Сначала проверяется пустой список. Затем функция возвращает первое значение.", "Per ogni caso la lista non viene ordinata. Il limite viene controllato prima della fine."):
+        x, _, _, other = R.english([t], lex)
+        assert len(x) == 0 and other[0] > 8
+    assert len(R.english(["The list is read once. Ties keep their first place."], lex)[0]) == 2

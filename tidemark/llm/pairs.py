@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.crf import Crf
-from tidemark.llm.text import Hashes, shingles, words
+from tidemark.llm.text import OTHER_SCRIPT, RARER, Hashes, shingles, words
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -50,13 +50,8 @@ COMMON = {
     "de": "der die das und ist nicht ein eine einer eines einem einen zu mit von für auf dem den des im sich wird werden wurde aus bei nach auch wir sie wenn oder kein keine nur vor zum zur ich dass aber durch hier damit zuerst bleibt".split(),
     "es": "el la los las de que y en un una es no se por con para del al lo como más su sus pero este esta si cuando sin sobre hasta cada ser son aquí primero queda falta antes ordeno".split(),
     "fr": "le la les de des et un une est pas que qui dans pour sur avec ce cette il elle nous vous au aux du par plus se sont ne en sans mais ou avant après voici reste je on d'abord cas fin".split(),
-    "pt": "o a os as de que e em um uma é não se por com para do da dos das ao no na como mais seu sua mas este esta quando sem até cada são fica antes apenas uso segue primeiro campo enquanto".split(),
-    "it": "il lo la i gli le di che e in un una è non si per con del della dei delle al alla nel come più ma questo questa quando senza fino ogni sono prima resta caso ecco solo viene".split(),
-    "nl": "de het een en van is niet dat die in op te voor met aan als er maar om ook dan bij uit nog wordt worden naar over eerst blijft hier alleen geen".split(),
-    "pl": "i w nie na z do to się jest że o jak ale po co za od przez przy dla tylko oraz jego są pozostaje najpierw oto przed polega".split(),
-    "sv": "och att det som en ett är på av för med den inte till om har de i så men från när bara först här innan blir".split(),
-    "tr": "bir ve bu için ile de da ne gibi daha çok en olan olarak önce sonra kadar yalnızca ilk".split(),
 }
+COMMON |= RARER
 _LANGS = list(COMMON)
 _OF_WORD: dict[str, list[int]] = {}
 for _i, _k in enumerate(_LANGS):
@@ -69,7 +64,6 @@ _TOKEN = re.compile(r"\s*(?:<\|[a-z_]+\|>|</?s>|\[/?INST\]|<eos>)\s*\Z", re.I)
 _TAGS = re.compile(r"</?\w+>")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"')\]]*\s+|(?<=[。！？])|\n[ \t]*\n+")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_OTHER_SCRIPT = re.compile("[Ͱ-῿぀-ヿ㐀-鿿가-힯]")
 _ENDED = re.compile(r"[.!?:;。！？][\"')\]`*_]*\s*\Z")
 _LINE_START = re.compile(r"^[ \t]*(\w+|[^\w\s]{1,2})", re.M)
 _FOREIGN_CODE = re.compile(r"\b(?:fn|func|function|public|private|static|const|let|var|void|struct|impl|template|namespace|std|defn|elsif|println|printf)\b|[{};]\s*$|->\s*\w|=>|::|:=|\bend\s*$|\|\w+\|", re.M)
@@ -221,7 +215,7 @@ class Clauses:
             for i in _OF_WORD.get(w, ()):
                 lang[i] += 1
         if not s.isascii():
-            lang[-1] = sum(len(w) for w in ws if len(_OTHER_SCRIPT.findall(w)) == len(w))
+            lang[-1] = sum(len(w) for w in ws if len(OTHER_SCRIPT.findall(w)) == len(w))
         return lang
 
     def _sentence(self, s: str) -> tuple[list[int], np.ndarray, int]:
@@ -296,7 +290,7 @@ class Clauses:
                     continue
                 f, lc, n = self._sentence(s)
                 bare = s.lower().strip(" \t.…-_*[](){}<>\"'!?#`:")
-                if not bare or bare in PLACEHOLDERS or (n == 0 and not _OTHER_SCRIPT.search(s)):
+                if not bare or bare in PLACEHOLDERS or (n == 0 and not OTHER_SCRIPT.search(s)):
                     continue
                 counts += lc
                 kinds.append(("said", s, max(n, int(lc[-1]) // 2, 1), f))

@@ -1,7 +1,8 @@
 """Exact percentiles per group by bisection, and summaries of bounded error that add up over days.
 
-Bisection keeps, for each group and target rank, an interval of values. A pass cuts every interval at 63 evenly spaced points (six
-halvings at once), counts the rows in each part as a plain aggregate, and keeps the parts that hold a target rank, narrowed to the
+Bisection keeps, for each group and target rank, an interval of values. A pass cuts every interval at 63 points (six halvings at
+once): evenly, or evenly in the logarithm where its ends are over four times apart or on either side of zero. So intervals of all
+doubles are within a factor of four after three passes and resolved after some nine more, however long their tails. A pass counts the rows in each part as a plain aggregate, and keeps the parts that hold a target rank, narrowed to the
 least and greatest value seen there. A part whose least and greatest value are the same is resolved. Rows outside the open parts
 are dropped from later passes, so the passes together cost little more than the first. Counts of separate partitions or days simply
 add, so nothing but counts and two extremes is ever moved, and no group is gathered anywhere.
@@ -52,9 +53,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentile
         cuts = parts.where("lo__ < hi__").select(*[F.col(k).alias(f"{k}__") for k in keys], "lo__", "hi__", "base__", "ranks__")
         side = cuts.drop("ranks__")
         j = rows.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, _same(rows, side, keys) & F.col("v__").between(F.col("lo__"), F.col("hi__")))
+        lo, hi, v = F.col("lo__"), F.col("hi__"), F.col("v__")
         # Halved, so that the width of an interval can't overflow.
-        wide = F.col("hi__") / 2 - F.col("lo__") / 2
-        part = F.when(wide > 0, F.least(F.lit(sections - 1), F.floor((F.col("v__") / 2 - F.col("lo__") / 2) / F.when(wide > 0, wide) * sections).cast("int"))).otherwise((F.col("v__") > F.col("lo__")).cast("int"))
+        wide = hi / 2 - lo / 2
+        tailed = F.when(lo >= 0, hi / 4 > lo).when(hi <= 0, lo / 4 < hi).otherwise(True)
+        log = lambda x: F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log2(F.abs(x)) + 1_100))
+        at_ = F.when(tailed, (log(v) - log(lo)) / (log(hi) - log(lo))).when(wide > 0, (v / 2 - lo / 2) / F.when(wide > 0, wide))
+        part = F.when(at_.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(sections - 1), F.floor(at_ * sections).cast("int")))).otherwise((v > lo).cast("int"))
         j = cut(j.select(*keys, "v__", F.col("lo__").alias("from__"), part.alias("part__")))
         counts = j.groupBy(*keys, "from__", "part__").agg(F.count(F.lit(1)).alias("c__"), F.min("v__").alias("lo__"), F.max("v__").alias("hi__"))
         # At most `sections` rows a window.

@@ -181,10 +181,32 @@ costs AS (SELECT * FROM v WHERE v >= 0 AND v::VARCHAR NOT IN ('nan', '-nan', 'in
 """
 _WIDTH = "ln((1 + 0.005::DOUBLE) / (1 - 0.005::DOUBLE))"
 
+
+# Keys of authors and pages, as in `splits`, and entities by reaching out over shared keys.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+_NONE = ", ".join(f"'{p}'" for p in splits.PLACEHOLDERS)
+_AUTHOR = f"trim(regexp_replace(regexp_replace(lower(trim(json_extract_string(metadata, '$.author'), {_BLANKS})), '^@+', ''), '[\\s._\\-]+', '_', 'g'), '_')"
+_PAGE = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(contamination.source_url, {_BLANKS})), '#.*$', ''), '^([a-z][a-z0-9+.\\-]*:)?//', ''), '^www\\.', ''), ':(80|443)(/|\\?|$)', '\\2', 'g')"
+_ENTITY = (
+    f"WITH RECURSIVE k0 AS (SELECT {_TRIM.format('task_id')} AS task_id, {_AUTHOR} AS author, {_PAGE} AS page FROM tasks),"
+    " k1 AS (SELECT task_id, author, regexp_replace(regexp_replace(split_part(page, '?', 1), '/+', '/', 'g'), '(/(index\\.html?)?)$', '') AS path,"
+    f" array_to_string(list_sort([q FOR q IN string_split(regexp_extract(page, '\\?(.*)$', 1), '&') IF q <> '' AND NOT regexp_matches(q, '{splits.TRACKING}')]), '&') AS asked FROM k0),"
+    f" ky AS (SELECT task_id, 'a' || author AS k FROM k1 WHERE author NOT IN ({_NONE}) UNION SELECT task_id, 'p' || path || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END FROM k1 WHERE path NOT IN ({_NONE}) AND (contains(path, '/') OR asked <> '')),"
+    " ln AS (SELECT DISTINCT x.task_id AS a, y.task_id AS b FROM ky x JOIN ky y USING (k) WHERE x.task_id IS NOT NULL AND y.task_id IS NOT NULL), re(a, b) AS (SELECT a, b FROM ln UNION SELECT re.a, ln.b FROM re JOIN ln ON re.b = ln.a),"
+    f" en AS (SELECT a AS task_id, min(b) AS entity_id FROM re GROUP BY 1), sp AS (SELECT DISTINCT {_TRIM.format('task_id')} AS task_id, CASE {_TRIM.format('split')} WHEN 'validation' THEN 'val' WHEN 'training' THEN 'train' ELSE {_TRIM.format('split')} END AS split FROM generations),"
+    " al AS (SELECT task_id, split, coalesce(entity_id, task_id) AS entity_id FROM sp LEFT JOIN en USING (task_id) WHERE split IS NOT NULL AND task_id IS NOT NULL)"
+)
+
 ORACLE = {
     "p3_percentiles": _COSTS
     + ", s AS (SELECT *, 'arm' AS scope, NULL::VARCHAR AS d FROM costs UNION ALL SELECT *, 'arm_day', day FROM costs),"
     " q AS (SELECT source, metric, scope, arm, d AS day, count(*) AS n, quantile_cont(v, [0.25, 0.5, 0.9, 0.95, 0.99]) AS qs FROM s GROUP BY 1, 2, 3, 4, 5)"
     " SELECT source, metric, scope, arm, day, unnest([0.25, 0.5, 0.9, 0.95, 0.99])::DOUBLE AS percentile, round(unnest(qs), 6) AS value, n FROM q",
     "p3_day_summaries": _COSTS + f" SELECT source, metric, arm, day, CASE WHEN v > 0 THEN floor(ln(v) / {_WIDTH})::BIGINT END AS bucket, count(*) AS n FROM costs GROUP BY ALL",
+    "p3_combined": _COSTS
+    + f", b AS (SELECT source, metric, arm, CASE WHEN v > 0 THEN floor(ln(v) / {_WIDTH})::BIGINT ELSE -1099511627776 END AS b, count(*) AS c FROM costs GROUP BY ALL),"
+    " u AS (SELECT *, sum(c) OVER (PARTITION BY source, metric, arm ORDER BY b) AS upto, sum(c) OVER (PARTITION BY source, metric, arm) AS n FROM b), p AS (SELECT unnest([0.25, 0.5, 0.9, 0.95, 0.99])::DOUBLE AS percentile),"
+    " gr AS (SELECT (1 + 0.005::DOUBLE) / (1 - 0.005::DOUBLE) AS g)"
+    " SELECT source, metric, arm, percentile, round(CASE WHEN b = -1099511627776 THEN 0.0 ELSE pow(g, b) * (2 * g / (1 + g)) END, 6) AS value, n::BIGINT AS n, 0.005::DOUBLE AS error FROM u, p, gr WHERE ceil(percentile * (n - 1)) >= upto - c AND ceil(percentile * (n - 1)) < upto",
+    "p5_found": _ENTITY + " SELECT entity_id, task_id FROM al WHERE entity_id IN (SELECT entity_id FROM al GROUP BY 1 HAVING count(DISTINCT split) > 1) GROUP BY ALL",
 }

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.text import UNSEEN
+from tidemark.llm.text import OTHER_SCRIPT, RARER, UNSEEN
 
 ANCHORS = 20_000
 #: Bits of the table of word counts. Words that fall together count together.
@@ -37,6 +37,7 @@ COMMON = {
     "es": frozenset("el la los las de que y en un una es no se por con para del al lo como más su sus pero este esta si cuando sin sobre entre hasta desde cada ser son fue hay tiene nos antes después todo muy donde".split()),
     "fr": frozenset("le la les de des et un une est pas que qui dans pour sur avec ce cette il elle nous vous au aux du par plus se sont ne en sans chaque mais ou où avant après être été fait dès entre son sa ses on si tout quand".split()),
 }
+COMMON |= RARER
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _BULLET = re.compile(r"^\s*(?:[-*+•>|]|\d{1,3}[.)])\s+")
@@ -95,7 +96,7 @@ STRETCH = 60
 
 class Lexicon:
     """What is known of words, as rows of numbers: length, whether long, rarity, whether rare, whether a connective, and of which
-    language a frequent word. Remembers words up to a bound, beyond which it starts anew."""
+    language a frequent word, or whether in another script. Remembers words up to a bound, beyond which it starts anew."""
 
     def __init__(self, counts: np.ndarray, bound: int = 300_000):
         self._rarity = np.log((counts.sum() + len(counts)) / (counts + 1.0))
@@ -108,7 +109,7 @@ class Lexicon:
     def _clear(self) -> None:
         self._at: dict[str, int] = {}
         self._rows: list[tuple[float, ...]] = []
-        self._table = np.empty((0, 5 + len(COMMON)))
+        self._table = np.empty((0, 6 + len(COMMON)))
 
     def of(self, ws: list[str]) -> np.ndarray:
         if len(self._at) > self._bound:
@@ -118,7 +119,7 @@ class Lexicon:
             if w not in at:
                 r = float(self._rarity[bucket(w)])
                 at[w] = len(rows)
-                rows.append((len(w), len(w) >= 9, r, r > self._rare, w in CONNECTIVES, *(w in c for c in COMMON.values())))
+                rows.append((len(w), len(w) >= 9, r, r > self._rare, w in CONNECTIVES, *(w in c for c in COMMON.values()), not w.isascii() and bool(OTHER_SCRIPT.match(w))))
         if len(self._table) < len(rows):
             self._table = np.concatenate([self._table, np.array(rows[len(self._table) :], float)])
         return self._table[np.array([at[w] for w in ws], np.intp)]
@@ -128,7 +129,8 @@ def english(texts: list[str | None], lex: Lexicon, joined: int = 1) -> tuple[np.
     """(x, text, words, other): features of the English sentences of some texts, `joined` neighbours of a paragraph at a time; for
     each row its text's number and its words; and for each text its words of prose in other languages.
 
-    A paragraph is in the language whose frequent words it has most of; English where none has any or it is a tie with English."""
+    A paragraph is in the language whose frequent words it has most of, words in another script counting as one more language; English
+    where none has any or it is a tie with English."""
     flat: list[str] = []
     sizes, of_text, of_block, marks, div = [], [], [], [], []
     block_no = 0
@@ -161,7 +163,7 @@ def english(texts: list[str | None], lex: Lexicon, joined: int = 1) -> tuple[np.
     size = np.array(sizes)
     sums = np.add.reduceat(lex.of(flat), np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0)
     text, block = np.array(of_text), np.array(of_block)
-    common = np.stack([np.bincount(block, weights=sums[:, 5 + i]) for i in range(len(COMMON))])
+    common = np.stack([np.bincount(block, weights=sums[:, 5 + i]) for i in range(len(COMMON) + 1)])
     foreign = (common.max(axis=0) > common[0])[block]
     np.add.at(other, text[foreign], size[foreign])
     n = size.astype(float)

@@ -14,6 +14,8 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁԛԝһАВЕКМНОРСТУХ
 UNSEEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>")
+#: A letter of a script that isn't Latin.
+OTHER_SCRIPT = re.compile("[Ͱ-῿぀-ヿ㐀-鿿가-힯]")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 
@@ -95,3 +97,13 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         for i in range(1, k):
             s = (s ^ (s >> np.uint64(29))) * _MUL[1] + h[i : n + i] * _MUL[i]
     return mix(s)
+
+# Frequent words of languages in which neither prompts nor documents are expected, but some answers and passages are.
+RARER = {
+    "it": frozenset("il lo la i gli le di che e in un una è non si per con del della dei delle al alla nel come più ma questo questa quando senza fino ogni sono prima resta caso ecco solo viene".split()),
+    "nl": frozenset("de het een en van is niet dat die in op te voor met aan als er maar om ook dan bij uit nog wordt worden naar over eerst blijft hier alleen geen".split()),
+    "pl": frozenset("i w nie na z do to się jest że o jak ale po co za od przez przy dla tylko oraz jego są pozostaje najpierw oto przed polega".split()),
+    "pt": frozenset("o a os as de que e em um uma é não se por com para do da dos das ao no na como mais seu sua mas este esta quando sem até cada são fica antes apenas uso segue primeiro campo enquanto".split()),
+    "sv": frozenset("och att det som en ett är på av för med den inte till om har de i så men från när bara först här innan blir".split()),
+    "tr": frozenset("bir ve bu için ile de da ne gibi daha çok en olan olarak önce sonra kadar yalnızca ilk".split()),
+}
