@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators import cost, features, stats
+from tidemark.session import cut
 
 
 def standardizer(df: DataFrame, cols: list[str], splits: tuple[str, ...] = ("train",)) -> dict[str, tuple[float, float]]:
@@ -35,34 +36,49 @@ def ridge(df: DataFrame, cols: list[str], target: str, alpha: float = 1.0, by: l
     return out
 
 
-def logistic(df: DataFrame, cols: list[str], label: str, ridge_: float = 1.0, steps: int = 25) -> dict[str, float] | None:
-    """L2-penalised logistic regression by Newton steps. Each step is one distributed aggregate of the gradient and the second
-    derivatives; only their sums, whose number depends on the columns alone, come to the driver. None where a class is missing."""
-    x = df.select(*[F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(cols)], F.col(label).cast("double").alias("y")).dropna().withColumn("x0", F.lit(1.0)).cache()
-    n, pos = x.agg(F.count(F.lit(1)), F.sum("y")).first()
-    if not n or pos in (None, 0, n):
-        x.unpersist()
-        return None
+def logistic_by(df: DataFrame, cols: list[str], label: str, by: list[str], ridge_: float = 1.0, steps: int = 25) -> dict[tuple, dict[str, float]]:
+    """L2-penalised logistic regressions of all groups at once, by Newton steps. A step is one pass in which every partition sums up the
+    gradient and the second derivatives of each group; only these sums, whose number depends on the columns alone, come to the driver.
+    Rows with a NULL feature or label are left out, and so are groups in which a class is missing."""
     k = len(cols) + 1
-    beta, pen = np.zeros(k), np.array([0.0] + [ridge_] * (k - 1))
+    x = df.select(*by, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], F.col(label).cast("double").alias("y__")).dropna(subset=[*[f"x{i}" for i in range(k - 1)], "y__"])
+    x = cut(x)
+    seen = {tuple(r[:-2]): (r[-2], r[-1]) for r in x.groupBy(*by).agg(F.count(F.lit(1)), F.sum("y__")).collect()}
+    beta = {g: np.zeros(k) for g, (n, pos) in seen.items() if 0 < pos < n}
+    pen, open_ = np.array([0.0] + [ridge_] * (k - 1)), set(beta)
+    fields = ", ".join([*[f"`{c}` {t}" for c, t in x.dtypes if c in by], "g array<double>"])
     for _ in range(steps):
-        z = sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-z))
-        y = x.withColumn("p", p).withColumn("w", F.col("p") * (1 - F.col("p")))
-        r = y.agg(*[F.sum(F.col(f"x{i}") * (F.col("y") - F.col("p"))) for i in range(k)], *[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i, k)]).first()
-        grad, h, at = np.array(r[:k]) - pen * beta, np.diag(pen + 1e-10), k
-        for i in range(k):
-            for j in range(i, k):
-                h[i, j] += r[at]
-                if i != j:
-                    h[j, i] += r[at]
-                at += 1
-        step = np.linalg.solve(h, grad)
-        beta = beta + step
-        if np.abs(step).max() < 1e-9:
+        if not open_:
             break
-    x.unpersist()
-    return dict(zip(["intercept", *cols], map(float, beta)))
+        now = {g: beta[g] for g in open_}
+
+        def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            total: dict[tuple, np.ndarray] = {}
+            for b in batches:
+                for g, part in b.groupby(by, dropna=False) if by else [((), b)]:
+                    g = tuple(None if pd.isna(v) else v for v in (g if isinstance(g, tuple) else (g,)))
+                    if g in now:
+                        m = np.column_stack([np.ones(len(part)), part[[f"x{i}" for i in range(k - 1)]].to_numpy(float)])
+                        pr = 1 / (1 + np.exp(-np.clip(m @ now[g], -35, 35)))
+                        part_sums = np.concatenate([m.T @ (part["y__"].to_numpy(float) - pr), (m.T @ (m * (pr * (1 - pr))[:, None])).ravel()])
+                        total[g] = total.get(g, 0) + part_sums
+            yield pd.DataFrame([(*g, v.tolist()) for g, v in total.items()], columns=[*by, "g"])
+
+        got: dict[tuple, np.ndarray] = {}
+        for r in x.mapInPandas(sums, fields).collect():
+            got[tuple(r[:-1])] = got.get(tuple(r[:-1]), 0) + np.array(r["g"])
+        for g, v in got.items():
+            step = np.linalg.solve(v[k:].reshape(k, k) + np.diag(pen + 1e-10), v[:k] - pen * beta[g])
+            beta[g] = beta[g] + step
+            if np.abs(step).max() < 1e-9:
+                open_.discard(g)
+        open_ &= set(got)
+    return {g: dict(zip(["intercept", *cols], map(float, v))) for g, v in beta.items()}
+
+
+def logistic(df: DataFrame, cols: list[str], label: str, ridge_: float = 1.0, steps: int = 25) -> dict[str, float] | None:
+    """`logistic_by` of all rows as one group; None where a class is missing."""
+    return logistic_by(df, cols, label, [], ridge_, steps).get(())
 
 
 def linear(coef: dict[str, float]):
@@ -73,58 +89,67 @@ def probability(coef: dict[str, float]):
     return 1 / (1 + F.exp(-linear(coef)))
 
 
-def _pooled(groups: Iterable[tuple[float, float, float, float]]) -> list[list[float]]:
-    """Pools (sum, rows, first, last) of groups in order, adjacent ones joined while the earlier mean isn't below the later."""
-    pools: list[list[float]] = []
-    for g in groups:
-        pools.append(list(g))
-        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
-            s, n, _, hi = pools.pop()
-            pools[-1][0] += s
-            pools[-1][1] += n
-            pools[-1][3] = hi
-    return pools
+def _pool(pools: list[list[float]], new: list[float]) -> None:
+    """Puts (sum, rows, first, last) behind its group's pools, joined with those whose mean isn't below its own."""
+    while pools and pools[-1][0] / pools[-1][1] >= new[0] / new[1]:
+        s, n, lo, _ = pools.pop()
+        new = [s + new[0], n + new[1], lo, new[3]]
+    pools.append(new)
 
 
-def isotonic(df: DataFrame, p: str, y: str) -> list[tuple[float, float]]:
-    """Knots of the best non-decreasing fit of y on p, the same exact fit at any size. Rows are counted per distinct p rounded to 12
-    digits and range-partitioned; violators are pooled within each partition, and the pools, far fewer than the values, on the driver:
-    pooling in any order gives the same fit. NULLs are left out."""
-    per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.round(p, 12).alias("p")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+def isotonic_by(df: DataFrame, p: str, y: str, by: list[str]) -> dict[tuple, list[tuple[float, float]]]:
+    """For each group the knots of the best non-decreasing fit of y on p, the same exact fit at any size. Rows are counted per distinct p
+    rounded to 12 digits and range-partitioned; violators are pooled within each partition, and the pools, far fewer than the values,
+    on the driver: pooling in any order gives the same fit. NULLs are left out."""
+    per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.round(p, 12).alias("p__")).agg(F.sum(F.col(y).cast("double")).alias("s__"), F.count(F.lit(1)).alias("n__"))
 
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((s, n, at, at) for b in batches for at, s, n in zip(b["p"], b["s"], b["n"]))
-        yield pd.DataFrame(_pooled(rows), columns=["s", "n", "lo", "hi"]).astype(float)
+        groups: dict[tuple, list[list[float]]] = {}
+        for b in batches:
+            for *g, at, s, n in b[[*by, "p__", "s__", "n__"]].itertuples(index=False, name=None):
+                _pool(groups.setdefault(tuple(None if pd.isna(v) else v for v in g), []), [s, float(n), at, at])
+        yield pd.DataFrame([(*g, *q) for g, qs in groups.items() for q in qs], columns=[*by, "s", "n", "lo", "hi"])
 
-    parts = per.repartitionByRange("p").sortWithinPartitions("p").mapInPandas(pool, "s double, n double, lo double, hi double")
-    pools = _pooled(tuple(r) for r in parts.orderBy("lo").collect())
-    return [k for s, n, lo, hi in pools for k in ([(lo, s / n)] if lo == hi else [(lo, s / n), (hi, s / n)])]
+    fields = ", ".join([*[f"`{c}` {t}" for c, t in per.dtypes if c in by], "s double, n double, lo double, hi double"])
+    out: dict[tuple, list[list[float]]] = {}
+    for r in per.repartitionByRange(*by, "p__").sortWithinPartitions(*by, "p__").mapInPandas(pool, fields).orderBy("lo").collect():
+        _pool(out.setdefault(tuple(r[: len(by)]), []), list(r[len(by) :]))
+    return {g: [k for s, n, lo, hi in qs for k in ([(lo, s / n)] if lo == hi else [(lo, s / n), (hi, s / n)])] for g, qs in out.items()}
 
 
-def calibrated(p: Column, knots: list[tuple[float, float]]) -> Column:
-    """p through the knots, linear between them, flat beyond, within [0, 1]; NULL for NULL. p itself where there are no knots."""
-    if not knots:
-        return p
-    xs, ys = (np.array(v, float) for v in zip(*knots))
+def isotonic(df: DataFrame, p: str, y: str) -> list[tuple[float, float]]:
+    """`isotonic_by` of all rows as one group; no knots for no rows."""
+    return isotonic_by(df, p, y, []).get((), [])
+
+
+def calibrated_by(group: Column, p: Column, knots: dict[object, list[tuple[float, float]]]) -> Column:
+    """p through the knots of its group, linear between them, flat beyond, within [0, 1]; p itself in groups without knots."""
+    lines = {g: tuple(np.array(v, float) for v in zip(*ks)) for g, ks in knots.items() if ks}
 
     @F.pandas_udf("double")
-    def through(v: pd.Series) -> pd.Series:
-        return pd.Series(np.clip(np.interp(v.astype(float), xs, ys), 0.0, 1.0)).where(v.notna().to_numpy(), None)
+    def through(g: pd.Series, v: pd.Series) -> pd.Series:
+        out = v.astype(float).to_numpy().copy()
+        for k, (xs, ys) in lines.items():
+            on = (g == k).to_numpy()
+            out[on] = np.clip(np.interp(out[on], xs, ys), 0.0, 1.0)
+        return pd.Series(out).where(v.notna().to_numpy(), None)
 
-    return through(p)
+    return through(group, p)
+
+
+def calibrated(p: Column, knots: list[tuple[float, float]]) -> Column:
+    """`calibrated_by` of all rows as one group."""
+    return calibrated_by(F.lit(0), p, {0: knots}) if knots else p
 
 
 def crossfit(df: DataFrame, p: str, y: str, key: str, folds: int = 5) -> DataFrame:
-    """df with `p_cross`: calibrated on the other folds, whole keys together; a fold whose rest has one class keeps p."""
-    x = features.fold(df, key, folds)
-    out = None
-    for k in range(folds):
-        rest = x.where(F.col("fold") != k)
-        classes = rest.agg(F.min(F.col(y).cast("int")), F.max(F.col(y).cast("int"))).first()
-        knots = isotonic(rest, p, y) if classes[0] != classes[1] else []
-        part = x.where(F.col("fold") == k).withColumn("p_cross", calibrated(F.col(p), knots))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """df with `p_cross`: calibrated on the other folds, whole keys together; a fold whose rest has one class keeps p. All folds are
+    fitted in one pass."""
+    x = cut(features.fold(df, key, folds).withColumn("fold", F.col("fold").cast("int")))
+    rest = x.withColumn("for__", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("for__ <> fold")
+    both = {r["for__"] for r in rest.groupBy("for__").agg(F.min(F.col(y).cast("int")).alias("a"), F.max(F.col(y).cast("int")).alias("b")).where("a < b").collect()}
+    knots = {g[0]: k for g, k in isotonic_by(rest, p, y, ["for__"]).items() if g[0] in both}
+    return x.withColumn("p_cross", calibrated_by(F.col("fold"), F.col(p), knots))
 
 
 def calibrate(df: DataFrame, p: str, y: str, key: str) -> dict:
@@ -146,22 +171,73 @@ def gate(df: DataFrame, cols: list[str], label: str, fit_on: str = "train", scor
     return stats.auc(s, "p", "y")
 
 
-def ablations(df: DataFrame, cols: list[str], label: str) -> DataFrame:
-    """(variant, group, auc, delta, carries): without each group of features, and with each alone, against all of them; `carries`
-    marks the group whose absence costs most."""
+def ablations(df: DataFrame, cols: list[str], label: str, fit_on: str = "train", score_on: str = "val", draws: int = stats.DRAWS, level: float = 0.95) -> DataFrame:
+    """(variant, group, auc, delta, low, high, carries): without each group of features, and with each alone, against all of them.
+
+    Every variant is fitted anew on one split and scored on the other. The intervals of the differences hold together at `level`
+    (Bonferroni), over draws of tasks(task_id) shared by all variants. `carries` marks the group whose absence costs most, if its
+    interval is below 0.
+    """
     groups: dict[str, list[str]] = {}
     for c in cols:
         groups.setdefault(features.REGISTRY[c].group if c in features.REGISTRY else c, []).append(c)
-    base = gate(df, cols, label).first()
-    base = base["auc"] if base else None
-    rows = [("all", "", base)]
-    for g, mine in groups.items():
-        rest = [c for c in cols if c not in mine]
-        for kind, use in (("without", rest), ("only", mine)):
-            if use:
-                r = gate(df, use, label).first()
-                rows.append((kind, g, r["auc"] if r else None))
-    full = [(k, g, a, None if a is None or base is None else a - base) for k, g, a in rows]
-    lost = [r for r in full if r[0] == "without" and r[3] is not None and r[3] < 0]
+    variants = {("all", ""): cols} | {(kind, g): use for g, mine in groups.items() for kind, use in (("without", [c for c in cols if c not in mine]), ("only", mine)) if use}
+    z = cut(standardize(df, standardizer(df, cols, (fit_on,))))
+    train = z.where(F.col("split") == fit_on)
+    fitted = {v: c for v, use in variants.items() if (c := logistic(train, use, label)) is not None}
+    empty = "variant string, `group` string, auc double, delta double, low double, high double, carries boolean"
+    if ("all", "") not in fitted:
+        return df.sparkSession.createDataFrame([], empty)
+    score = F.array(*[F.struct(F.lit("|".join(v)).alias("f"), linear(c).alias("v")) for v, c in fitted.items()])
+    long = cut(z.where(F.col("split") == score_on).select("task_id", F.col(label).cast("int").alias("y"), F.explode(score).alias("s")).select("task_id", "y", "s.f", "s.v"))
+    at = {r["f"]: r["auc"] for r in stats.auc(long, "v", "y", ["f"]).collect()}
+    d = stats.bootstrap_auc(long, draws)
+    base = d.where("f = 'all|'").select("draw", F.col("auc").alias("base"))
+    tail = (1 - level) / 2 / max(1, len(fitted) - 1)
+    ci = {r["f"]: (r["low"], r["high"]) for r in d.where("f <> 'all|'").join(base, "draw").withColumn("x", F.col("auc") - F.col("base")).groupBy("f").agg(F.percentile("x", tail).alias("low"), F.percentile("x", 1 - tail).alias("high")).collect()}
+    rows = []
+    for kind, g in fitted:
+        f = f"{kind}|{g}"
+        a, (lo, hi) = at.get(f), ci.get(f, (None, None))
+        rows.append((kind, g, a, None if a is None or at.get("all|") is None or kind == "all" else a - at["all|"], lo, hi))
+    lost = [r for r in rows if r[0] == "without" and r[5] is not None and r[5] < 0]
     worst = min(lost, key=lambda r: r[3])[1] if lost else None
-    return df.sparkSession.createDataFrame([(*r, r[0] == "without" and r[1] == worst) for r in full], "variant string, `group` string, auc double, delta double, carries boolean")
+    return df.sparkSession.createDataFrame([(*r, r[0] == "without" and r[1] == worst) for r in rows], empty)
+
+
+def fit_heads(df: DataFrame, cols: list[str]) -> dict:
+    """Heads of every arm of df(task_id, arm, split, y, prefill_tokens, decode_tokens, cols...): a success head, calibrated, and a head
+    for either count of tokens. Scaling and weights are fitted on train only, calibration on val only; test is never read.
+
+    {"scale", "pass": arm -> weights, "knots": arm -> knots, "decode" and "prefill": arm -> weights}; an arm without both classes in
+    train has no success head.
+    """
+    scale = standardizer(df, cols)
+    z = cut(standardize(df.where("split IN ('train', 'val')"), scale))
+    train = z.where("split = 'train'")
+    heads = {"scale": scale, "decode": ridge(train, cols, "decode_tokens", by=["arm"]), "prefill": ridge(train, cols, "prefill_tokens", by=["arm"]), "pass": logistic_by(train, cols, "y", ["arm"])}
+    heads = {k: {g[0]: c for g, c in v.items()} if k != "scale" else v for k, v in heads.items()}
+    p = cut(_by_arm(z.where("split = 'val'"), heads["pass"], probability, "p").where("p IS NOT NULL"))
+    heads["knots"] = {arm: calibrate(p.where(F.col("arm") == arm), "p", "y", "task_id")["knots"] for arm in heads["pass"]}
+    return heads
+
+
+def _by_arm(df: DataFrame, heads: dict[str, dict[str, float]], f, out: str) -> DataFrame:
+    """df with a function of each arm's own weights; arms are few."""
+    c = F.lit(None).cast("double")
+    for arm, w in heads.items():
+        c = F.when(F.col("arm") == arm, f(w)).otherwise(c)
+    return df.withColumn(out, c)
+
+
+def scores(tasks: DataFrame, heads: dict, arms: DataFrame) -> DataFrame:
+    """(task_id, arm, p_pass, prefill_tokens, decode_tokens, e_cost, e_latency) of tasks(task_id, cols...) for every arm that has heads.
+
+    `arms` is (arm, intercept_s, prefill_s_per_token, decode_s_per_token), a row for each arm: costs are the predicted tokens priced by
+    its coefficients. Counts below 0 are 0."""
+    z = standardize(tasks, heads["scale"]).crossJoin(F.broadcast(arms.where(F.col("arm").isin(*heads["pass"]) if heads["pass"] else F.lit(False))))
+    z = _by_arm(z, heads["pass"], probability, "p_raw")
+    z = z.withColumn("p_pass", calibrated_by(F.col("arm"), F.col("p_raw"), heads["knots"]))
+    for t in ("decode", "prefill"):
+        z = _by_arm(z, heads[t], lambda w: F.greatest(F.lit(0.0), linear(w)), f"{t}_tokens")
+    return z.select("task_id", "arm", "p_pass", "prefill_tokens", "decode_tokens", cost.gpu_seconds().alias("e_cost"), cost.latency().alias("e_latency"))

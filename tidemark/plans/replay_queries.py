@@ -454,47 +454,53 @@ _SCORED_T = _SCORED.replace("SELECT d.p_pass AS p, c.y", "SELECT c.task_id, d.p_
 query("ml_calibrate_apply", f"WITH {C}, {_SCORED_T}, {_ISO}, kl AS (SELECT x, observed, lead(x) OVER (ORDER BY x) AS x2, lead(observed) OVER (ORDER BY x) AS o2 FROM kn) SELECT task_id, round(p, 6) AS p, round(least(1.0, greatest(0.0, CASE WHEN p IS NULL THEN NULL WHEN x IS NULL THEN (SELECT arg_min(observed, x) FROM kn) WHEN x2 IS NULL THEN observed ELSE observed + (p - x) * (o2 - observed) / (x2 - x) END)), 6) AS calibrated FROM sc ASOF LEFT JOIN kl ON sc.p >= kl.x")(lambda s, d: (lambda x: rounded(x.select("task_id", "p", models.calibrated(F.col("p"), models.isotonic(x, "p", "y")).alias("calibrated"))))(cut(scored(s, d))))
 query("ml_calibrate_select")(lambda s, d: (lambda r: s.createDataFrame([(r["raw_ece"], r["cross_ece"], r["kept"], len(r["knots"]))], "raw_ece double, cross_ece double, kept boolean, knots int"))(models.calibrate(cut(scored(s, d)), "p", "y", "task_id")))
 query("ml_gate")(lambda s, d: rounded(models.gate(labelled(s, d), _FEATURES, "y")))
-for _n in ("ml_ablation", "topk_impact", "abl_carries"):
-    query(_n)(lambda s, d: rounded(models.ablations(labelled(s, d), _FEATURES, "y")))
 
 
-def _heads(s, d):
-    """Per arm: the intercepts of a success head and of two token heads, on scaled prompt features."""
-    t = task_rows(s, d)
-    cols = ["d0_prompt_chars", "d0_prompt_sentences"]
-    f = features.build(t, cols, ["task_id"])
-    x = cut(cells(s, d, "split", "hidden_passed", "hidden_total", "decode_tokens", "prefill_tokens").where("hidden_total IS NOT NULL AND split IS NOT NULL AND arm IS NOT NULL").select("task_id", "arm", "split", "decode_tokens", "prefill_tokens", solved().cast("int").alias("y")).join(f, "task_id"))
-    z = cut(models.standardize(x, models.standardizer(x, cols)))
-    return z, cols
+def _ablation(s, d):
+    return models.ablations(labelled(s, d), _FEATURES, "y")
+
+
+query("ml_ablation")(lambda s, d: rounded(_ablation(s, d)))
+query("topk_impact")(lambda s, d: rounded(_ablation(s, d).where("variant = 'without'").orderBy("delta", "group").limit(3).select("group", "delta")))
+query("abl_carries")(lambda s, d: _ablation(s, d).where("variant = 'without'").select("group", "carries"))
+_D0 = [c for c in features.names("D0", "d0_")]
+
+
+def _arms(s, d):
+    """The coefficients of each arm: those of the model that most of its rollouts were made by."""
+    r = rollouts(s, d, "arm", "model_id").where("arm IS NOT NULL AND model_id IS NOT NULL").groupBy("arm", "model_id").agg(F.count(F.lit(1)).alias("n"))
+    of = r.groupBy("arm").agg(F.max_by("model_id", F.struct("n", "model_id")).alias("model_id"))
+    return of.join(cost.resolve(load(s, d, "cost_coefficients")), "model_id").select("arm", "intercept_s", "prefill_s_per_token", "decode_s_per_token")
+
+
+def _headed(s, d):
+    """(features of all tasks, heads of all arms) over all registered prompt features."""
+    f = cut(features.build(task_rows(s, d), _D0, ["task_id"]))
+    x = cells(s, d, "split", "hidden_passed", "hidden_total", "decode_tokens", "prefill_tokens").where("hidden_total IS NOT NULL AND split IN ('train', 'val') AND arm IS NOT NULL")
+    return f, models.fit_heads(cut(x.select("task_id", "arm", "split", "decode_tokens", "prefill_tokens", solved().cast("int").alias("y")).join(f, "task_id")), _D0)
 
 
 @query("ml_fit_heads")
 def ml_fit_heads(s, d):
-    z, cols = _heads(s, d)
-    train = z.where("split = 'train'")
-    dec, pre = models.ridge(train, cols, "decode_tokens", by=["arm"]), models.ridge(train, cols, "prefill_tokens", by=["arm"])
-    rows = []
-    for (arm,), c in dec.items():
-        p = models.logistic(train.where(F.col("arm") == arm), cols, "y") or {}
-        rows.append((arm, round(p.get("intercept", 0.0), 4), round(c["intercept"], 3), round(pre[(arm,)]["intercept"], 3)))
-    return s.createDataFrame(rows, "arm string, pass_logit double, decode_mean double, prefill_mean double")
+    """Every weight of every head of every arm, and how many knots calibrate its success head."""
+    _, h = _headed(s, d)
+    rows = [(arm, head, k, round(v, 6)) for head in ("pass", "decode", "prefill") for arm, w in h[head].items() for k, v in w.items()] + [(arm, "knots", "count", float(len(k))) for arm, k in h["knots"].items()]
+    return s.createDataFrame(rows, "arm string, head string, feature string, weight double")
+
+
+@query("ml_score_cost")
+def ml_score_cost(s, d):
+    """For each task and arm the predicted success, tokens, cost and latency, from prompt features only."""
+    f, h = _headed(s, d)
+    return rounded(models.scores(f, h, _arms(s, d)), 4)
 
 
 @query("pol_learned_d0")
 def pol_learned_d0(s, d):
     """The arm of greatest predicted utility for each task and weight, from prompt features only."""
-    z, cols = _heads(s, d)
-    train = z.where("split = 'train'")
-    dec, pre = models.ridge(train, cols, "decode_tokens", by=["arm"]), models.ridge(train, cols, "prefill_tokens", by=["arm"])
-    tasks, parts = z.select("task_id", *cols).dropDuplicates(["task_id"]), []
-    for arm in (SMALL, LARGE):
-        p = models.logistic(train.where(F.col("arm") == arm), cols, "y")
-        if p is not None and (arm,) in dec:
-            parts.append(tasks.select("task_id", F.lit(arm).alias("arm"), models.probability(p).alias("p"), (F.greatest(F.lit(0.0), models.linear(dec[(arm,)])) * 0.01 + F.greatest(F.lit(0.0), models.linear(pre[(arm,)])) * 0.0001).alias("cost")))
-    return frontier.choose(reduce(DataFrame.unionByName, parts).crossJoin(F.broadcast(frontier.lam_grid(s, LAMS))))
-
-
-query("ml_score_cost")(lambda s, d: (lambda zc: (lambda dec: rounded(zc[0].where(F.col("arm") == SMALL).select("task_id", "d0_prompt_chars", "d0_prompt_sentences").dropDuplicates(["task_id"]).select("task_id", F.greatest(F.lit(0.0), models.linear(dec[(SMALL,)])).alias("decode_tokens")), 3))(models.ridge(zc[0].where("split = 'train'"), zc[1], "decode_tokens", by=["arm"])))(_heads(s, d)))
+    f, h = _headed(s, d)
+    x = cut(models.scores(f, h, _arms(s, d)).where(F.col("arm").isin(SMALL, LARGE)).select("task_id", "arm", F.col("p_pass").alias("p"), F.col("e_cost").alias("cost")))
+    return frontier.choose(x.crossJoin(F.broadcast(frontier.lam_grid(s, LAMS))))
 
 
 _LAB = f"lb AS (SELECT task_id, CASE WHEN visible_total > 0 THEN coalesce(visible_passed, 0)::DOUBLE / visible_total ELSE 0.0 END AS v, ({SOLVED})::INT AS y FROM c WHERE arm = 'small' AND hidden_total IS NOT NULL AND split IS NOT NULL)"
