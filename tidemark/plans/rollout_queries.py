@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.normalize import norm_id, norm_split
-from tidemark.operators import code, corpus, cost, features, sweep, validate
+from tidemark.operators import audit, code, corpus, cost, features, sweep, validate
 from tidemark.operators.ordered import before
 from tidemark.plans.replay_queries import _TASKS, _long, rounded, task_rows
 from tidemark.plans.tables import C, G, R, SOLVED, VISIBLE, cells, grid, rollouts, solved, sql_id, sql_split, visible_frac
@@ -202,19 +203,74 @@ for _n in ("integ_all", "examples_3"):
         lambda s, d: validate.integrity(_rows(s, d)))
 query("grid_complete", f"WITH {C}, x AS (SELECT count(*) AS rows, count(DISTINCT task_id) AS tasks, count(DISTINCT arm) AS arms, count(DISTINCT seed) AS seeds, min(seed) AS lo, max(seed) AS hi FROM c) SELECT rows, tasks, arms, seeds, rows = tasks * arms * seeds AS complete, lo = 0 AND hi = seeds - 1 AS seeds_in_order FROM x")(lambda s, d: validate.grid_gaps(cells(s, d)))
 query("load_warnings", f"WITH {R} SELECT round(avg((finish_reason = 'length')::INT), 6) AS truncation_rate, avg((finish_reason = 'length')::INT) > 0.02 AS warn_truncation, count(*) FILTER (WHERE len(hack_flags) > 0) AS hacked, count(*) FILTER (WHERE gpu_seconds IS NULL) AS cost_missing FROM r")(lambda s, d: validate.load_warnings(rollouts(s, d, "finish_reason", "hack_flags", "gpu_seconds")))
-query("leak_audit", f"WITH {_R0} SELECT 'split_disjointness' AS check_name, (SELECT count(*) FROM ({_ISSUES['integ_split_span']})) = 0 AS passed, (SELECT count(*) FROM ({_ISSUES['integ_split_span']})) AS found UNION ALL SELECT 'ladder_causality', count(*) FILTER (WHERE ladder_step < 0) = 0, count(*) FILTER (WHERE ladder_step < 0) FROM r0 UNION ALL SELECT 'column_allowlist[D0]', FALSE, 2 UNION ALL SELECT 'column_allowlist[D1]', TRUE, 0 UNION ALL SELECT 'normalization_scope', TRUE, 0 UNION ALL SELECT 'canary', TRUE, 0 UNION ALL SELECT 'seed_aggregation', TRUE, 0")(
-    lambda s, d: leak_audit(s, d))
-
-
+_D1COLS = ["visible_passed", "visible_total", "code", "code_parses", "finish_reason", "decode_tokens", "prefill_tokens", "extract_strategy", "error", "hack_flags"]
+_D0F, _D1F = features.names("D0", "d0_"), [n for n in features.names("D1", "d1_") if n.startswith("d1_")]
+_DECLARED = "de AS (SELECT * FROM (VALUES " + ", ".join(f"('{features.REGISTRY[n].point}', '{n}', '{c}')" for n in [*_D0F, *_D1F] for c in features.REGISTRY[n].columns) + ") t(point, feature, col))"
+_IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_ALLOWED = {"D0": f"col NOT IN {_IN([*validate.D0_COLUMNS, 'prompt', 'visible_tests', 'entrypoint'])}", "D1": f"col IN {_IN([*validate.LABELS, *validate.NEVER])}"}
+_CHECK = lambda name, found: f"SELECT '{name}' AS check_name, ({found}) = 0 AS passed, ({found})::BIGINT AS found"
+_LAB_ROWS = "fr AS (SELECT split FROM c WHERE arm = 'small' AND hidden_total IS NOT NULL AND split = 'train')"
+_BOUND = lambda score: (
+    f"SELECT (max(a) FILTER (WHERE k = 'score') > max(a) FILTER (WHERE k = 'ceiling') + {audit.TOLERANCE})::BIGINT FROM (SELECT k, (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS a FROM"
+    f" (SELECT k, y, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2.0 AS rk FROM (SELECT 'score' AS k, {score} AS v, solved::INT AS y FROM sy WHERE arm = 'small' UNION ALL SELECT 'ceiling', p, solved::INT FROM sy WHERE arm = 'small')) GROUP BY 1)"
+)
+_SPANS = f"SELECT count(*) FROM ({_ISSUES['integ_split_span']})"
+
+
+def _synth_scores(s):
+    """Synthetic first attempts of small: what is knowable of a task's success, and whether it was one."""
+    return sweep.synth(s, 400, _ARMS).where("arm = 'small'").select("p", F.col("solved").cast("int").alias("y"))
+
+
+@query("leak_audit", f"WITH {C}, {_LAB_ROWS}, {_DECLARED}, {_SYN} " + " UNION ALL ".join([
+    _CHECK("split_disjointness", _SPANS), _CHECK("ladder_causality", "SELECT count(*) FROM r0 WHERE ladder_step < 0"), _CHECK("column_allowlist[D0]", f"SELECT count(DISTINCT col) FROM de WHERE point = 'D0' AND {_ALLOWED['D0']}"), _CHECK("column_allowlist[D1]", f"SELECT count(DISTINCT col) FROM de WHERE {_ALLOWED['D1']}"),
+    _CHECK("canary", f"SELECT count(DISTINCT feature) FROM de WHERE feature IN {_IN(audit.CANARIES)}"), _CHECK("seed_aggregation", "SELECT count(DISTINCT feature) FROM de WHERE " + " OR ".join(f"contains(feature, '{m}')" for m in audit.SEED_MARKS)),
+    _CHECK("normalization_scope", "SELECT count(*) FROM fr WHERE split = 'test'"), _CHECK("auc_within_bound[D0]", _BOUND("p")),
+]))
 def leak_audit(s: SparkSession, d: str) -> DataFrame:
-    """All checks of an audit in one frame, none cut short: splits, ladders, what the features of either point read, and what was fitted on."""
+    """All checks of an audit in one frame: of the splits and ladders of all rows, of the feature tables as built from the registry, of the
+    rows that scaling is fitted on, and of a score against its planted ceiling."""
     r = _rows(s, d)
-    names = [f"{c}" for f in features.REGISTRY.values() if f.point == "D1" for c in f.columns]
-    at = lambda n, bad: (n, not bad, len(bad))
-    static = [at("column_allowlist[D0]", validate.allowlist(["task_id", "code", "visible_passed"], "D0")), at("column_allowlist[D1]", validate.allowlist(["task_id", "code", "visible_passed"], "D1")), at("normalization_scope", [x for x in ("train",) if x == "test"]), at("canary", [n for n in names if n.startswith("_synth_")]), at("seed_aggregation", [n for n in features.REGISTRY if "across_seed" in n or "seed_mean" in n])]
-    span = validate.split_span(r).agg(F.count(F.lit(1)).alias("found")).select(F.lit("split_disjointness").alias("check_name"), (F.col("found") == 0).alias("passed"), "found")
-    lad = r.agg(F.count_if(F.col("ladder_step") < 0).alias("found")).select(F.lit("ladder_causality").alias("check_name"), (F.col("found") == 0).alias("passed"), "found")
-    return span.unionByName(lad).unionByName(s.createDataFrame(static, "check_name string, passed boolean, found long"))
+    d0 = features.build(task_rows(s, d), _D0F, ["task_id"])
+    x = cells(s, d, "split", "hidden_total", *_D1COLS).where("arm = 'small' AND hidden_total IS NOT NULL")
+    d1 = features.build(x, _D1F, ["rollout_id"])
+    both = d0.join(x.select("task_id", "rollout_id"), "task_id").join(d1, "rollout_id")
+    checks = [audit.split_disjointness(r), audit.ladder_causality(r), audit.column_allowlist(d0, "D0"), audit.column_allowlist(d1, "D1"), audit.canary(both), audit.seed_aggregation(both), audit.normalization_scope(audit.fence(x, ["train"])), audit.auc_within_bound(_synth_scores(s), "p", "p", "y")]
+    return reduce(DataFrame.unionByName, checks)
+
+
+_PLANT = ["task_id", "prompt_mean_over_seeds", "_synth_difficulty"]
+_PLANT_READS = ["task_id", "code", "wall_ms", "hidden_passed"]
+_LATE = {"D0": f"col NOT IN {_IN(validate.D0_COLUMNS)}", "D1": f"col IN {_IN([*validate.LABELS, *validate.NEVER])}"}
+
+
+@query("leak_audit_planted", f"WITH {C}, {_SYN}, pf AS (SELECT unnest({_PLANT}) AS feature), pr AS (SELECT unnest({_PLANT_READS}) AS col), pt AS (SELECT split FROM r WHERE split IS NOT NULL), pl AS (SELECT task_id, split, ladder_step FROM r0 UNION ALL SELECT 'planted', split, -1 FROM r0 WHERE split IS NOT NULL) " + " UNION ALL ".join([
+    _CHECK("split_disjointness", "SELECT count(*) FROM (SELECT task_id FROM pl GROUP BY 1 HAVING min(split) < max(split))"), _CHECK("ladder_causality", "SELECT count(*) FROM pl WHERE ladder_step < 0"), _CHECK("column_allowlist[D0]", f"SELECT count(*) FROM pr WHERE {_LATE['D0']}"), _CHECK("column_allowlist[D1]", f"SELECT count(*) FROM pr WHERE {_LATE['D1']}"),
+    _CHECK("canary", f"SELECT count(*) FROM pf WHERE feature IN {_IN(audit.CANARIES)}"), _CHECK("seed_aggregation", "SELECT count(*) FROM pf WHERE " + " OR ".join(f"contains(feature, '{m}')" for m in audit.SEED_MARKS)),
+    _CHECK("normalization_scope", "SELECT count(*) FROM pt WHERE split = 'test'"), _CHECK("auc_within_bound[D0]", _BOUND("solved::INT::DOUBLE")),
+]))
+def leak_audit_planted(s: SparkSession, d: str) -> DataFrame:
+    """The same checks on tables with a planted leak each: a task in every split, a step below 0, columns read too early, a planted column,
+    a mean over seeds, scaling over all splits, and a score made from the label. None of them may pass."""
+    r = _rows(s, d)
+    r = r.unionByName(r.where("split IS NOT NULL").withColumn("task_id", F.lit("planted")).withColumn("ladder_step", F.lit(-1)))
+    wide = s.createDataFrame([("t", 1.0, 1.0)], f"`{_PLANT[0]}` string, `{_PLANT[1]}` double, `{_PLANT[2]}` double")
+    x = rollouts(s, d, "split").where("split IS NOT NULL")
+    checks = [audit.split_disjointness(r), audit.ladder_causality(r), audit.column_allowlist(wide, "D0", _PLANT_READS), audit.column_allowlist(wide, "D1", _PLANT_READS), audit.canary(wide), audit.seed_aggregation(wide), audit.normalization_scope(audit.fence(x, validate.SPLITS, unlocked=True)), audit.auc_within_bound(_synth_scores(s), "y", "p", "y")]
+    return reduce(DataFrame.unionByName, checks)
+
+
+@query("pred_split_fence", f"WITH {R} SELECT 'train,val' AS splits, FALSE AS unlocked, FALSE AS refused, count(*) FILTER (WHERE split IN ('train', 'val')) AS rows FROM r UNION ALL SELECT 'test', FALSE, TRUE, 0 FROM (SELECT 1) UNION ALL SELECT 'test', TRUE, FALSE, count(*) FILTER (WHERE split = 'test') FROM r")
+def pred_split_fence(s: SparkSession, d: str) -> DataFrame:
+    """What a reader of some splits gets, and that test is refused unless it was unlocked."""
+    x, out = rollouts(s, d, "split"), []
+    for splits, unlocked in ((["train", "val"], False), (["test"], False), (["test"], True)):
+        try:
+            got, refused = audit.fence(x, splits, unlocked), False
+        except validate.Refused:
+            got, refused = x.where(F.lit(False)), True
+        out.append(got.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(",".join(splits)).alias("splits"), F.lit(unlocked).alias("unlocked"), F.lit(refused).alias("refused"), "rows"))
+    return reduce(DataFrame.unionByName, out)
 
 
 # --- joins and sets -----------------------------------------------------------------------------------------------------------
@@ -309,7 +365,6 @@ _D1 = {
     "d1_code_chars": f"length({_CODE})", "d1_code_lines": _LINES.format(_CODE), "d1_code_parses": "coalesce(code_parses, FALSE)::INT", "d1_code_has_todo": "(" + " OR ".join(f"contains(lower({_CODE}), '{m}')" for m in features.TODO_MARKS) + ")::INT",
     **{f"d1_finish_{r}": f"coalesce(finish_reason = '{r}', FALSE)::INT" for r in features.FINISH_REASONS}, "d1_decode_tokens": "coalesce(decode_tokens, 0)", "d1_prefill_tokens": "coalesce(prefill_tokens, 0)", "d1_extraction_was_bare": "starts_with(coalesce(extract_strategy, ''), 'bare')::INT", "d1_had_error": "(trim(coalesce(error, '')) <> '')::INT", "d1_hack_flag_count": "coalesce(len(hack_flags), 0)",
 }
-_D1COLS = ["visible_passed", "visible_total", "code", "code_parses", "finish_reason", "decode_tokens", "prefill_tokens", "extract_strategy", "error", "hack_flags"]
 for _name, _cols in (("d1_visible", [c for c in _D1 if "visible" in c]), ("d1_code", [c for c in _D1 if "_code_" in c]), ("d1_generation", [c for c in _D1 if "visible" not in c and "_code_" not in c])):
     query(_name, f"WITH {R} SELECT rollout_id, " + ", ".join(f"round(({_D1[c]})::DOUBLE, 6) AS {c}" for c in _cols) + " FROM r")(lambda s, d, cols=_cols: rounded(features.build(rollouts(s, d, *_D1COLS), cols, ["rollout_id"])))
 query("feat_constant", f"WITH {_TASKS}, x AS (SELECT length(prompt)::DOUBLE AS chars, contains({_P}, '```')::INT::DOUBLE AS fenced FROM tk WHERE task_id IS NOT NULL) SELECT 'd0_prompt_chars' AS feature, coalesce(max(chars) - min(chars) = 0, TRUE) AS constant FROM x UNION ALL SELECT 'd0_has_code_block', coalesce(max(fenced) - min(fenced) = 0, TRUE) FROM x")(
