@@ -161,3 +161,12 @@ def fold(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     h = F.md5(F.concat(F.lit(f"F|{seed}|"), F.col(key)).cast("binary"))
     keys = before(df.select(key).distinct().withColumn("h__", h), ["h__", key], out="at__").select(key, (F.col("at__") % k).alias("fold"))
     return df.join(keys, key)
+
+
+def others(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """df with, of the other rows of its group, how many there are (others), have a value (others_seen) and its sum (others_passed). A row
+    is left out by itself, not by its value. Groups are summed up first and joined back, so none is sorted or held in one task."""
+    v = F.col(value)
+    per = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n__"), F.count(v).alias("c__"), F.coalesce(F.sum(v), F.lit(0)).alias("s__"))
+    x = df.join(per, by)
+    return x.withColumns({"others": F.col("n__") - 1, "others_seen": F.col("c__") - v.isNotNull().cast("long"), "others_passed": F.col("s__") - F.coalesce(v, F.lit(0)).cast("long")}).drop("n__", "c__", "s__")

@@ -43,6 +43,22 @@ def drift(rows: DataFrame, expected: DataFrame) -> DataFrame:
     return s.join(F.broadcast(expected), "arm").select("arm", F.col("n").alias("stored"), "expected", ((F.col("n") == 1) & (F.col("lo") == F.col("expected"))).alias("ok"))
 
 
+# The arms of a sweep (name, role of its model, template, whether sampled, step of the ladder, whether it repairs a parent),
+# and the templates (id, whether visible tests are shown, whether an earlier attempt is).
+ARMS = [
+    ("direct_small", "small", "direct_v1", False, 0, False), ("direct_large", "large", "direct_v1", False, 0, False), ("direct_small_notests", "small", "direct_notests_v1", False, 0, False), ("direct_large_notests", "large", "direct_notests_v1", False, 0, False),
+    ("probe_small", "small", "direct_v1", True, 0, False), ("repair_small", "small", "repair_v1", False, 1, True), ("repair_large", "large", "repair_v1", False, 1, True),
+]
+TEMPLATES = [("direct_v1", True, False), ("direct_notests_v1", False, False), ("repair_v1", True, True)]
+
+
+def arm_table(spark: SparkSession) -> DataFrame:
+    """The registered arms with what their templates show; an arm that repairs must be above step 0."""
+    arms = spark.createDataFrame(ARMS, "arm string, role string, template_id string, sampled boolean, ladder_step int, requires_parent boolean")
+    templates = spark.createDataFrame(TEMPLATES, "template_id string, shows_tests boolean, shows_prior boolean")
+    return arms.join(F.broadcast(templates), "template_id").withColumn("sweepable", ~F.col("requires_parent"))
+
+
 def render(prompt: Column, visible: Column, with_tests: bool = True, prior: Column | None = None) -> Column:
     """A user prompt: the task, its visible tests if shown, and an earlier attempt if there is one."""
     fence = lambda head, body: F.when(F.trim(F.coalesce(body, F.lit(""))) != "", F.concat(F.lit(f"\n\n{head}\n\n```python\n"), F.trim(body), F.lit("\n```"))).otherwise(F.lit(""))

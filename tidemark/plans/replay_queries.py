@@ -99,7 +99,9 @@ _LAM = "lams AS (SELECT unnest([0.0, 0.001, 0.01, 0.05, 0.1, 0.5, 1.0])::DOUBLE
 query("agg_utility", f"WITH {OUT}, {_LAM} " + _r("policy lam ~utility", "SELECT policy, lam, a - lam * c AS utility FROM (SELECT policy, avg(solved) FILTER (WHERE cost IS NOT NULL) AS a, avg(cost) FILTER (WHERE solved IS NOT NULL) AS c FROM o GROUP BY 1), lams"))(
     lambda s, d: rounded(replay.utility(outcomes(s, d), frontier.lam_grid(s, LAMS))))
 _SWEEP = f"SELECT policy, lam, accuracy, cost, latency_mean, latency_p95, accuracy - lam * cost AS utility FROM ({_SUM}), lams"
-for _n in ("frontier_sweep", "cross_lambda"):
+query("cross_lambda", f"WITH {_LAM} SELECT l.lam, task_id, arm, count(*) AS n, round(max(p_pass - l.lam * e_cost), 6) AS utility FROM decisions d, lams l GROUP BY ALL")(
+    lambda s, d: rounded(load(s, d, "decisions").drop("lam").crossJoin(F.broadcast(frontier.lam_grid(s, LAMS))).groupBy("lam", "task_id", "arm").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("p_pass") - F.col("lam") * F.col("e_cost")).alias("utility"))))
+for _n in ("frontier_sweep",):
     query(_n, f"WITH {OUT}, {_LAM} " + _r("policy lam ~accuracy ~cost ~latency_mean ~latency_p95 ~utility", _SWEEP))(lambda s, d: rounded(frontier.sweep(replay.summary(outcomes(s, d)), frontier.lam_grid(s, LAMS))))
 
 _CAN = "can AS (SELECT task_id, coalesce(max(s_solved), 0) >= 1 AS small_can, coalesce(max(l_solved), 0) >= 1 AS large_can FROM g GROUP BY 1)"
@@ -126,7 +128,9 @@ query("agg_gap_attribution", f"WITH {R}, k AS (SELECT arm, {_CATEGORY} AS catego
 
 query("agg_arm_accuracy", f"WITH {R} SELECT arm, round(avg({SOLVED}), 6) AS accuracy, count({SOLVED}) AS n FROM r GROUP BY 1")(
     lambda s, d: rounded(rollouts(s, d, "arm", "hidden_passed", "hidden_total").groupBy("arm").agg(F.avg(solved()).alias("accuracy"), F.count(solved()).alias("n"))))
-for _n in ("agg_arm_dataset", "chart_data"):
+query("chart_data", f"WITH {R} SELECT arm, round(avg({SOLVED}), 6) AS accuracy, round(avg(gpu_seconds), 6) AS cost FROM r GROUP BY 1")(
+    lambda s, d: rounded(rollouts(s, d, "arm", "hidden_passed", "hidden_total", "gpu_seconds").groupBy("arm").agg(F.avg(solved()).alias("accuracy"), F.avg("gpu_seconds").alias("cost"))))
+for _n in ("agg_arm_dataset",):
     query(_n, f"WITH {R} SELECT arm, dataset, round(avg({SOLVED}), 6) AS accuracy, round(avg(gpu_seconds), 6) AS cost, count(*) AS n FROM r GROUP BY CUBE (arm, dataset)")(
         lambda s, d: rounded(rollouts(s, d, "arm", "dataset", "hidden_passed", "hidden_total", "gpu_seconds").cube("arm", "dataset").agg(F.avg(solved()).alias("accuracy"), F.avg("gpu_seconds").alias("cost"), F.count(F.lit(1)).alias("n"))))
 query("agg_manifest_counts", f"WITH {R} SELECT run_id, arm, finish_reason, extract_strategy, count(*) AS n, round(avg((finish_reason = 'length')::INT), 6) AS truncation_rate, round(avg((NOT tokens_exact)::INT), 6) AS approximate_rate, count(DISTINCT params_hash) AS params FROM r GROUP BY ROLLUP (run_id, arm, finish_reason, extract_strategy)")(
@@ -188,14 +192,29 @@ query("win_cum_cost", f"WITH {G} SELECT task_id, seed, round(sum(s_cost) OVER (P
 query("win_first_row", f"WITH {C} SELECT task_id, arm, arg_min(rollout_id, (seed, delivery_id)) AS rollout_id FROM c WHERE seed IS NOT NULL GROUP BY 1, 2")(
     lambda s, d: cells(s, d).where("seed IS NOT NULL").groupBy("task_id", "arm").agg(F.min_by("rollout_id", F.struct("seed", "delivery_id")).alias("rollout_id")))
 _RATE = "CASE WHEN visible_total > 0 THEN coalesce(visible_passed, 0)::DOUBLE / visible_total END"
-for _n in ("win_sibling", "join_siblings"):
+query("join_siblings", f"WITH {C} SELECT rollout_id, count(*) OVER w - 1 AS others, count(visible_passed) OVER w - (visible_passed IS NOT NULL)::INT AS others_seen, (coalesce(sum(visible_passed) OVER w, 0) - coalesce(visible_passed, 0))::BIGINT AS others_passed FROM c WHERE arm IS NOT NULL WINDOW w AS (PARTITION BY task_id, arm)")(
+    lambda s, d: features.others(cells(s, d, "visible_passed").where("arm IS NOT NULL"), ["task_id", "arm"], "visible_passed").select("rollout_id", "others", "others_seen", "others_passed"))
+for _n in ("win_sibling",):
     query(_n, f"WITH {C}, q AS (SELECT rollout_id, {_RATE} AS v, sum({_RATE}) OVER w AS t, count({_RATE}) OVER w AS n, count(*) OVER w AS m FROM c WHERE arm IS NOT NULL WINDOW w AS (PARTITION BY task_id, arm)) SELECT rollout_id, round(CASE WHEN n - (v IS NOT NULL)::INT > 0 THEN (t - coalesce(v, 0)) / (n - (v IS NOT NULL)::INT) ELSE 0.5 END, 6) AS agreement, m - 1 AS siblings FROM q")(
         lambda s, d: rounded(features.siblings(cells(s, d, "visible_passed", "visible_total").where("arm IS NOT NULL")).select("rollout_id", F.col("sibling_visible_agreement").alias("agreement"), F.col("sibling_count").alias("siblings"))))
 _PVALS = "SELECT policy, p FROM (SELECT policy, avg(abs(cost - latency)) AS x FROM o GROUP BY 1), LATERAL (SELECT exp(-x) AS p)"
 _BHQ = "SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q, row_number() OVER (ORDER BY p) AS k FROM pv"
-for _n in ("win_bh", "stat_bh"):
+for _n in ("win_bh",):
     query(_n, f"WITH {OUT}, pv AS ({_PVALS}) SELECT policy, round(p, 6) AS p, round(least(1.0, min(q) OVER (ORDER BY k DESC)), 6) AS adjusted FROM ({_BHQ})")(
         lambda s, d: rounded(stats.benjamini_hochberg(outcomes(s, d).groupBy("policy").agg(F.exp(-F.avg(F.abs(F.col("cost") - F.col("latency")))).alias("p")), "p")))
+_SPLITS3 = "SELECT split, count(*) FILTER (WHERE l_solved = 1 AND s_solved = 0) AS b, count(*) FILTER (WHERE l_solved = 0 AND s_solved = 1) AS c FROM g WHERE split IS NOT NULL GROUP BY 1"
+_EXACT = "(SELECT CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))) END FROM (SELECT b + c AS n, unnest(range(least(b, c) + 1)) AS k))"
+
+
+@query("stat_bh", f"WITH {G}, pv AS (SELECT split, {_EXACT} AS p FROM ({_SPLITS3})) SELECT split, round(p, 6) AS p, round(least(1.0, min(q) OVER (ORDER BY k DESC)), 6) AS adjusted FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, split) AS q, row_number() OVER (ORDER BY p, split) AS k FROM pv)")
+def stat_bh(s, d):
+    """The exact test of large against small within each split, adjusted for the family."""
+    x = grid(s, d).where("split IS NOT NULL")
+    l, m = F.col("l_solved") == 1, F.col("s_solved") == 1
+    t = x.groupBy("split").agg(F.count_if(l & ~m).alias("b"), F.count_if(~l & m).alias("c")).collect()
+    return rounded(stats.benjamini_hochberg(s.createDataFrame([(r["split"], stats.mcnemar_p(r["b"], r["c"])) for r in t], "split string, p double"), "p"))
+
+
 query("win_pareto", f"WITH {OUT}, pt AS ({_SUM}) SELECT policy, round(accuracy, 6) AS accuracy, round(cost, 6) AS cost FROM (SELECT *, coalesce(max(accuracy) OVER (ORDER BY cost, accuracy DESC, policy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS best FROM pt) WHERE accuracy > best + 1e-12")(
     lambda s, d: rounded(frontier.pareto(replay.summary(outcomes(s, d)).select("policy", "accuracy", "cost"))))
 # Curves over the cascade's threshold and the random share.
@@ -243,12 +262,17 @@ def task_rows(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "tasks").groupBy(norm_id("task_id").alias("task_id")).agg(*[F.max(c).alias(c) for c in ("prompt", "visible_tests", "entrypoint", "hidden_tests", "dataset")]).where("task_id IS NOT NULL")
 
 
-_LONG = "lf AS (SELECT task_id, 'chars' AS feature, length(prompt)::DOUBLE AS value FROM tk UNION ALL SELECT task_id, 'lines', (length(prompt) - length(replace(prompt, chr(10), '')) + 1)::DOUBLE FROM tk)"
+_P, _V = "coalesce(prompt, '')", "coalesce(visible_tests, '')"
+_HSQL = {
+    "h_prompt_chars": f"length({_P})::DOUBLE", "h_prompt_words": f"len([x FOR x IN regexp_split_to_array({_P}, '\\s+') IF x <> ''])::DOUBLE", "h_prompt_lines": f"(length({_P}) - length(replace({_P}, chr(10), '')) + 1)::DOUBLE",
+    "h_n_visible_tests": f"((length({_V}) - length(replace({_V}, 'assert', ''))) / 6)::DOUBLE", "h_control_keywords": f"len(regexp_extract_all({_P}, '\\b(for|while|if)\\b'))::DOUBLE", "h_algorithmic_terms": f"len(regexp_extract_all({_P}, '{features.ALGORITHMIC_PATTERN}'))::DOUBLE",
+}
+_LONG = "lf AS (" + " UNION ALL ".join(f"SELECT task_id, '{n}' AS feature, {e} AS value FROM tk WHERE task_id IS NOT NULL" for n, e in _HSQL.items()) + ")"
 
 
 def _long(s, d):
-    f = features.build(task_rows(s, d), ["h_prompt_chars", "h_prompt_lines"], ["task_id"]).withColumnsRenamed({"h_prompt_chars": "chars", "h_prompt_lines": "lines"})
-    return features.long_form(f, "task_id", ["chars", "lines"])
+    """(task_id, feature, value): all heuristic features of all tasks."""
+    return features.long_form(features.build(task_rows(s, d), list(_HSQL), ["task_id"]), "task_id", list(_HSQL))
 
 
 _QUANTS = "[" + ", ".join(f"{i}.0 / 7.0" for i in range(8)) + "]"
@@ -265,9 +289,11 @@ _RULES = "rl AS (SELECT feature, threshold, above, avg(CASE WHEN (value > thresh
 query("cross_thresholds", f"WITH {G}, {_TASKS}, {_LONG}, {_CUTS}, {_PT.format('')}, {_RULES} " + _r("feature ~threshold above ~accuracy ~cost", "SELECT * FROM rl"))(
     lambda s, d: rounded(frontier.rules(_long(s, d), frontier.thresholds(_long(s, d), 8), task_values(grid(s, d)))))
 _BESTRULE = "SELECT lam, feature, threshold, above, accuracy, cost, utility FROM (SELECT *, row_number() OVER (PARTITION BY lam ORDER BY round(-utility, 9), feature, threshold, NOT above) AS k FROM (SELECT *, accuracy - lam * cost AS utility FROM rl, lams)) WHERE k = 1"
-for _n in ("topk_rule", "pol_heuristic_tune"):
+for _n in ("pol_heuristic_tune",):
     query(_n, f"WITH {G}, {_TASKS}, {_LONG}, {_CUTS}, {_PT.format(chr(87) + 'HERE split = ' + chr(39) + 'val' + chr(39))}, {_RULES}, {_LAM} " + _r("lam feature ~threshold above ~accuracy ~cost ~utility", _BESTRULE))(
         lambda s, d: rounded(frontier.best_rule(frontier.rules(_long(s, d), frontier.thresholds(_long(s, d), 8), task_values(grid(s, d).where("split = 'val'"))), frontier.lam_grid(s, LAMS))))
+query("topk_rule", f"WITH {G}, {_TASKS}, {_LONG}, {_CUTS}, {_PT.format(chr(87) + 'HERE split = ' + chr(39) + 'val' + chr(39))}, {_RULES} " + _r("feature ~threshold above ~utility", "SELECT feature, threshold, above, utility FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(-utility, 9), threshold, NOT above) AS k FROM (SELECT *, accuracy - 0.05 * cost AS utility FROM rl)) WHERE k = 1"))(
+    lambda s, d: rounded(frontier.rules(_long(s, d), frontier.thresholds(_long(s, d), 8), task_values(grid(s, d).where("split = 'val'"))).withColumn("utility", F.col("accuracy") - 0.05 * F.col("cost")).groupBy("feature").agg(F.min_by(F.struct("threshold", "above", "utility"), F.struct(F.round(-F.col("utility"), 9), "threshold", ~F.col("above"))).alias("r")).select("feature", "r.*")))
 _PT2 = _PT.format("WHERE split = 'test'").replace("pt AS", "pe AS")
 query("pol_heuristic_frontier", f"WITH {G}, {_TASKS}, {_LONG}, {_CUTS}, {_PT.format(chr(87) + 'HERE split = ' + chr(39) + 'val' + chr(39))}, {_PT2}, {_RULES}, {_LAM}, br AS ({_BESTRULE}) SELECT lam, round(avg(CASE WHEN (value > threshold) = above THEN l_solved ELSE s_solved END), 6) AS accuracy, round(avg(CASE WHEN (value > threshold) = above THEN l_cost ELSE s_cost END), 6) AS cost FROM br JOIN lf USING (feature) JOIN pe USING (task_id) GROUP BY 1")(
     lambda s, d: _heuristic_frontier(s, d))
@@ -369,15 +395,28 @@ query("stat_boot_power")(lambda s, d: reduce(DataFrame.unionByName, [stats.simul
 _RES = "rs AS (SELECT model_id, arg_min(struct_pack(i := intercept_s, a := prefill_s_per_token, b := decode_s_per_token), CASE WHEN batch = 1 THEN -1 ELSE batch END) AS f FROM cost_coefficients GROUP BY 1)"
 _IMP = f"im AS (SELECT r.*, CASE WHEN f IS NOT NULL THEN greatest(0.0, prefill_tokens * f.a + decode_tokens * f.b) END AS imputed_gpu_s, f.i + prefill_tokens * f.a + decode_tokens * f.b AS imputed_s FROM r LEFT JOIN rs USING (model_id))"
 _PRICED = ["model_id", "prefill_tokens", "decode_tokens"]
-for _n in ("cost_impute", "cost_gpu_seconds", "cost_latency", "cost_usd", "join_coeff"):
-    query(_n, f"WITH {R}, {_RES}, {_IMP} SELECT rollout_id, model_id, round(imputed_gpu_s, 6) AS imputed_gpu_s, round(imputed_s, 6) AS imputed_s, round(imputed_gpu_s / 3600.0, 9) AS imputed_usd FROM im")(
-        lambda s, d: cost.impute(rollouts(s, d, *_PRICED), load(s, d, "cost_coefficients")).select("rollout_id", "model_id", F.round("imputed_gpu_s", 6).alias("imputed_gpu_s"), F.round("imputed_s", 6).alias("imputed_s"), F.round("imputed_usd", 9).alias("imputed_usd")))
+
+
+def _imputed(s, d):
+    return cost.impute(rollouts(s, d, *_PRICED), load(s, d, "cost_coefficients"))
+
+
+query("cost_impute", f"WITH {R}, {_RES}, {_IMP} SELECT rollout_id, model_id, round(imputed_gpu_s, 6) AS imputed_gpu_s, round(imputed_s, 6) AS imputed_s, round(imputed_gpu_s / 3600.0, 9) AS imputed_usd FROM im")(
+    lambda s, d: _imputed(s, d).select("rollout_id", "model_id", F.round("imputed_gpu_s", 6).alias("imputed_gpu_s"), F.round("imputed_s", 6).alias("imputed_s"), F.round("imputed_usd", 9).alias("imputed_usd")))
+query("cost_gpu_seconds", f"WITH {R}, {_RES} SELECT rollout_id, round(greatest(0.0, prefill_tokens * f.a + decode_tokens * f.b), 6) AS gpu_s FROM r JOIN rs USING (model_id) WHERE prefill_tokens IS NOT NULL AND decode_tokens IS NOT NULL")(
+    lambda s, d: rounded(_imputed(s, d).where("imputed_gpu_s IS NOT NULL AND prefill_tokens IS NOT NULL AND decode_tokens IS NOT NULL").select("rollout_id", F.col("imputed_gpu_s").alias("gpu_s"))))
+query("cost_latency", f"WITH {R}, {_RES} SELECT rollout_id, round(f.i + prefill_tokens * f.a + decode_tokens * f.b, 6) AS latency_s FROM r LEFT JOIN rs USING (model_id)")(lambda s, d: rounded(_imputed(s, d).select("rollout_id", F.col("imputed_s").alias("latency_s"))))
+query("cost_usd", f"WITH {R}, {_RES}, {_IMP} SELECT arm, round(sum(imputed_gpu_s) * 2.5 / 3600.0, 6) AS usd, count(imputed_gpu_s) AS priced FROM im GROUP BY 1")(
+    lambda s, d: rounded(cost.impute(rollouts(s, d, "arm", *_PRICED), load(s, d, "cost_coefficients")).groupBy("arm").agg((F.sum("imputed_gpu_s") * 2.5 / 3600).alias("usd"), F.count("imputed_gpu_s").alias("priced"))))
+query("join_coeff", f"WITH {R}, {_RES} SELECT rollout_id, model_id, round(f.i, 9) AS intercept_s, round(f.a, 9) AS prefill_s_per_token, round(f.b, 9) AS decode_s_per_token FROM r LEFT JOIN rs USING (model_id)")(
+    lambda s, d: rounded(rollouts(s, d, "model_id").join(F.broadcast(cost.resolve(load(s, d, "cost_coefficients"))), "model_id", "left").select("rollout_id", "model_id", "intercept_s", "prefill_s_per_token", "decode_s_per_token"), 9))
 query("agg_impute_report", f"WITH {R}, {_RES}, {_IMP} SELECT count(*) AS rows, count(imputed_gpu_s) AS imputed, count(*) - count(imputed_gpu_s) AS unpriced, round(count(imputed_gpu_s)::DOUBLE / count(*), 6) AS coverage, round(sum(imputed_gpu_s), 4) AS gpu_s, round(sum(imputed_gpu_s) / 3600.0, 4) AS usd, coalesce(string_agg(DISTINCT CASE WHEN imputed_gpu_s IS NULL THEN coalesce(model_id, '?') END, ',' ORDER BY CASE WHEN imputed_gpu_s IS NULL THEN coalesce(model_id, '?') END), '') AS unpriced_models FROM im")(
     lambda s, d: cost.report(cost.impute(rollouts(s, d, *_PRICED), load(s, d, "cost_coefficients"))).withColumns({"coverage": F.round("coverage", 6), "gpu_s": F.round("gpu_s", 4), "usd": F.round("usd", 4)}))
 _VI = "vi AS (SELECT model_id, wall_ms / 1000 AS m, imputed_s AS p FROM im WHERE mode = 'serving' AND tokens_exact AND wall_ms > 0 AND imputed_s IS NOT NULL)"
-for _n in ("agg_validate_imputation", "agg_r2_rmse"):
+for _n in ("agg_validate_imputation",):
     query(_n, f"WITH {R}, {_RES}, {_IMP}, {_VI} SELECT model_id, round(CASE WHEN tot > 0 THEN 1 - res / tot ELSE 0.0 END, 6) AS r2, round(sqrt(res / n), 6) AS rmse, n, round(mm, 6) AS mean_measured_s, round(mp, 6) AS mean_imputed_s, CASE WHEN tot > 0 THEN 1 - res / tot ELSE 0.0 END > 0.9 AS passed FROM (SELECT model_id, sum(pow(m - p, 2)) AS res, sum(pow(m - mm, 2)) AS tot, count(*) AS n, any_value(mm) AS mm, avg(p) AS mp FROM (SELECT *, avg(m) OVER (PARTITION BY model_id) AS mm FROM vi) GROUP BY 1)")(
         lambda s, d: rounded(cost.validate(rollouts(s, d, *_PRICED, "mode", "tokens_exact", "wall_ms"), load(s, d, "cost_coefficients"))))
+query("agg_r2_rmse", f"WITH {C}, {_SCORED} SELECT round(CASE WHEN tot > 0 THEN 1 - res / tot ELSE 0.0 END, 6) AS r2, round(sqrt(res / n), 6) AS rmse, n FROM (SELECT sum(pow(y - p, 2)) AS res, sum(pow(y - m, 2)) AS tot, count(*) AS n FROM (SELECT p, y, avg(y) OVER () AS m FROM sc WHERE p IS NOT NULL AND y IS NOT NULL))")(lambda s, d: rounded(stats.r2_rmse(scored(s, d), "y", "p")))
 # Least squares of two variables about their means, every fourth row held out.
 _OLS = (
     f"{_OBS}, hd AS (SELECT *, (row_number() OVER (PARTITION BY model_id, batch ORDER BY rollout_id)) % 4 = 0 AND count(*) OVER (PARTITION BY model_id, batch) >= 24 AS held FROM ob),"
@@ -449,10 +488,22 @@ _ISO = (
     " po AS (SELECT fit, min(p) AS lo, max(p) AS hi FROM ft JOIN pr USING (i) GROUP BY 1), kn AS (SELECT DISTINCT x, fit AS observed FROM (SELECT lo AS x, fit FROM po UNION ALL SELECT hi, fit FROM po))"
 )
 query("ml_isotonic", f"WITH {C}, {_SCORED}, {_ISO} SELECT (row_number() OVER (ORDER BY x) - 1)::INT AS knot, round(x, 6) AS p, round(observed, 6) AS observed FROM kn")(lambda s, d: s.createDataFrame([(i, round(x, 6), round(y, 6)) for i, (x, y) in enumerate(models.isotonic(scored(s, d), "p", "y"))], "knot int, p double, observed double"))
-query("ml_crossfit")(lambda s, d: rounded(stats.calibration(stats.reliability(models.crossfit(cut(scored(s, d)), "p", "y", "task_id"), "p_cross", "y"))))
 _SCORED_T = _SCORED.replace("SELECT d.p_pass AS p, c.y", "SELECT c.task_id, d.p_pass AS p, c.y")
+# The same fit for each fold on the rows of the other folds; a fold whose rest has one class keeps p.
+_CROSS = (
+    "fd AS (SELECT task_id, (row_number() OVER (ORDER BY md5('F|0|' || task_id), task_id) - 1) % 5 AS fold FROM (SELECT DISTINCT task_id FROM sc)), sf AS (SELECT sc.*, fold FROM sc JOIN fd USING (task_id)),"
+    " tr AS (SELECT f.i AS f, p, y FROM sf, range(5) f(i) WHERE fold <> f.i), ok AS (SELECT f FROM tr GROUP BY 1 HAVING min(y) < max(y)),"
+    " pr AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p) AS i FROM (SELECT f, round(p, 12) AS p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n FROM tr WHERE p IS NOT NULL AND y IS NOT NULL AND f IN (SELECT f FROM ok) GROUP BY 1, 2)), cs AS (SELECT *, sum(s) OVER (PARTITION BY f ORDER BY i) AS us, sum(n) OVER (PARTITION BY f ORDER BY i) AS un FROM pr),"
+    " st AS (SELECT a.f, a.i AS j, b.i AS k, (b.us - a.us + a.s) / (b.un - a.un + a.n) AS m FROM cs a JOIN cs b ON a.f = b.f AND b.i >= a.i), ms AS (SELECT f, j, k, min(m) OVER (PARTITION BY f, j ORDER BY k DESC) AS m FROM st), ft AS (SELECT f, k AS i, max(m) AS fit FROM ms GROUP BY 1, 2),"
+    " po AS (SELECT f, fit, min(p) AS lo, max(p) AS hi FROM ft JOIN pr USING (f, i) GROUP BY 1, 2), kn AS (SELECT DISTINCT f, x, fit AS observed FROM (SELECT f, lo AS x, fit FROM po UNION ALL SELECT f, hi, fit FROM po)),"
+    " kl AS (SELECT f, x, observed, lead(x) OVER w AS x2, lead(observed) OVER w AS o2 FROM kn WINDOW w AS (PARTITION BY f ORDER BY x)), k0 AS (SELECT f, arg_min(observed, x) AS lowest FROM kn GROUP BY 1),"
+    " cx AS (SELECT sf.y, sf.p, CASE WHEN lowest IS NULL THEN sf.p ELSE least(1.0, greatest(0.0, CASE WHEN sf.p IS NULL THEN NULL WHEN x IS NULL THEN lowest WHEN x2 IS NULL THEN observed ELSE observed + (sf.p - x) * (o2 - observed) / (x2 - x) END)) END AS q FROM sf LEFT JOIN k0 ON k0.f = sf.fold ASOF LEFT JOIN kl ON kl.f = sf.fold AND sf.p >= kl.x)"
+)
+_ERR = lambda v, src: f"(SELECT n, abs(a) AS gap FROM (SELECT {_BIN.replace('(p >=', f'({v} >=')} AS bin, count(*) AS n, avg({v}) - avg(y) AS a FROM {src} WHERE {v} IS NOT NULL GROUP BY 1))"
+query("ml_crossfit", f"WITH {C}, {_SCORED_T}, {_CROSS} SELECT round(sum(n * gap) / sum(n), 6) AS ece, round(max(gap), 6) AS mce FROM {_ERR('q', 'cx')}")(lambda s, d: rounded(stats.calibration(stats.reliability(models.crossfit(cut(scored(s, d)), "p", "y", "task_id"), "p_cross", "y"))))
 query("ml_calibrate_apply", f"WITH {C}, {_SCORED_T}, {_ISO}, kl AS (SELECT x, observed, lead(x) OVER (ORDER BY x) AS x2, lead(observed) OVER (ORDER BY x) AS o2 FROM kn) SELECT task_id, round(p, 6) AS p, round(least(1.0, greatest(0.0, CASE WHEN p IS NULL THEN NULL WHEN x IS NULL THEN (SELECT arg_min(observed, x) FROM kn) WHEN x2 IS NULL THEN observed ELSE observed + (p - x) * (o2 - observed) / (x2 - x) END)), 6) AS calibrated FROM sc ASOF LEFT JOIN kl ON sc.p >= kl.x")(lambda s, d: (lambda x: rounded(x.select("task_id", "p", models.calibrated(F.col("p"), models.isotonic(x, "p", "y")).alias("calibrated"))))(cut(scored(s, d))))
-query("ml_calibrate_select")(lambda s, d: (lambda r: s.createDataFrame([(r["raw_ece"], r["cross_ece"], r["kept"], len(r["knots"]))], "raw_ece double, cross_ece double, kept boolean, knots int"))(models.calibrate(cut(scored(s, d)), "p", "y", "task_id")))
+_ISO2 = _ISO.replace("pr AS", "zr AS").replace("JOIN pr ", "JOIN zr ").replace("FROM pr)", "FROM zr)").replace("cs AS", "zs AS").replace("FROM cs a JOIN cs b", "FROM zs a JOIN zs b").replace("st AS", "zt AS").replace("FROM st)", "FROM zt)").replace("ms AS", "zm AS").replace("FROM ms ", "FROM zm ").replace("ft AS", "zf AS").replace("FROM ft ", "FROM zf ").replace("po AS", "zo AS").replace("FROM po", "FROM zo").replace("kn AS", "zk AS")
+query("ml_calibrate_select", f"WITH {C}, {_SCORED_T}, {_CROSS}, {_ISO2}, ec AS (SELECT (SELECT sum(n * gap) / sum(n) FROM {_ERR('p', 'sc')}) AS raw, (SELECT sum(n * gap) / sum(n) FROM {_ERR('q', 'cx')}) AS crossed) SELECT round(raw, 6) AS raw_ece, round(crossed, 6) AS cross_ece, crossed < raw AS kept, CASE WHEN crossed < raw THEN (SELECT count(*) FROM zk) ELSE 0 END::INT AS knots FROM ec")(lambda s, d: (lambda r: s.createDataFrame([(round(r["raw_ece"], 6), round(r["cross_ece"], 6), r["kept"], len(r["knots"]))], "raw_ece double, cross_ece double, kept boolean, knots int"))(models.calibrate(cut(scored(s, d)), "p", "y", "task_id")))
 query("ml_gate")(lambda s, d: rounded(models.gate(labelled(s, d), _FEATURES, "y")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidemark.functions.normalize import norm_id, norm_split
 from tidemark.operators import audit, code, corpus, cost, features, sweep, validate
 from tidemark.operators.ordered import before
-from tidemark.plans.replay_queries import _TASKS, _long, rounded, task_rows
+from tidemark.plans.replay_queries import _HSQL, _LONG, _TASKS, _long, rounded, task_rows
 from tidemark.plans.tables import C, G, R, SOLVED, VISIBLE, cells, grid, rollouts, solved, sql_id, sql_split, visible_frac
 from tidemark.session import cut, load, shared_dir
 from tidemark.sources import store
@@ -54,7 +54,8 @@ def scan_torn_tail(s, d):
 
 
 query("scan_parity", "SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b")(lambda s, d: store.parity(store.read_json(s, _written(s, d), DECISION), load(s, d, "decisions").select(*DECISION.names)))
-for _n in ("scan_parquet", "json_extra"):
+query("scan_parquet", "SELECT delivery_id, rollout_id, run_id, seed, wall_ms, finish_reason, created_at FROM generations WHERE decode_tokens >= 40")(lambda s, d: load(s, d, "generations").where("decode_tokens >= 40").select("delivery_id", "rollout_id", "run_id", "seed", "wall_ms", "finish_reason", "created_at"))
+for _n in ("json_extra",):
     query(_n, "SELECT delivery_id, CASE WHEN json_valid(extra) THEN json_extract_string(extra, '$.node') END AS node, CASE WHEN json_valid(extra) THEN TRY_CAST(json_extract_string(extra, '$.attempt') AS INT) END AS attempt, extra IS NOT NULL AND NOT json_valid(extra) AS unparsed FROM generations")(
         lambda s, d: load(s, d, "generations").select("delivery_id", F.get_json_object("extra", "$.node").alias("node"), F.get_json_object("extra", "$.attempt").try_cast("int").alias("attempt"), F.coalesce(F.col("extra").isNotNull() & F.try_parse_json("extra").isNull(), F.lit(False)).alias("unparsed")))
 query("source_corpus", f"SELECT {sql_id('task_id')} AS task_id, count(*) AS n, max(CASE WHEN trim(coalesce(prompt, '')) = '' THEN 'no prompt' END) AS error FROM tasks GROUP BY 1")(
@@ -83,7 +84,8 @@ def _failed(s, d):
 
 _LAD = f"b AS (SELECT rollout_id, task_id, arm, seed, coalesce(({SOLVED}) = 1, FALSE) AS solved FROM r), kd AS (SELECT substr(md5('repair|' || rollout_id), 1, 16) AS id, * FROM b WHERE arm = 'small' AND NOT solved)"
 _LADQ = f"SELECT rollout_id, task_id, arm, seed, solved, NULL::VARCHAR AS parent_rollout_id, 0 AS ladder_step FROM b UNION ALL SELECT id, task_id, arm, seed, {_U.format(chr(39) + 'fix|' + chr(39) + ' || id')} < 0.35, rollout_id, 1 FROM kd"
-for _n in ("gen_ladder", "set_union_ladder"):
+query("set_union_ladder", f"WITH {R}, {_LAD} SELECT ladder_step, count(*) AS n, count(*) FILTER (WHERE solved) AS solved FROM ({_LADQ}) GROUP BY 1")(lambda s, d: sweep.with_ladder(_failed(s, d), "small", 0.35).groupBy("ladder_step").agg(F.count(F.lit(1)).alias("n"), F.count_if("solved").alias("solved")))
+for _n in ("gen_ladder",):
     query(_n, f"WITH {R}, {_LAD} {_LADQ}")(lambda s, d: sweep.with_ladder(_failed(s, d), "small", 0.35))
 
 # --- sweeps -------------------------------------------------------------------------------------------------------------------
@@ -106,12 +108,27 @@ def _with_params(s, d):
     return _planned(s, d).join(F.broadcast(r.groupBy("arm").agg(F.min("params_hash").alias("params_hash"))), "arm"), r
 
 
-for _n in ("sweep_resume_pending", "anti_resume"):
+query("anti_resume", f"WITH {R}, {_PLAN}, {_DONE} SELECT task_id, arm, seed FROM pl WHERE NOT EXISTS (SELECT 1 FROM dn WHERE terminal AND dn.task_id = pl.task_id AND dn.arm = pl.arm AND dn.seed = pl.seed)")(
+    lambda s, d: _planned(s, d).join(sweep.states(rollouts(s, d, "task_id", "arm", "seed", "params_hash", "finish_reason")).where("done").select("task_id", "arm", "seed").distinct(), ["task_id", "arm", "seed"], "left_anti").select("task_id", "arm", "seed"))
+for _n in ("sweep_resume_pending",):
     query(_n, f"WITH {R}, {_PLAN}, {_DONE}, {_PH} SELECT pl.task_id, pl.arm, pl.seed, ph.params_hash FROM pl JOIN ph USING (arm) WHERE NOT EXISTS (SELECT 1 FROM dn WHERE terminal AND dn.task_id = pl.task_id AND dn.arm = pl.arm AND dn.seed = pl.seed AND dn.params_hash = ph.params_hash)")(
         lambda s, d: (lambda x: sweep.pending(x[0], x[1]).select("task_id", "arm", "seed", "params_hash"))(_with_params(s, d)))
 query("resume_retryable", f"WITH {R}, {_DONE} SELECT task_id, arm, seed, params_hash FROM dn WHERE err AND NOT terminal")(lambda s, d: sweep.states(rollouts(s, d, "task_id", "arm", "seed", "params_hash", "finish_reason")).where("retryable").select(*sweep.CELL))
-query("resume_summary", f"WITH {R}, {_DONE} SELECT (SELECT count(*) FROM r) AS rows, count(*) FILTER (WHERE terminal) AS complete, count(*) FILTER (WHERE err AND NOT terminal) AS retryable FROM dn")(
-    lambda s, d: (lambda r: sweep.states(r).agg(F.count_if("done").alias("complete"), F.count_if("retryable").alias("retryable")).crossJoin(F.broadcast(r.agg(F.count(F.lit(1)).alias("rows")))).select("rows", "complete", "retryable"))(rollouts(s, d, "task_id", "arm", "seed", "params_hash", "finish_reason")))
+query("resume_summary", f"WITH {R}, {_PLAN}, {_DONE}, {_PH}, rm AS (SELECT count(*) AS n FROM pl JOIN ph USING (arm) WHERE NOT EXISTS (SELECT 1 FROM dn WHERE terminal AND dn.task_id = pl.task_id AND dn.arm = pl.arm AND dn.seed = pl.seed AND dn.params_hash = ph.params_hash)) SELECT (SELECT count(*) FROM r) AS rows, count(*) FILTER (WHERE terminal) AS complete, count(*) FILTER (WHERE err AND NOT terminal) AS retryable, (SELECT count(*) FROM pl) AS planned, (SELECT n FROM rm) AS remaining, 1::BIGINT AS torn FROM dn")(
+    lambda s, d: _resume_summary(s, d))
+
+
+def _resume_summary(s: SparkSession, d: str) -> DataFrame:
+    """Rows there are, cells complete and to be tried again, planned and remaining, and torn lines: of the decisions' parts, one of which is torn."""
+    p, r = _with_params(s, d)
+    at = _written(s, d)
+    store.write_text(s, f"{at}/part-torn.json", '{"run_id": "torn", "policy_na')
+    one = lambda x, n: F.broadcast(x.agg(F.count(F.lit(1)).alias(n)))
+    torn = s.read.text(at).where(F.from_json("value", DECISION, {"mode": "PERMISSIVE"}).isNull() | F.try_parse_json("value").isNull())
+    x = sweep.states(r).agg(F.count_if("done").alias("complete"), F.count_if("retryable").alias("retryable"))
+    return x.crossJoin(one(r, "rows")).crossJoin(one(_planned(s, d), "planned")).crossJoin(one(sweep.pending(p, r), "remaining")).crossJoin(one(torn, "torn")).select("rows", "complete", "retryable", "planned", "remaining", "torn")
+
+
 query("guard_params_drift", f"WITH {R}, {_PH} SELECT r.arm, count(DISTINCT r.params_hash) AS stored, any_value(ph.params_hash) AS expected, count(DISTINCT r.params_hash) = 1 AS ok FROM r JOIN ph USING (arm) GROUP BY 1")(
     lambda s, d: (lambda r: sweep.drift(r, r.groupBy("arm").agg(F.min("params_hash").alias("expected"))))(rollouts(s, d, "arm", "params_hash")))
 _MOCKU = lambda k: _U.format(f"'{k}|' || task_id || '|' || arm || '|' || seed || '|' || params_hash")
@@ -119,6 +136,9 @@ query("mock_generate", f"WITH {R}, {_PLAN}, {_PH}, m AS (SELECT pl.*, params_has
     lambda s, d: sweep.mock(_with_params(s, d)[0], {"small": 0.46, "large": 0.60}).select("task_id", "arm", "seed", "params_hash", "finish_reason", "solved"))
 
 
+_RES2 = "ck AS (SELECT DISTINCT model_id FROM cost_coefficients)"
+
+
 @query("sweep_run")
 def sweep_run(s, d):
     """Pending cells through the mock model, with rendered prompts and imputed costs: what a resumed sweep would append."""
@@ -128,8 +148,9 @@ def sweep_run(s, d):
     return cost.impute(x, load(s, d, "cost_coefficients")).select("task_id", "arm", "seed", "params_hash", "finish_reason", "solved", "prefill_tokens", F.round("imputed_s", 6).alias("imputed_s"))
 
 
-QUERIES["source_models"] = QUERIES["mock_generate"]
-ORACLE["source_models"] = ORACLE["mock_generate"]
+query("source_models", f"WITH {R}, {_RES2} SELECT arm, model_id, backend, count(*) AS n, bool_or(priced) AS priced FROM (SELECT r.*, k.model_id IS NOT NULL AS priced FROM r LEFT JOIN ck k USING (model_id)) GROUP BY 1, 2, 3")(
+    lambda s, d: rollouts(s, d, "arm", "model_id", "backend").join(F.broadcast(load(s, d, "cost_coefficients").select("model_id", F.lit(True).alias("k")).distinct()), "model_id", "left").groupBy("arm", "model_id", "backend").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("k", F.lit(False))).alias("priced")))
+query("reg_arms", "SELECT arm, role, a.template_id, sampled, ladder_step, requires_parent, t.template_id <> 'direct_notests_v1' AS shows_tests, t.template_id = 'repair_v1' AS shows_prior, NOT requires_parent AS sweepable FROM (VALUES ('direct_small', 'small', 'direct_v1', FALSE, 0, FALSE), ('direct_large', 'large', 'direct_v1', FALSE, 0, FALSE), ('direct_small_notests', 'small', 'direct_notests_v1', FALSE, 0, FALSE), ('direct_large_notests', 'large', 'direct_notests_v1', FALSE, 0, FALSE), ('probe_small', 'small', 'direct_v1', TRUE, 0, FALSE), ('repair_small', 'small', 'repair_v1', FALSE, 1, TRUE), ('repair_large', 'large', 'repair_v1', FALSE, 1, TRUE)) a(arm, role, template_id, sampled, ladder_step, requires_parent) JOIN (VALUES ('direct_v1'), ('direct_notests_v1'), ('repair_v1')) t(template_id) USING (template_id)")(lambda s, d: sweep.arm_table(s))
 _WS = "' ' || chr(10) || chr(13) || chr(9)"
 query("prompt_render", f"WITH {_TASKS} SELECT task_id, md5('Write a Python solution to the following problem.' || chr(10) || chr(10) || trim(coalesce(prompt, ''), ' ') || CASE WHEN trim(coalesce(visible_tests, ''), ' ') <> '' THEN chr(10) || chr(10) || 'Your solution must satisfy these tests:' || chr(10) || chr(10) || '```python' || chr(10) || trim(visible_tests, ' ') || chr(10) || '```' ELSE '' END || chr(10) || chr(10) || 'Respond with one ```python code block containing the complete solution.') AS user_md5 FROM tk WHERE task_id IS NOT NULL")(
     lambda s, d: task_rows(s, d).select("task_id", F.md5(sweep.render(F.col("prompt"), F.col("visible_tests")).cast("binary")).alias("user_md5")))
@@ -151,7 +172,8 @@ query("proj_finish_norm", f"WITH {R} SELECT rollout_id, {_FIN} AS finish_reason
 query("proj_strip_labels", f"WITH {R} SELECT rollout_id, task_id, arm, visible_passed FROM r")(lambda s, d: validate.strip_labels(rollouts(s, d, "task_id", "arm", "visible_passed", "hidden_passed", "hidden_total").drop("delivery_id"))[0])
 query("pred_graded", f"WITH {R} SELECT rollout_id FROM r WHERE hidden_total > 0 AND visible_total IS NOT NULL")(lambda s, d: rollouts(s, d, "hidden_total", "visible_total").where("hidden_total > 0 AND visible_total IS NOT NULL").select("rollout_id"))
 _RUN = validate.RUN_ID.replace("\\d", "[0-9]")
-for _n in ("pred_publishable", "pred_run_id"):
+query("pred_run_id", f"SELECT delivery_id, regexp_matches(run_id, '{_RUN}') AS valid FROM generations")(lambda s, d: load(s, d, "generations").select("delivery_id", F.col("run_id").rlike(validate.RUN_ID).alias("valid")))
+for _n in ("pred_publishable",):
     query(_n, f"SELECT run_id, regexp_matches(run_id, '{_RUN}') AS valid, NOT suffix(run_id, '-dirty') AS publishable, count(*) AS n FROM generations GROUP BY 1")(
         lambda s, d: load(s, d, "generations").groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select("run_id", F.col("run_id").rlike(validate.RUN_ID).alias("valid"), (~F.endswith("run_id", F.lit("-dirty"))).alias("publishable"), "n"))
 _ERRS = [
@@ -198,9 +220,11 @@ _R0 = R.split(", r AS")[0]
 for (_n, _q), _f in zip(_ISSUES.items(), validate.CHECKS.values()):
     query(_n, f"WITH {_R0} {_q}")(lambda s, d, f=_f: f(_rows(s, d)))
 _ALLISS = " UNION ALL ".join(f"({q})" for q in _ISSUES.values())
-for _n in ("integ_all", "examples_3"):
+for _n in ("integ_all",):
     query(_n, f"WITH {_R0}, iss AS ({_ALLISS}), ex AS (SELECT issue, string_agg(example, ' ' ORDER BY example) AS examples FROM (SELECT issue, example, row_number() OVER (PARTITION BY issue ORDER BY example) AS k FROM (SELECT DISTINCT issue, example FROM iss WHERE example IS NOT NULL)) WHERE k <= 3 GROUP BY 1) SELECT issue, n, coalesce(examples, '') AS examples FROM (SELECT issue, count(*) AS n FROM iss GROUP BY 1) LEFT JOIN ex USING (issue)")(
         lambda s, d: validate.integrity(_rows(s, d)))
+query("examples_3", f"WITH {R} SELECT task_id, string_agg(rollout_id, ' ' ORDER BY rollout_id) FILTER (WHERE k <= 3) AS examples, count(*) AS n FROM (SELECT task_id, rollout_id, row_number() OVER (PARTITION BY task_id ORDER BY rollout_id) AS k FROM r WHERE finish_reason = 'length') GROUP BY 1")(
+    lambda s, d: validate.three_examples(rollouts(s, d, "task_id", "finish_reason").where("finish_reason = 'length'"), "task_id", "rollout_id").select("task_id", "examples", "n"))
 query("grid_complete", f"WITH {C}, x AS (SELECT count(*) AS rows, count(DISTINCT task_id) AS tasks, count(DISTINCT arm) AS arms, count(DISTINCT seed) AS seeds, min(seed) AS lo, max(seed) AS hi FROM c) SELECT rows, tasks, arms, seeds, rows = tasks * arms * seeds AS complete, lo = 0 AND hi = seeds - 1 AS seeds_in_order FROM x")(lambda s, d: validate.grid_gaps(cells(s, d)))
 query("load_warnings", f"WITH {R} SELECT round(avg((finish_reason = 'length')::INT), 6) AS truncation_rate, avg((finish_reason = 'length')::INT) > 0.02 AS warn_truncation, count(*) FILTER (WHERE len(hack_flags) > 0) AS hacked, count(*) FILTER (WHERE gpu_seconds IS NULL) AS cost_missing FROM r")(lambda s, d: validate.load_warnings(rollouts(s, d, "finish_reason", "hack_flags", "gpu_seconds")))
 _D1COLS = ["visible_passed", "visible_total", "code", "code_parses", "finish_reason", "decode_tokens", "prefill_tokens", "extract_strategy", "error", "hack_flags"]
@@ -275,16 +299,19 @@ def pred_split_fence(s: SparkSession, d: str) -> DataFrame:
 
 # --- joins and sets -----------------------------------------------------------------------------------------------------------
 
-for _n in ("join_tasks", "join_grade_tasks"):
+for _n in ("join_tasks",):
     query(_n, f"WITH {R}, {_TASKS} SELECT rollout_id, r.task_id, entrypoint, length(prompt) AS prompt_chars FROM r JOIN tk USING (task_id)")(
         lambda s, d: rollouts(s, d, "task_id").join(task_rows(s, d).select("task_id", "entrypoint", F.length("prompt").cast("long").alias("prompt_chars")), "task_id").select("rollout_id", "task_id", "entrypoint", "prompt_chars"))
+query("join_grade_tasks", f"WITH {R}, {_TASKS} SELECT count(tk.task_id) AS joined, count(*) - count(tk.task_id) AS skipped, count(DISTINCT CASE WHEN tk.task_id IS NULL THEN r.task_id END) AS tasks_missing FROM r LEFT JOIN tk ON tk.task_id = r.task_id")(
+    lambda s, d: rollouts(s, d, "task_id").join(task_rows(s, d).select("task_id", F.lit(True).alias("there")), "task_id", "left").agg(F.count("there").alias("joined"), F.count_if(F.col("there").isNull()).alias("skipped"), F.count_distinct(F.when(F.col("there").isNull(), F.col("task_id"))).alias("tasks_missing")))
 _MAN = f"mn AS (SELECT {sql_id('task_id')} AS task_id, max({sql_split('split')}) AS planned FROM split_manifest GROUP BY 1)"
 query("join_splits", f"WITH {R}, {_MAN} SELECT rollout_id, coalesce(planned, split) AS split, coalesce(planned <> split, FALSE) AS moved FROM r LEFT JOIN mn USING (task_id)")(
     lambda s, d: rollouts(s, d, "task_id", "split").join(source_splits(s, d).withColumnRenamed("split", "planned"), "task_id", "left").select("rollout_id", F.coalesce("planned", "split").alias("split"), F.coalesce(F.col("planned") != F.col("split"), F.lit(False)).alias("moved")))
 query("join_arms", f"WITH {G} SELECT task_id, seed, s_solved, l_solved, round(s_cost, 6) AS s_cost, round(l_cost, 6) AS l_cost FROM g")(lambda s, d: rounded(grid(s, d).select("task_id", "seed", "s_solved", "l_solved", "s_cost", "l_cost")))
-for _n in ("semi_tasks", "set_common_tasks"):
-    query(_n, f"WITH {C} SELECT task_id FROM c WHERE arm IN ('small', 'large') GROUP BY 1 HAVING count(DISTINCT arm) = 2")(
-        lambda s, d: cells(s, d).where(F.col("arm").isin("small", "large")).groupBy("task_id").agg(F.count_distinct("arm").alias("n")).where("n = 2").select("task_id"))
+query("semi_tasks", f"WITH {C} SELECT task_id FROM c WHERE arm IS NOT NULL GROUP BY 1 HAVING count(DISTINCT arm) = (SELECT count(DISTINCT arm) FROM c)")(
+    lambda s, d: (lambda c: c.groupBy("task_id").agg(F.count_distinct("arm").alias("n")).join(F.broadcast(c.agg(F.count_distinct("arm").alias("n"))), "n").select("task_id"))(cells(s, d).where("arm IS NOT NULL").select("task_id", "arm")))
+query("set_common_tasks", f"WITH {C} SELECT task_id FROM c WHERE arm = 'small' INTERSECT SELECT task_id FROM c WHERE arm = 'large'")(
+    lambda s, d: (lambda c: c.where("arm = 'small'").select("task_id").intersect(c.where("arm = 'large'").select("task_id")))(cells(s, d).select("task_id", "arm")))
 query("anti_missing_action", f"WITH {R} SELECT DISTINCT task_id FROM r WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT {sql_id('task_id')} FROM decisions WHERE chosen AND task_id IS NOT NULL)")(
     lambda s, d: rollouts(s, d, "task_id").select("task_id").where("task_id IS NOT NULL").distinct().join(load(s, d, "decisions").where("chosen").select(norm_id("task_id").alias("task_id")).distinct(), "task_id", "left_anti"))
 query("sort_tasks", f"WITH {_TASKS} SELECT task_id, row_number() OVER (ORDER BY task_id) AS position FROM tk WHERE task_id IS NOT NULL")(lambda s, d: before(task_rows(s, d).select("task_id"), ["task_id"]).select("task_id", (F.col("before") + 1).alias("position")))
@@ -293,8 +320,8 @@ query("sort_tasks", f"WITH {_TASKS} SELECT task_id, row_number() OVER (ORDER BY
 query("limit_first_n", f"WITH {_TASKS} SELECT task_id FROM tk WHERE task_id IS NOT NULL ORDER BY task_id LIMIT 25")(lambda s, d: task_rows(s, d).select("task_id").orderBy("task_id").limit(25))
 _TD = f"td AS (SELECT {sql_id('task_id')} AS task_id, max(dataset) AS dataset, max(prompt) AS prompt FROM tasks GROUP BY 1)"
 query("limit_per_dataset", f"WITH {_TD} SELECT dataset, task_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY task_id) AS k FROM td) WHERE k <= 20")(lambda s, d: corpus.first_per_group(task_rows(s, d).select("dataset", "task_id"), "dataset", "task_id", 20))
-query("set_common_features", f"WITH {_TASKS}, f AS (SELECT task_id, 'chars' AS feature FROM tk WHERE prompt IS NOT NULL UNION ALL SELECT task_id, 'lines' FROM tk WHERE prompt IS NOT NULL) SELECT feature FROM f GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM tk)")(
-    lambda s, d: (lambda f, n: f.groupBy("feature").agg(F.count("value").alias("c")).crossJoin(F.broadcast(n)).where("c = n").select("feature"))(_long(s, d), task_rows(s, d).agg(F.count(F.lit(1)).alias("n"))))
+query("set_common_features", f"WITH {_TASKS}, {_LONG} SELECT feature FROM lf WHERE value > 0 GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM tk WHERE task_id IS NOT NULL)")(
+    lambda s, d: (lambda f, n: f.where("value > 0").groupBy("feature").agg(F.count("value").alias("c")).crossJoin(F.broadcast(n)).where("c = n").select("feature"))(_long(s, d), task_rows(s, d).agg(F.count(F.lit(1)).alias("n"))))
 query("set_allowlist", "SELECT unnest(['late:code', 'never:wall_ms', 'label:hidden_passed']) AS problem")(lambda s, d: s.createDataFrame([(p,) for p in validate.allowlist(["task_id", "code", "wall_ms", "hidden_passed"], "D0")], "problem string"))
 query("set_merge_coeffs", "SELECT model_id, batch, round(CASE WHEN batch = 1 THEN intercept_s * 2 ELSE intercept_s END, 6) AS intercept_s FROM cost_coefficients WHERE batch = 1 OR model_id NOT IN (SELECT model_id FROM cost_coefficients WHERE batch = 1)")(lambda s, d: _merged(load(s, d, "cost_coefficients")))
 
@@ -326,8 +353,10 @@ def _manifest(s, d):
     return load(s, d, "split_manifest").groupBy(norm_id("task_id").alias("task_id")).agg(F.max(norm_split("split")).alias("split"), F.max("salt").alias("salt"))
 
 
-for _n in ("split_assign", "split_build"):
+for _n in ("split_assign",):
     query(_n, f"WITH {_AS} SELECT task_id, bucket, {_RULE} AS split FROM sa")(lambda s, d: _manifest(s, d).select("task_id", corpus.bucket(F.col("task_id"), F.col("salt")).alias("bucket"), corpus.assign(F.col("task_id"), F.col("salt")).alias("split")))
+query("split_build", f"WITH {_AS} SELECT split, count(*) AS n, min(bucket) AS least, max(bucket) AS most FROM (SELECT bucket, {_RULE} AS split FROM sa) GROUP BY 1")(
+    lambda s, d: _manifest(s, d).select(corpus.bucket(F.col("task_id"), F.col("salt")).alias("bucket"), corpus.assign(F.col("task_id"), F.col("salt")).alias("split")).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("bucket").alias("least"), F.max("bucket").alias("most")))
 query("split_verify", f"WITH {_AS}, {_TASKS} SELECT 'tampered' AS problem, task_id FROM sa WHERE split <> {_RULE} UNION ALL SELECT 'missing', task_id FROM tk WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT task_id FROM sa)")(
     lambda s, d: (lambda m: m.where(F.col("split") != corpus.assign(F.col("task_id"), F.col("salt"))).select(F.lit("tampered").alias("problem"), "task_id").unionByName(task_rows(s, d).select("task_id").join(m, "task_id", "left_anti").select(F.lit("missing").alias("problem"), "task_id")))(_manifest(s, d)))
 query("split_tolerance", f"WITH m AS (SELECT {sql_id('task_id')} AS task_id, max({sql_split('split')}) AS split FROM split_manifest GROUP BY 1), t AS (SELECT count(*) AS total FROM m) SELECT w.split, count(m.split) AS n, round(count(m.split)::DOUBLE / total, 6) AS share, target, round(greatest(0.01, 3.5 * sqrt(target * (1 - target) / total)), 6) AS allowed, abs(count(m.split)::DOUBLE / total - target) <= greatest(0.01, 3.5 * sqrt(target * (1 - target) / total)) AS ok FROM (VALUES ('train', 0.6::DOUBLE), ('val', 0.2), ('test', 0.2)) w(split, target) CROSS JOIN t LEFT JOIN m USING (split) GROUP BY w.split, total, target")(
@@ -340,8 +369,7 @@ _P, _V, _E = "coalesce(prompt, '')", "coalesce(visible_tests, '')", "coalesce(en
 _VL = f"len([x FOR x IN regexp_split_to_array({_V}, '\\n') IF trim(x) <> ''])::DOUBLE"
 _WORDS = f"regexp_extract_all({_P}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
 _FSQL = {
-    "h_prompt_chars": f"length({_P})::DOUBLE", "h_prompt_words": f"len([x FOR x IN regexp_split_to_array({_P}, '\\s+') IF x <> ''])::DOUBLE", "h_prompt_lines": f"(length({_P}) - length(replace({_P}, chr(10), '')) + 1)::DOUBLE", "h_n_visible_tests": _CNT(_V, "assert"),
-    "h_control_keywords": f"len(regexp_extract_all({_P}, '\\b(for|while|if)\\b'))::DOUBLE", "h_algorithmic_terms": f"len(regexp_extract_all({_P}, '{features.ALGORITHMIC_PATTERN}'))::DOUBLE",
+    **_HSQL,
     "d0_prompt_chars": f"length({_P})::DOUBLE", "d0_prompt_words": f"len({_WORDS})::DOUBLE", "d0_prompt_sentences": f"len([x FOR x IN regexp_split_to_array(trim(regexp_replace({_P}, '\\s', ' ', 'g')), '[.!?]+') IF trim(x) <> ''])::DOUBLE",
     "d0_prompt_mean_word_len": f"coalesce(list_sum([length(x) FOR x IN {_WORDS}])::DOUBLE / nullif(len({_WORDS}), 0), 0)", "d0_n_visible_tests": _VL, "d0_visible_test_chars": f"length({_V})::DOUBLE", "d0_visible_assert_density": f"coalesce({_CNT(_V, 'assert')} / nullif({_VL}, 0), 0)",
     "d0_algorithmic_keywords": " + ".join(_CNT(f"lower({_P})", w) for w in features.ALGORITHMIC_WORDS), "d0_loop_keywords": f"len([x FOR x IN {_WORDS} IF lower(x) IN ({', '.join(repr(w) for w in features.LOOP_WORDS)})])::DOUBLE", "d0_has_code_block": f"contains({_P}, '```')::INT::DOUBLE",
@@ -367,10 +395,12 @@ _D1 = {
 }
 for _name, _cols in (("d1_visible", [c for c in _D1 if "visible" in c]), ("d1_code", [c for c in _D1 if "_code_" in c]), ("d1_generation", [c for c in _D1 if "visible" not in c and "_code_" not in c])):
     query(_name, f"WITH {R} SELECT rollout_id, " + ", ".join(f"round(({_D1[c]})::DOUBLE, 6) AS {c}" for c in _cols) + " FROM r")(lambda s, d, cols=_cols: rounded(features.build(rollouts(s, d, *_D1COLS), cols, ["rollout_id"])))
-query("feat_constant", f"WITH {_TASKS}, x AS (SELECT length(prompt)::DOUBLE AS chars, contains({_P}, '```')::INT::DOUBLE AS fenced FROM tk WHERE task_id IS NOT NULL) SELECT 'd0_prompt_chars' AS feature, coalesce(max(chars) - min(chars) = 0, TRUE) AS constant FROM x UNION ALL SELECT 'd0_has_code_block', coalesce(max(fenced) - min(fenced) = 0, TRUE) FROM x")(
-    lambda s, d: features.constant_columns(features.build(task_rows(s, d), ["d0_prompt_chars", "d0_has_code_block"], ["task_id"]), ["d0_prompt_chars", "d0_has_code_block"]))
-query("feat_guard_finite", "SELECT 'gpu_seconds' AS feature, count(*) FILTER (WHERE gpu_seconds IS NULL OR gpu_seconds::VARCHAR IN ('nan', '-nan', 'inf', '-inf')) AS bad FROM generations UNION ALL SELECT 'wall_ms', count(*) FILTER (WHERE wall_ms IS NULL OR wall_ms::VARCHAR IN ('nan', '-nan', 'inf', '-inf')) FROM generations")(
-    lambda s, d: features.not_finite(load(s, d, "generations"), ["gpu_seconds", "wall_ms"]))
+_D0S = [c for c in _FSQL if c.startswith("d0_")]
+query("feat_constant", f"WITH {_TASKS}, x AS (SELECT " + ", ".join(f"{_FSQL[c]} AS {c}" for c in _D0S) + " FROM tk WHERE task_id IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(max({c}) - min({c}) = 0, TRUE) AS constant FROM x" for c in _D0S))(
+    lambda s, d: features.constant_columns(features.build(task_rows(s, d), _D0S, ["task_id"]), _D0S))
+_NUMBERS = ["wall_ms", "gpu_seconds", "imputed_latency_s", "grade_duration_s", "prefill_tokens", "decode_tokens", "visible_passed", "visible_total", "hidden_passed", "hidden_total", "ladder_step", "batch_size", "seed", "schema_version"]
+query("feat_guard_finite", " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL OR {c}::VARCHAR IN ('nan', '-nan', 'inf', '-inf')) AS bad FROM generations" for c in _NUMBERS))(
+    lambda s, d: features.not_finite(load(s, d, "generations").select(*[F.col(c).cast("double").alias(c) for c in _NUMBERS]), _NUMBERS))
 query("feat_groups", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{f.group}', '{f.point}')" for n, f in features.REGISTRY.items()) + ") t(feature, feature_group, point)")(
     lambda s, d: s.createDataFrame([(n, f.group, f.point) for n, f in features.REGISTRY.items()], "feature string, feature_group string, point string"))
 query("tokens_approx", f"WITH {R} SELECT rollout_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, round_even(length(text) / 3.6::DOUBLE, 0)::INT) END AS tokens FROM r")(lambda s, d: rollouts(s, d, "text").select("rollout_id", features.tokens_approx(F.col("text")).alias("tokens")))
@@ -389,10 +419,11 @@ def _with_entry(s, d, *cols):
     return rollouts(s, d, "task_id", *cols).join(task_rows(s, d).select("task_id", "entrypoint", "visible_tests", "hidden_tests"), "task_id", "left")
 
 
-for _n in ("extract_code", "topk_block"):
+query("topk_block")(lambda s, d: code.best_blocks(_with_entry(s, d, "text")))
+for _n in ("extract_code",):
     query(_n)(lambda s, d: code.extracted(_with_entry(s, d, "text")).select("rollout_id", "strategy", "n_blocks", "parses", "defines_entrypoint", F.md5(F.col("code").cast("binary")).alias("code_md5")))
 query("d1_code_ast_nodes")(lambda s, d: code.shapes(_with_entry(s, d, "code")))
-query("count_asserts")(lambda s, d: code.asserts(task_rows(s, d)))
+query("count_asserts", f"WITH {_TASKS} SELECT task_id, len(regexp_extract_all(coalesce(visible_tests, ''), '(?m)^assert\\b'))::INT AS n_asserts FROM tk WHERE task_id IS NOT NULL")(lambda s, d: code.asserts(task_rows(s, d)))
 query("hack_scan")(lambda s, d: code.hack_scan(_with_entry(s, d, "code")).select("rollout_id", F.array_join("flags", ",").alias("flags")))
 def _grades(s, d):
     """The grade of every rollout whose task has tests. Equal code of a task is graded once, spread over all cores, for all its rollouts."""
@@ -403,8 +434,16 @@ def _grades(s, d):
     return x.select("key", "rollout_id").join(grades, "key").drop("key")
 
 
-for _n in ("grade_run", "grade_one"):
-    query(_n)(_grades)
+query("grade_run")(_grades)
+
+
+@query("grade_one")
+def grade_one(s, d):
+    """The grade of every rollout by tier."""
+    tiers = F.array(*[F.struct(F.lit(t).alias("tier"), F.col(f"{t}_passed").alias("passed"), F.col(f"{t}_total").alias("total")) for t in ("visible", "hidden")])
+    return _grades(s, d).select("rollout_id", "error_class", "tamper", F.explode(tiers).alias("t")).select("rollout_id", "t.*", "error_class", "tamper")
+
+
 query("hack_tamper")(lambda s, d: _grades(s, d).groupBy("tamper").agg(F.count(F.lit(1)).alias("n")))
 query("py_literal")(lambda s, d: code.literals(load(s, d, "decisions").select(F.concat_ws("|", "policy_name", "task_id", "arm", "lam").alias("k"), "p_pass"), "k", "p_pass"))
 
@@ -417,8 +456,17 @@ def corpus_convert(s, d):
     return code.converted(one.join(task_rows(s, d).select("task_id", "visible_tests"), "task_id").repartition(F.xxhash64("task_id")))
 
 
-query("backend_contain", f"WITH {_TASKS} SELECT count(*) AS answers FROM tk WHERE task_id IS NOT NULL")(
-    lambda s, d: sweep.generate(task_rows(s, d).select(F.col("task_id").alias("cell"), "prompt"), "echo").agg(F.count(F.lit(1)).alias("answers")))
+_CELLS = "SELECT task_id, prompt FROM tk WHERE task_id IS NOT NULL UNION ALL SELECT task_id || '#blank', ' ' FROM tk WHERE task_id IS NOT NULL"
+query("backend_contain", f"WITH {_TASKS} SELECT task_id AS cell, CASE WHEN trim(coalesce(prompt, '')) = '' THEN 'error' ELSE 'stop' END AS finish_reason, CASE WHEN trim(coalesce(prompt, '')) = '' THEN 'ValueError: an empty prompt' END AS error FROM ({_CELLS})")(
+    lambda s, d: _contained(s, d))
+
+
+def _contained(s: SparkSession, d: str) -> DataFrame:
+    """Every task and a blank twin of each, asked of a backend that fails for blank ones: an answer or a failure for each request."""
+    t = task_rows(s, d).select(F.col("task_id").alias("cell"), "prompt")
+    return sweep.generate(t.unionByName(t.select(F.concat("cell", F.lit("#blank")).alias("cell"), F.lit(" ").alias("prompt"))), "echo", batch=1).select("cell", "finish_reason", "error")
+
+
 query("grade_project", f"WITH {R} SELECT rollout_id, hidden_passed IS NOT NULL AS graded, coalesce(hidden_passed, 0) AS hidden_passed FROM r")(lambda s, d: rollouts(s, d, "hidden_passed").select("rollout_id", F.col("hidden_passed").isNotNull().alias("graded"), F.coalesce("hidden_passed", F.lit(0)).alias("hidden_passed")))
 
 

@@ -24,6 +24,7 @@ def get_spark(app: str = "tidemark", cores: str | int = "*", shuffle_partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -57,11 +58,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a session without one (tests) gets a temporary folder of its own."""
+    """The folder all executors share, as the cluster names it. Only a local session (tests) may have none: it gets a temporary folder
+    that goes when the driver ends."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"tidemark-{uuid.uuid4().hex}")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        sc.setCheckpointDir(at)
     return at
 
 
