@@ -12,6 +12,7 @@ from the wording what the rules would tell it.
 from __future__ import annotations
 
 import ast
+import gc
 import re
 import textwrap
 import warnings
@@ -451,7 +452,12 @@ def defects(rows: DataFrame, prompts: DataFrame) -> DataFrame:
         cl, field = Clauses(), crf.value
         warnings.simplefilter("ignore")
         for b in batches:
-            got = tagged(cl, field, b["answer"].tolist(), b["prompt"].tolist(), b["finish"].tolist())
+            # Syntax trees hold no cycles; looking for some after every few hundred nodes costs a seventh of the time.
+            gc.disable()
+            try:
+                got = tagged(cl, field, b["answer"].tolist(), b["prompt"].tolist(), b["finish"].tolist())
+            finally:
+                gc.enable()
             d = pd.DataFrame({"id": b["id"], "defect": [defect(a, t) for a, t in got]})
             yield d[d["defect"].notna()]
 
