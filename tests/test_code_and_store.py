@@ -120,6 +120,7 @@ def test_a_run_is_read_only_when_sealed_and_test_stays_locked(spark, tmp_path):
     with pytest.raises(Refused):
         store.load_run(spark, root, "r")
     m = store.seal(spark, root, "r")
+    assert json.loads(store.read_text(spark, f"{root}/r/_MANIFEST_generations.json")) == m
     assert m["counts"]["rows"] == 6 and store.list_runs(spark, root) == ["r"] and len(m["parts"]) >= 1
     assert store.load_run(spark, root, "r").count() == 3
     with pytest.raises(Refused):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -71,6 +72,90 @@ def source_splits(s, d):
 query("source_coefficients", "SELECT model_id, batch::INT AS batch, round(intercept_s, 9) AS intercept_s, round(prefill_s_per_token, 9) AS prefill_s_per_token, round(decode_s_per_token, 9) AS decode_s_per_token FROM cost_coefficients")(
     lambda s, d: load(s, d, "cost_coefficients").select("model_id", F.col("batch").cast("int").alias("batch"), *[F.round(c, 9).alias(c) for c in ("intercept_s", "prefill_s_per_token", "decode_s_per_token")]))
 
+# --- run stores ---------------------------------------------------------------------------------------------------------------
+
+_STORED = ["rollout_id", "run_id", "task_id", "arm", "split", "seed", "params_hash", "finish_reason", "extract_strategy", "tokens_exact", "text", "code", "hidden_passed", "hidden_total"]
+
+
+def _stores(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A root of four runs of all rollouts: "a" appended in two parts and sealed, "b" never sealed, "c" with a sealed graded layer, "d"
+    with a graded layer that isn't; and the rollouts."""
+    root = f"{shared_dir(s)}/runs-{uuid.uuid4().hex}"
+    r = cut(rollouts(s, d, *_STORED).select(*_STORED))
+    store.append(r.where("pmod(xxhash64(rollout_id), 2) = 0"), root, "a")
+    store.append(r.where("pmod(xxhash64(rollout_id), 2) = 1"), root, "a")
+    plain, graded = r.drop("hidden_passed", "hidden_total"), r.select("rollout_id", "split", "hidden_passed", "hidden_total").where("hidden_total IS NOT NULL")
+    for run in ("b", "c", "d"):
+        store.append(plain, root, run)
+    store.append(graded, root, "c", "rollouts")
+    store.append(graded.where("split = 'train'"), root, "d", "rollouts")
+    store.seal(s, root, "a")
+    store.seal(s, root, "c")
+    store.seal(s, root, "c", "rollouts")
+    return root, r
+
+
+@query("sink_append", f"WITH {R} SELECT rollout_id, arm, split, md5(coalesce(text, '')) AS text_md5 FROM r")
+def sink_append(s, d):
+    """What was appended in two parts, read back from the store's JSON, whole texts included."""
+    root, _ = _stores(s, d)
+    return store.read_json(s, f"{root}/a/generations").select("rollout_id", "arm", "split", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+@query("sink_seal", f"WITH {R} SELECT arm, count(*) AS rows, count(DISTINCT params_hash) AS params FROM r WHERE arm IS NOT NULL GROUP BY 1")
+def sink_seal(s, d):
+    """The counts by arm that the manifest of a sealed run states."""
+    root, _ = _stores(s, d)
+    m = json.loads(store.read_text(s, f"{root}/a/_MANIFEST_generations.json"))["counts"]
+    return s.createDataFrame([(a, n, len(m["params"].get(a, []))) for a, n in m["by_arm"].items() if a != "None"], "arm string, rows long, params long")
+
+
+@query("sink_graded_append", f"WITH {R} SELECT rollout_id, split, hidden_passed, hidden_total FROM r WHERE hidden_total IS NOT NULL AND split IN ('train', 'val')")
+def sink_graded_append(s, d):
+    """The graded layer of a run, as a reader of train and val gets it."""
+    root, _ = _stores(s, d)
+    return store.load_run(s, root, "c").select("rollout_id", "split", "hidden_passed", "hidden_total")
+
+
+@query("seal_gate", f"WITH {R} SELECT 'a' AS run, FALSE AS refused, count(*) AS rows FROM r WHERE split IN ('train', 'val') UNION ALL SELECT 'b', TRUE, 0 FROM (SELECT 1)")
+def seal_gate(s, d):
+    """A sealed run is read, one without a seal is refused."""
+    root, _ = _stores(s, d)
+    out = []
+    for run in ("a", "b"):
+        try:
+            got, refused = store.load_run(s, root, run), False
+        except validate.Refused:
+            got, refused = s.range(0), True
+        out.append(got.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(run).alias("run"), F.lit(refused).alias("refused"), "rows"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("layer_select", "SELECT * FROM (VALUES ('a', 'generations', FALSE), ('b', 'generations', FALSE), ('c', 'rollouts', FALSE), ('d', NULL, TRUE)) t(run, layer, refused)")
+def layer_select(s, d):
+    """The layer a reader gets of each run; a half graded run is refused."""
+    root, _ = _stores(s, d)
+    rows = []
+    for run in "abcd":
+        try:
+            rows.append((run, store.select_layer(s, root, run), False))
+        except validate.Refused:
+            rows.append((run, None, True))
+    return s.createDataFrame(rows, "run string, layer string, refused boolean")
+
+
+query("list_runs", "SELECT * FROM (VALUES ('a', 'generations'), ('c', 'generations'), ('c', 'rollouts')) t(run, layer)")(
+    lambda s, d: (lambda root: s.createDataFrame([(r, x) for x in ("generations", "rollouts") for r in store.list_runs(s, root, x)], "run string, layer string"))(_stores(s, d)[0]))
+
+
+@query("sink_decisions", f"SELECT {_DEC} FROM decisions")
+def sink_decisions(s, d):
+    """Decisions written as JSON and Parquet, read back from the Parquet."""
+    at = f"{shared_dir(s)}/decided-{uuid.uuid4().hex}"
+    store.write_decisions(load(s, d, "decisions").select(*DECISION.names), at)
+    return s.read.parquet(f"{at}/decisions.parquet").select(*DECISION.names)
+
+
 _U = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 _SYN = f"sy AS (SELECT task_id, arm, seed, cost, p, {_U.format(chr(39) + 'O|0|' + chr(39) + ' || task_id || ' + chr(39) + '|' + chr(39) + ' || arm || ' + chr(39) + '|' + chr(39) + ' || seed')} < p AS solved FROM (SELECT t.task_id, arm, seed, cost, 1 / (1 + exp(-4 * (skill - 4 * {_U.format(chr(39) + 'D|0|' + chr(39) + ' || t.task_id')}))) AS p FROM (SELECT 'synth/' || lpad(i::VARCHAR, 6, '0') AS task_id FROM range(400) r(i)) t, (VALUES ('small', 1.4::DOUBLE, 1.0::DOUBLE), ('large', 3.2, 6.0)) a(arm, skill, cost), (SELECT unnest([0, 1, 2]) AS seed)))"
 _ARMS = {"small": (1.4, 1.0), "large": (3.2, 6.0)}

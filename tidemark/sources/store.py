@@ -37,8 +37,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    """A small file as text."""
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    """A small file as text. Manifests start with "_", so Spark's own readers pass over them."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
