@@ -91,3 +91,16 @@ def test_every_node_has_a_path_and_loops_have_descendants(spark):
             at, k = up.get(at), k + 1
     pairs = [tuple(r) for r in hierarchy.all_descendants(spark.createDataFrame(w)).collect()]
     assert len(pairs) == len(want) and set(pairs) == want
+
+
+def test_intervals_tell_the_same_pairs_as_the_descendants(spark):
+    rng = random.Random(11)
+    up = {f"n{i:03d}": f"n{rng.randrange(max(0, i - 9), i):03d}" for i in range(1, 90) if i % 11} | {"n200": "n201", "n201": "n200", "n202": "n201", "n300": "gone"}
+    links = spark.createDataFrame(list(up.items()), "c string, p string")
+    nodes = spark.createDataFrame([(n,) for n in {*up, *up.values()} - {"gone"}], "node string")
+    r = hierarchy.resolve(links, nodes, with_paths=True)
+    at = {x["node"]: (x["enter"], x["leave"]) for x in hierarchy.intervals(r).collect()}
+    pairs = {(a, n) for a, (i, j) in at.items() for n, (k, _) in at.items() if i < k <= j}
+    assert pairs == {(x["ancestor"], x["node"]) for x in hierarchy.descendants(r).collect()}
+    assert sorted(e for e, _ in at.values()) == list(range(len(at))) and not {"n200", "n201", "n202"} & set(at) and at["n300"][0] == at["n300"][1]
+    assert hierarchy.intervals(r.limit(0)).count() == 0

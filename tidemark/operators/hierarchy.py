@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.normalize import norm_id
+from tidemark.operators.ordered import before
 from tidemark.session import cut
 
 
@@ -102,6 +103,21 @@ def descendants(resolved: DataFrame) -> DataFrame:
     return x.where(F.col("at") < F.col("depth")).select("ancestor", "node", (F.col("depth") - F.col("at")).alias("links"))
 
 
+def intervals(resolved: DataFrame) -> DataFrame:
+    """(node, root, enter, leave): places of every node of the trees in a walk that goes down first, roots included, from
+    `resolve(with_paths=True)`. The nodes under one are those that enter after it and not after it leaves, so all pairs of ancestors
+    and descendants stand in one row per node. Nodes on or under a loop have no place.
+
+    The walk is the order of the paths, range-partitioned and never in one task; what hangs below a node is counted by partial sums.
+    """
+    open_ = resolved.where("depth >= 0").select("node", "root", "path")
+    tops = open_.select(F.col("root").alias("node")).distinct().join(open_, "node", "left_anti")
+    x = cut(open_.unionByName(tops.select("node", F.col("node").alias("root"), F.array("node").alias("path"))))
+    size = x.select(F.explode("path").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    walk = before(x, ["path"], out="enter").select("node", "root", "enter")
+    return walk.join(size, "node").select("node", "root", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"))
+
+
 def whole(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root, depth, path, loop) for every node: as `resolve`, with a row for roots too and a path for each node.
 

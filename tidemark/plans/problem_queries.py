@@ -31,6 +31,13 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.resolve(links, nodes, with_paths=True)).select("ancestor", F.col("node").alias("descendant"), "links")
 
 
+def p2_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rollout of a tree with its place in a walk and the place of the last one under it: all descendants, a row for each rollout."""
+    g = load(spark, sf_dir, "generations").select("rollout_id", "parent_rollout_id", "delivery_id")
+    links, nodes = hierarchy.links_of(g, "rollout_id", "parent_rollout_id", "delivery_id")
+    return hierarchy.intervals(cut(hierarchy.resolve(links, nodes, with_paths=True))).select(F.col("node").alias("rollout_id"), F.col("root").alias("root_id"), "enter", "leave")
+
+
 def p2_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rollout, roots and those on and under loops included, with its path; that of a loop starts at the loop's smallest rollout."""
     g = load(spark, sf_dir, "generations").select("rollout_id", "parent_rollout_id", "delivery_id")
@@ -65,7 +72,7 @@ def p4_new_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("delivery_id", norm_id("rollout_id").alias("rollout_id"), "run_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_all_paths, p2_all_descendants, p4_found, p4_kept, p4_new_in_batch)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_intervals, p2_all_paths, p2_all_descendants, p4_found, p4_kept, p4_new_in_batch)}
 
 _ID = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))), '')"
 
@@ -95,6 +102,9 @@ ORACLE = {
     " CASE WHEN closed THEN NULL ELSE array_to_string(list_reverse(seen), '>') END AS path, s.ladder_step,"
     " coalesce(s.ladder_step = CASE WHEN closed THEN -1 ELSE d END, FALSE) AS step_is_depth FROM ends e LEFT JOIN steps s ON e.node = s.node",
     "p2_descendants": _WALK + "SELECT w.cur AS ancestor, w.node AS descendant, w.d AS links FROM walk w JOIN ends e ON e.node = w.node AND NOT e.closed WHERE w.d > 0",
+    "p2_intervals": _WALK
+    + ", t AS (SELECT node, cur AS root, list_reverse(seen) AS path FROM ends WHERE NOT closed UNION SELECT cur, cur, [cur] FROM ends WHERE NOT closed), sz AS (SELECT a, count(*) AS n FROM (SELECT unnest(path) AS a FROM t) GROUP BY 1)"
+    " SELECT node AS rollout_id, root AS root_id, enter, enter + n - 1 AS leave FROM (SELECT *, row_number() OVER (ORDER BY path) - 1 AS enter FROM t) JOIN sz ON a = node",
     "p4_found": f"SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY {sql_id('rollout_id')} ORDER BY delivery_id) AS r FROM generations WHERE {sql_id('rollout_id')} IS NOT NULL) WHERE r > 1",
     "p4_kept": f"SELECT delivery_id, {sql_id('rollout_id')} AS rollout_id, run_id, {sql_id('task_id')} AS task_id, {sql_id('arm')} AS arm, md5(coalesce(text, '')) AS text_md5, md5(coalesce(code, '')) AS code_md5, hidden_passed, hidden_total"
     f" FROM (SELECT *, row_number() OVER (PARTITION BY {sql_id('rollout_id')} ORDER BY delivery_id) AS r FROM generations) WHERE r = 1 OR {sql_id('rollout_id')} IS NULL",
