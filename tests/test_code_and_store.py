@@ -95,6 +95,44 @@ def test_every_rollout_of_a_task_with_tests_is_graded(spark, monkeypatch):
     assert got == {"r1": (1, 0, "none"), "r2": (1, 0, "none"), "r3": (0, 1, "none"), "r4": (1, 0, "none"), "r5": (0, 0, "empty_code")}
 
 
+PLAIN = "def f(n, seen=[]):\n    seen.append(n)\n    return [x * 2 for x in seen if x % 3 != 1] and sum(x for x in seen)\n"
+
+
+def test_what_can_only_reckon_is_graded_without_a_process_of_its_own():
+    v, h = "assert f(2) == 2\nassert f(3) == 5", "assert f(2) == 2\nassert f(9) == 1"
+    rows = [(c, v, h) for c in (PLAIN, "def f(n):\n    return g(n)", "raise ValueError", "def f(n):\n    while n:\n        pass", "def f(n):\n    return f(n)", "def f(n):\n    return [0] * 10 ** 9", PLAIN + "f(1)\n")]
+    lane, box = code.Lane(), code.Sandbox()
+    got = lane.grades(rows)
+    assert [g is None for g in got] == [False, False, False, True, True, True, False]
+    assert [g for g in got if g] == [box.grade(*r, timeout=2) for r, g in zip(rows, got) if g]
+    assert got[0]["visible_passed"] == 2 and got[0]["hidden_passed"] == 1 and got[2]["error_class"] == "runtime_error"
+    lane.close()
+    box.close()
+
+
+@pytest.mark.parametrize("source", [
+    "import math", "open('x')", "def f(n):\n    return f.__globals__", "__name__", "'{0.x}'.format(1)", "def f(n):\n    try:\n        return n\n    except Exception:\n        pass", "class A:\n    pass", "getattr(1, 'real')", "def f():\n    g = (x for x in [1])\n    return g.gi_frame",
+    "append = 1\ngi_frame = 2\n(x for x in []).gi_frame", "len.x = 1", "with f:\n    pass", "async def f():\n    pass", "if 0:\n    open = 1\nopen('x')", "[].sort.__self__", "from os import *", "f = lambda: eval('1')", "f = lambda: (lambda: exec(''))", "match 1:\n    case int(real=1):\n        pass", "x: int = 1", "type(1)",
+])
+def test_what_could_reach_others_is_left_open(source):
+    from tidemark.operators import pure
+
+    assert pure.grade(source, [None, None]) is None
+    assert pure.grade("def f(n):\n    return [n].count(n)", [pure.cases("assert f(1) == 1"), None]) == ["none", 1, 1, 0, 0]
+    many = "def f(n):\n    x = [n]\n" + "".join(f"    a{i} = b{i}\n" for i in range(200)) + "    return x.gi_frame\n"
+    assert pure.grade(many, [None, None]) is None and pure.cases("import os\nassert f(1)") is None and pure.cases("def test_a():\n    pass") is None
+
+
+def test_rollouts_are_graded_by_the_lane_or_apart(spark):
+    rows = [("a", PLAIN), ("b", PLAIN), ("c", ""), ("d", None), ("e", "def f("), ("f", "import math\ndef f(n):\n    return n")]
+    df = spark.createDataFrame([(i, c, "assert f(2) == 2", None) for i, c in rows], "rollout_id string, code string, visible_tests string, hidden_tests string").coalesce(1)
+    got = {r["rollout_id"]: r for r in code.quickly_graded(df).collect()}
+    assert {i: (r["visible_passed"], r["error_class"]) for i, r in got.items()} == {"a": (1, "none"), "b": (1, "none"), "c": (0, "empty_code"), "d": (0, "empty_code"), "e": (0, "syntax_error"), "f": (None, None)}
+    assert got["f"]["code"] == rows[5][1] and got["f"]["visible_tests"] == "assert f(2) == 2" and got["a"]["code"] is None
+    want = {r["rollout_id"]: r[:7] for r in code.graded(df).collect()}
+    assert all(r[:7] == want[i] for i, r in got.items() if i != "f")
+
+
 def test_literals_come_back():
     for v in ([1, (2,)], {"a": float("inf")}, set(), frozenset({1}), (), "x\n", None, {1: [True]}):
         assert eval(code.literal(v)) == v  # noqa: S307

@@ -511,12 +511,15 @@ query("d1_code_ast_nodes")(lambda s, d: code.shapes(_with_entry(s, d, "code")))
 query("count_asserts", f"WITH {_TASKS} SELECT task_id, len(regexp_extract_all(coalesce(visible_tests, ''), '(?m)^assert\\b'))::INT AS n_asserts FROM tk WHERE task_id IS NOT NULL")(lambda s, d: code.asserts(task_rows(s, d)))
 query("hack_scan")(lambda s, d: code.hack_scan(_with_entry(s, d, "code")).select("rollout_id", F.array_join("flags", ",").alias("flags")))
 def _grades(s, d):
-    """The grade of every rollout whose task has tests. Equal code of a task is graded once, spread over all cores, for all its rollouts."""
-    key = F.concat_ws("|", F.sha2(F.coalesce("code", F.lit("")), 256), "task_id")
-    x = _with_entry(s, d, "code").where("visible_tests IS NOT NULL OR hidden_tests IS NOT NULL").withColumn("key", key)
-    once = x.groupBy("key").agg(*[F.first(c).alias(c) for c in ("code", "visible_tests", "hidden_tests")]).withColumnRenamed("key", "rollout_id")
-    grades = cut(code.graded(once.repartition(F.xxhash64("rollout_id")))).withColumnRenamed("rollout_id", "key")
-    return x.select("key", "rollout_id").join(grades, "key").drop("key")
+    """The grade of every rollout whose task has tests. Rollouts of a task with equal code follow each other and are graded once. What
+    needs a process of its own is spread over all cores again, since any of it may take all of its time."""
+    n = max(int(s.conf.get("spark.sql.shuffle.partitions")), s.sparkContext.defaultParallelism)
+    x = _with_entry(s, d, "code").where("visible_tests IS NOT NULL OR hidden_tests IS NOT NULL")
+    order = ["task_id", F.xxhash64("code")]
+    quick = cut(code.quickly_graded(x.repartitionByRange(n, *order).sortWithinPartitions(*order)))
+    left = F.xxhash64("code", "visible_tests", "hidden_tests")
+    slow = cut(code.graded(quick.where("error_class IS NULL").repartition(n, left).sortWithinPartitions(left)))
+    return quick.where("error_class IS NOT NULL").select(*slow.columns).unionByName(slow)
 
 
 query("grade_run")(_grades)
