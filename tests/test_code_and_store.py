@@ -133,6 +133,28 @@ def test_rollouts_are_graded_by_the_lane_or_apart(spark):
     assert all(r[:7] == want[i] for i, r in got.items() if i != "f")
 
 
+@pytest.fixture
+def apart(spark, monkeypatch):
+    """Five rollouts instead of the tables' own; the list gets how many of them are graded in a process of their own."""
+    from tidemark.plans import rollout_queries as Q
+
+    rows = [("r1", PLAIN), ("r2", PLAIN), ("r3", "def f(n):\n    return 2"), ("r4", "def f("), ("r5", "import os\nos.remove('test_solution.py')\ndef f(n):\n    return n")]
+    df = spark.createDataFrame([(i, "t", c, "assert f(2) == 2\nassert f(3) == 5", "assert f(4) == 2") for i, c in rows], "rollout_id string, task_id string, code string, visible_tests string, hidden_tests string")
+    seen, graded = [], code.graded
+    monkeypatch.setattr(Q, "_with_entry", lambda s, d, *cols: df)
+    monkeypatch.setattr(code, "graded", lambda rows: seen.append(rows.count()) or graded(rows))
+    return seen
+
+
+def test_tiers_are_told_of_every_rollout_and_few_are_graded_apart(spark, apart):
+    from tidemark.plans import rollout_queries as Q
+
+    got = {(r["rollout_id"], r["tier"]): (r["passed"], r["total"], r["error_class"]) for r in Q.grade_one(spark, "").collect()}
+    want = {"r1": (2, 0, "none"), "r2": (2, 0, "none"), "r3": (1, 1, "none"), "r4": (0, 0, "syntax_error"), "r5": (0, 0, "none")}
+    assert got == {(i, t): (p, n, e) for i, (v, h, e) in want.items() for t, p, n in (("visible", v, 2), ("hidden", h, 1))}
+    assert apart == [1]
+
+
 def test_literals_come_back():
     for v in ([1, (2,)], {"a": float("inf")}, set(), frozenset({1}), (), "x\n", None, {1: [True]}):
         assert eval(code.literal(v)) == v  # noqa: S307
