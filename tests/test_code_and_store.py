@@ -155,6 +155,13 @@ def test_tiers_are_told_of_every_rollout_and_few_are_graded_apart(spark, apart):
     assert apart == [1]
 
 
+def test_tampering_is_counted_by_rollout_and_few_are_graded_apart(spark, apart):
+    from tidemark.plans import rollout_queries as Q
+
+    assert {r["tamper"]: r["n"] for r in Q.QUERIES["hack_tamper"](spark, "").collect()} == {"": 4, "test_file_deleted": 1}
+    assert apart == [1]
+
+
 def test_literals_come_back():
     for v in ([1, (2,)], {"a": float("inf")}, set(), frozenset({1}), (), "x\n", None, {1: [True]}):
         assert eval(code.literal(v)) == v  # noqa: S307
