@@ -117,3 +117,33 @@ def test_the_field_learns_a_chain(spark):
     f, e, rr = np.array(feats), np.arange(1, len(feats) + 1), np.array(rows)
     c.fit(f, e, rr, np.array(y), steps=80)
     assert (c.tag(f, e, rr) == np.array(y)).mean() > 0.99
+
+
+def test_a_fit_costs_by_the_features_that_occur():
+    """Weights that no row has take no memory and no steps; they stay as they were."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tidemark.llm.crf import Crf
+
+    c = Crf(2, 1 << 20)
+    c.w[7] = 0.5
+    f = np.array([3, 900_000] * 50)
+    tracemalloc.start()
+    c.fit(f, np.arange(1, 101), np.arange(100), np.array([0, 1] * 50), steps=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    assert c.w[3, 0] > c.w[3, 1] and c.w[900_000, 1] > c.w[900_000, 0] and (c.w[7] == 0.5).all() and np.flatnonzero(c.w.any(axis=1)).tolist() == [3, 7, 900_000]
+
+
+def test_an_answer_takes_few_calls(crf):
+    """Features of a clause's place are looked up as one, so an answer costs little beside its parsing."""
+    import cProfile
+    import pstats
+
+    g, p = answers(0.01), cProfile.Profile()
+    rows = [g[c].tolist() for c in ("answer", "prompt", "finish")]
+    p.runcall(P.tagged, P.Clauses(), crf, *rows)
+    assert pstats.Stats(p).total_calls < 210 * len(g)

@@ -36,13 +36,16 @@ class Crf:
         k = len(self.first)
         weight = np.ones(n) if weight is None else weight / weight.mean()
         of_clause = weight[rows][:, None]
+        # A weight without a feature here has no gradient and stays as it is: the steps go over the others alone.
+        used, feats = np.unique(feats, return_inverse=True)
+        every, self.w = self.w, self.w[used]
         # Longest first, so that at each place the sequences that reach it are the first ones.
         by = np.argsort(-size, kind="stable")
         pad, size, weight = pad[by], size[by], weight[by]
         live = [int((size > i).sum()) for i in range(longest)]
         yp = np.where(pad >= 0, y[pad], 0)
         starts = np.concatenate([[0], ends[:-1]])
-        reps = np.repeat(np.arange(len(ends)), ends - starts)
+        reps = ends - starts
         params = [self.w, self.pair, self.first]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         onehot = np.eye(k)[y]
@@ -69,13 +72,15 @@ class Crf:
             for i in range(longest):
                 marg[pad[: live[i], i]] = np.exp(a[i, : live[i]] + b[i, : live[i]] - z[: live[i], None])
             diff = (marg - onehot) * of_clause
-            gw = np.stack([np.bincount(feats, weights=diff[reps, j], minlength=len(self.w)) for j in range(k)], axis=1)
+            gw = np.stack([np.bincount(feats, weights=np.repeat(diff[:, j], reps), minlength=len(self.w)) for j in range(k)], axis=1)
             gf = diff[pad[:, 0]].sum(axis=0)
             for q, (par, g) in enumerate(zip(params, (gw, gp, gf))):
                 g = g / n + ridge * par
                 m[q] = 0.9 * m[q] + 0.1 * g
                 v[q] = 0.99 * v[q] + 0.01 * g * g
                 par -= rate * (m[q] / (1 - 0.9**t)) / (np.sqrt(v[q] / (1 - 0.99**t)) + 1e-8)
+        every[used] = self.w
+        self.w = every
 
     def tag(self, feats: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The most likely labels of all clauses (Viterbi), of sequences of any length."""

@@ -17,6 +17,8 @@ import re
 import textwrap
 import warnings
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.crf import Crf
-from tidemark.llm.text import OTHER_SCRIPT, RARER, Hashes, shingles, words
+from tidemark.llm.text import OTHER_SCRIPT, RARER, words
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -61,6 +63,7 @@ for _i, _k in enumerate(_LANGS):
 
 _FENCE = re.compile(r"(?P<f>```+|~~~+)[ \t]*(?P<tag>[\w+#.\-]*)[^\n]*(?:\n|\Z)(?P<body>.*?)(?P<end>^[ \t]*(?P=f)|(?P=f)[ \t]*(?=\n|\Z)|\Z)", re.S | re.M)
 _STARTS_CODE = re.compile(r"(?:async def|def|class)\s+\w+|(?:from\s+[\w.]+\s+)?import\s+\w|@\w+|\w+\s*=\s*lambda\b|(?:pub(?:lic)?|private|protected|static)\b.*[({]|fn\s+\w+\s*\(|func(?:tion)?\s+\w+\s*\(|(?:const|let|var)\s+\w+\s*=|#include\b|template\s*<|std::|using\s+\w|(?:int|void|double|auto|bool|long|float|string)\s+\w+\s*\(|package\s+\w|[\w<>\[\],:]+\s+\w+\([^)]*\)\s*(?:->.*)?\{|\(defn?\s|sub\s+\w+\s*\{|let\s+(?:rec\s+)?\w+|\w+\s*<-\s*function|CREATE\s|SELECT\s|module\s+\w+|fun\s+\w+")
+_GOES_ON = re.compile(r"(?:end|else|elif|except|finally|return|for|while|if|print|with|try|assert)\b|\w+(?:\.\w+)*\s*(?:[-+*/|&]?=)[^=]|\w+(?:\.\w+)*\(|/[/*]|[{;]")
 _TOKEN = re.compile(r"\s*(?:<\|[a-z_]+\|>|</?s>|\[/?INST\]|<eos>)\s*\Z", re.I)
 _TAGS = re.compile(r"</?\w+>")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"')\]]*\s+|(?<=[。！？])|\n[ \t]*\n+")
@@ -91,7 +94,7 @@ def segments(answer: str) -> list[tuple[bool, str, bool]]:
                 prose, mode, code = [], True, [line]
             elif mode:
                 # Code goes on over blank and indented lines, and over lines that close or start something.
-                if not s or line[0] in " \t)]}#@" or _STARTS_CODE.match(line) or re.match(r"(?:end|else|elif|except|finally|return|for|while|if|print|with|try|assert)\b|\w+(?:\.\w+)*\s*(?:[-+*/|&]?=)[^=]|\w+(?:\.\w+)*\(|/[/*]|[{;]", s):
+                if not s or line[0] in " \t)]}#@" or _STARTS_CODE.match(line) or _GOES_ON.match(s):
                     code.append(line)
                 else:
                     out.append((True, "\n".join(code), True))
@@ -190,28 +193,34 @@ def code_state(code: str) -> tuple[str, str]:
     return "whole", ""
 
 
+def _shingles(ws: list[str]) -> Iterator[int]:
+    """Hashes of the K words from each position on, that hold within one process."""
+    return map(hash, zip(*(ws[i:] for i in range(K))))
+
+
+class Numbers(dict):
+    """The number of each feature, told by its parts; remembered up to a bound."""
+
+    def __missing__(self, parts: tuple) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        n = self[parts] = xxhash.xxh3_64_intdigest("|".join(map(str, parts)).encode("utf-8", "surrogatepass")) % WIDTH
+        return n
+
+
 class Clauses:
     """Cuts answers into clauses and makes their features; remembers sentences and prompts up to a bound."""
 
     def __init__(self):
-        self._said: dict[str, tuple[list[int], np.ndarray, int]] = {}
+        self._said: dict[str, tuple[list[int], list[int], int]] = {}
         self._prompts: dict[str, tuple[int, frozenset[int], int]] = {}
-        self._hashes = Hashes()
-        self._number: dict[tuple, int] = {}
-
-    def _n(self, *parts: object) -> int:
-        """The number of a feature."""
-        n = self._number.get(parts)
-        if n is None:
-            if len(self._number) > 200_000:
-                self._number.clear()
-            n = self._number[parts] = xxhash.xxh3_64_intdigest("|".join(map(str, parts)).encode("utf-8", "surrogatepass")) % WIDTH
-        return n
+        self._number = Numbers()
+        self._placed: dict[tuple, tuple[list[int], int]] = {}
 
-    def _languages(self, s: str, ws: list[str]) -> np.ndarray:
+    def _languages(self, s: str, ws: list[str]) -> list[int]:
         """How many words are frequent in each language and, last, letters of words that are all in another script; single look-alike
         letters in a Latin word don't count."""
-        lang = np.zeros(len(_LANGS) + 1)
+        lang = [0] * (len(_LANGS) + 1)
         for w in ws:
             for i in _OF_WORD.get(w, ()):
                 lang[i] += 1
@@ -219,7 +228,7 @@ class Clauses:
             lang[-1] = sum(len(w) for w in ws if len(OTHER_SCRIPT.findall(w)) == len(w))
         return lang
 
-    def _sentence(self, s: str) -> tuple[list[int], np.ndarray, int]:
+    def _sentence(self, s: str) -> tuple[list[int], list[int], int]:
         got = self._said.get(s)
         if got is None:
             if len(self._said) > 100_000:
@@ -239,7 +248,7 @@ class Clauses:
                 self._prompts.clear()
             lang = self._languages(p, _WORDS.findall(p.lower()))
             ws = words(p)
-            got = self._prompts[p] = (int(lang.argmax()), frozenset(shingles(self._hashes.of(ws), K).tolist()), len(ws))
+            got = self._prompts[p] = (lang.index(max(lang)), frozenset(_shingles(ws)), len(ws))
         return got
 
     def echoed(self, text: str, prompt: frozenset[int]) -> float:
@@ -247,8 +256,7 @@ class Clauses:
         ws = words(text)
         if len(ws) < K or not prompt:
             return 0.0
-        sh = shingles(self._hashes.of(ws), K).tolist()
-        return sum(x in prompt for x in sh) / len(sh)
+        return sum(map(prompt.__contains__, _shingles(ws))) / (len(ws) - K + 1)
 
     def _code(self, piece: str) -> list[int]:
         """Features of a piece of code by its looks: with what its lines start and end, and its last line."""
@@ -257,9 +265,23 @@ class Clauses:
         text = last.lstrip()
         start = _LINE_START.match(text)
         even = piece.count("(") == piece.count(")") and piece.count("[") == piece.count("]") and piece.count("{") == piece.count("}")
-        out = [self._n("l", x) for x in {*_LINE_START.findall(piece)}]
-        out += [self._n("e", x) for x in ";{}:,)" if x + "\n" in piece]
-        return [*out, self._n("z", start and start[1]), self._n("y", last[-1:]), self._n("deep", len(text) < len(last)), self._n("even", even), self._n("lines", min(4, len(lines)))]
+        n = self._number
+        out = [n["l", x] for x in {*_LINE_START.findall(piece)}]
+        out += [n["e", x] for x in ";{}:,)" if x + "\n" in piece]
+        return [*out, n["z", start and start[1]], n["y", last[-1:]], n["deep", len(text) < len(last)], n["even", even], n["lines", min(4, len(lines))]]
+
+    def _place(self, what: str, copied: bool, finish: str | None, *place: object) -> tuple[list[int], int]:
+        """Features of a clause by what it is and where it stands, those by rule last; and how many these are."""
+        ended, echo, coded, first, last, solved, foreign = place
+        n = self._number
+        x = [n["coded", coded, what == "said"], n["first", first], n["last", last]]
+        by = [n["finish", finish], n["solved", solved], n["foreign", foreign], n["what", what]]
+        if what == "said":
+            x += [n["ended", ended, last, coded], n["echo", echo], n["nothing copied", copied]]
+            by += [n["ended", ended, last, "solved", solved], n["foreign", foreign, "solved", solved]]
+        else:
+            x.append(n["echo", echo])
+        return x + by, len(by)
 
     def of(self, answer: str | None, prompt: str | None, finish: str | None) -> dict:
         """Clauses of an answer, each (kind, text, size, features, ended, echo, features by rule), and what holds for the whole answer.
@@ -267,7 +289,7 @@ class Clauses:
         lang, said, _ = self.prompt(prompt)
         text = _untailed(answer or "")
         kinds: list[tuple[str, str, int, list[int]]] = []  # (what, text, words, features)
-        counts = np.zeros(len(_LANGS) + 1)
+        counts = [0] * (len(_LANGS) + 1)
         for code, piece, closed in segments(text):
             state, told = code_state(piece) if code else ("", "")
             if code:
@@ -285,7 +307,7 @@ class Clauses:
                     piece = re.sub(r"^\s*(?:#|//|--)+\s?", "", piece, flags=re.M)
                 else:
                     continue
-            for s in _SENTENCE.split(_TAGS.sub(" ", piece)):
+            for s in _SENTENCE.split(_TAGS.sub(" ", piece) if "<" in piece else piece):
                 s = s.strip().strip("`").strip()
                 if not s:
                     continue
@@ -293,32 +315,35 @@ class Clauses:
                 bare = s.lower().strip(" \t.…-_*[](){}<>\"'!?#`:")
                 if not bare or bare in PLACEHOLDERS or (n == 0 and not OTHER_SCRIPT.search(s)):
                     continue
-                counts += lc
-                kinds.append(("said", s, max(n, int(lc[-1]) // 2, 1), f))
+                counts = list(map(add, counts, lc))
+                kinds.append(("said", s, max(n, lc[-1] // 2, 1), f))
         if not kinds:
-            kinds.append(("blank", "", 0, [self._n("nothing")]))
+            kinds.append(("blank", "", 0, [self._number[("nothing",)]]))
         # A language other than the prompt's must have more of its words than the prompt's own.
-        best = int(counts.argmax())
+        best = counts.index(max(counts))
         foreign = best != lang and counts[best] > counts[lang] and counts[best] >= 2
         solved = any(k[0] == "whole" for k in kinds)
         coded = any(k[0] != "said" and k[2] for k in kinds)
         n = len(kinds)
-        rules = [self._n("finish", finish), self._n("solved", solved), self._n("foreign", foreign)]
         out = []
         for i, (what, s, size, f) in enumerate(kinds):
-            x = [*f, self._n("coded", coded, what == "said"), self._n("first", i == 0), self._n("last", i == n - 1)]
-            by = [*rules, self._n("what", what)]
-            echo = 0.0
+            echo, shown = 0.0, 0
             if what == "said":
                 ended = bool(_ENDED.search(s)) and not s.endswith("...")
                 if not solved:
                     echo = self.echoed(s, said)
-                x += [self._n("ended", ended, i == n - 1, coded), self._n("echo", int(5 * echo)), self._n("nothing copied", echo == 0 and size >= K)]
-                by += [self._n("ended", ended, i == n - 1, "solved", solved), self._n("foreign", foreign, "solved", solved)]
+                    shown = int(5 * echo)
             else:
                 ended = what == "whole"
-                x.append(self._n("echo", 0 if ended else int(5 * self.echoed(s, said))))
-            out.append((what, s, size, x + by, ended, echo, len(by)))
+                if not ended:
+                    shown = int(5 * self.echoed(s, said))
+            place = what, what == "said" and echo == 0 and size >= K, finish, ended, shown, coded, i == 0, i == n - 1, solved, foreign
+            got = self._placed.get(place)
+            if got is None:
+                if len(self._placed) > 100_000:
+                    self._placed.clear()
+                got = self._placed[place] = self._place(*place)
+            out.append((what, s, size, f + got[0], ended, echo, got[1]))
         return {"clauses": out, "foreign": foreign, "solved": solved}
 
 
@@ -360,14 +385,14 @@ def weak_labels(a: dict, finish: str | None) -> list[int] | None:
 def defect(a: dict, tags: list[int]) -> str | None:
     """The defect of an answer by what its clauses' tags cover, None if it has none. `code` and `said` are the words of code and of
     sentences under each tag; `void` tells that a clause without any substance is tagged unfinished."""
-    code, said, void = np.zeros(len(LABELS)), np.zeros(len(LABELS)), False
+    code, said, void = [0] * len(LABELS), [0] * len(LABELS), False
     for (what, _, n, *_), t in zip(a["clauses"], tags):
         (said if what == "said" else code)[t] += n
         void |= n == 0 and t == UNFINISHED
-    both = code + said
+    both = list(map(add, code, said))
     if code[ANSWER]:
-        return "other_language" if said[FOREIGN] > 0.5 * said.sum() else None
-    if both[ECHO] and both[ECHO] >= 0.5 * both.sum():
+        return "other_language" if said[FOREIGN] > 0.5 * sum(said) else None
+    if both[ECHO] and both[ECHO] >= 0.5 * sum(both):
         return "copied_prompt"
     if code[FOREIGN]:
         return "other_language"
@@ -377,13 +402,13 @@ def defect(a: dict, tags: list[int]) -> str | None:
         return "refusal"
     if void:
         return "empty"
-    if said[FOREIGN] > 0.5 * said.sum():
+    if said[FOREIGN] > 0.5 * sum(said):
         return "other_language"
     return "truncated" if said[UNFINISHED] else None
 
 
 def _flat(many: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    feats = [x for a in many for c in a["clauses"] for x in c[3]]
+    feats = list(chain.from_iterable(c[3] for a in many for c in a["clauses"]))
     ends = np.cumsum([len(c[3]) for a in many for c in a["clauses"]])
     rows = np.repeat(np.arange(len(many)), [len(a["clauses"]) for a in many])
     return np.array(feats, np.int64), ends, rows
