@@ -133,6 +133,24 @@ def test_rollouts_are_graded_by_the_lane_or_apart(spark):
     assert all(r[:7] == want[i] for i, r in got.items() if i != "f")
 
 
+def calls_of(f, *args):
+    import cProfile
+    import pstats
+
+    p = cProfile.Profile()
+    return p.runcall(f, *args), pstats.Stats(p).total_calls
+
+
+def test_a_suite_is_read_with_few_calls():
+    """Its statements aren't walked where their kinds tell their asserts; those within others are counted, names in other letters seen."""
+    from tidemark.operators import pure
+
+    got, calls = calls_of(pure.cases, "\n".join(f"assert f([{i}, {i + 1}, {i + 2}], {i}) == {i} + f(1)" for i in range(100)))
+    assert [n for _, n in got] == [1] * 100 and calls < 100 * 30
+    assert [n for _, n in pure.cases("x = 'test_'\nfor i in [1, 2]:\n    assert f(i)\n    if i:\n        assert i\nassert x")] == [0, 2, 1]
+    assert pure.cases("assert x\nif x:\n    def ｔest_a():\n        pass") is None is pure.cases("x = 'test_'\nif x:\n    def test_a():\n        pass")
+
+
 @pytest.fixture
 def apart(spark, monkeypatch):
     """Five rollouts instead of the tables' own; the list gets how many of them are graded in a process of their own."""
