@@ -151,6 +151,18 @@ def test_a_suite_is_read_with_few_calls():
     assert pure.cases("assert x\nif x:\n    def ｔest_a():\n        pass") is None is pure.cases("x = 'test_'\nif x:\n    def test_a():\n        pass")
 
 
+def test_suites_are_counted_once_for_all_solutions_that_reach_no_process(monkeypatch):
+    """What is empty or doesn't parse is graded without reading its tests again, and untampered."""
+    read, parse = [], code.parse
+    monkeypatch.setattr(code, "parse", lambda x: read.append(x) or parse(x))
+    v, h = "assert f(1) == 1\nassert f(2) == 1  # seen", "assert f(3) == 1  # unseen"
+    box = code.Sandbox()
+    got = [box.grade(c, v, h) for c in ("", "def f(", None, "f(", "  ", "return return")]
+    box.close()
+    assert [(g["visible_total"], g["hidden_total"], g["tamper"]) for g in got] == [(2, 1, "")] * 6 and {g["error_class"] for g in got} == {"empty_code", "syntax_error"}
+    assert read.count(v) == read.count(h) == 1
+
+
 @pytest.fixture
 def apart(spark, monkeypatch):
     """Five rollouts instead of the tables' own; the list gets how many of them are graded in a process of their own."""
